@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language_id
+from tidelog.llm import language_id, quality_mil, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": quality_mil.op2,
+        "op3_toxicity": toxicity.op3,
         "op9_language_id": language_id.op9,
+        "op10_quality_rules": quality_rules.op10,
     }
 
 
