@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language_id, quality_mil, quality_rules, toxicity
+from tidelog.llm import chat_format, language_id, quality_mil, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": quality_mil.op2,
         "op3_toxicity": toxicity.op3,
+        "op7_chat_format": chat_format.op7,
         "op9_language_id": language_id.op9,
         "op10_quality_rules": quality_rules.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_chat_format": chat_format.SQL,
+    }
