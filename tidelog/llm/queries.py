@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, language_id, quality_mil, quality_rules, toxicity
+from tidelog.llm import chat_format, language_id, lm_score, quality_mil, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": lm_score.op1,
         "op2_quality_classifier": quality_mil.op2,
         "op3_toxicity": toxicity.op3,
         "op7_chat_format": chat_format.op7,
