@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, language_id, lm_score, quality_mil, quality_rules, toxicity
+from tidelog.llm import chat_format, language_id, lm_score, packing, quality_mil, quality_rules, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_score": lm_score.op1,
         "op2_quality_classifier": quality_mil.op2,
         "op3_toxicity": toxicity.op3,
+        "op4_token_store": token_store.op4,
         "op7_chat_format": chat_format.op7,
+        "op8_best_fit_packing": packing.op8,
         "op9_language_id": language_id.op9,
         "op10_quality_rules": quality_rules.op10,
     }
