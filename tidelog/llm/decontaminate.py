@@ -202,6 +202,13 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without the rows that hold a window of an item."""
+    hit = judge(docs, items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    return rows.join(hit, rows["doc_id"].eqNullSafe(hit["_id"]) & (rows["_text_key"] == hit["_key"]), "left_anti").select(docs.columns)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     out = judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return out.select(

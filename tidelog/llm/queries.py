@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, decontaminate, language_id, lm_score, packing, quality_mil, quality_rules, token_store, toxicity
+from tidelog.llm import chat_format, decontaminate, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": quality_mil.op2,
         "op3_toxicity": toxicity.op3,
         "op4_token_store": token_store.op4,
+        "op5_ngram_join": ngram_join.op5,
         "op6_decontaminate": decontaminate.op6,
         "op7_chat_format": chat_format.op7,
         "op8_best_fit_packing": packing.op8,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_join": ngram_join.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op7_chat_format": chat_format.SQL,
     }
