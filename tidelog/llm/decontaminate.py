@@ -141,7 +141,7 @@ def matcher(names: list[str], terms: list[bytes], windows: dict[int, tuple[np.nd
                 if len(starts):
                     hits.append(np.stack([starts, np.full(len(starts), n), np.full(len(starts), item[w])]))
         if not hits:
-            return pd.DataFrame({"block": [], "doc_no": [], "item_id": [], "spans": []})
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("block", "int64"), ("doc_no", "int32"), ("item_id", object), ("spans", object))})
         start, n, item = np.concatenate(hits, 1)
         doc = np.searchsorted(begin, start, "right") - 1
         start = start - begin[doc]
