@@ -44,7 +44,7 @@ def test_bucketed_join_equals_nested_loop(spark):
 def test_authentication_before_privilege(spark):
     e = events(spark, ("a", 0, 10, "ssh_login_success", "u"), ("b", 0, 20, "sudo_command", "u"), ("c", 0, 5, "sudo_command", "u"), ("d", 0, 30, "sudo_command", "other"), ("n", 0, 40, "sudo_command", None))
     got = pairs(correlate.authentication_privilege(e))
-    assert ("a", "b") in got and ("a", "c") not in [p for p in got if p == ("a", "c") and False] and ("a", "d") not in got and ("a", "n") in got
+    assert ("a", "b") in got and ("a", "c") not in got and ("a", "d") not in got and ("a", "n") in got
 
 
 def test_sequence_takes_every_combination(spark):
@@ -63,8 +63,11 @@ def test_rules_refuse_code_and_endless_sequences():
 def test_conditions(spark):
     df = spark.createDataFrame([("5", "true", None)], "n string, b string, m string")
     c = rules.compare
-    checks = {c(F.col("n"), "==", 5): True, c(F.col("n"), ">", 4.5): True, c(F.col("b"), "equals", 1): False, c(F.col("m"), "exists"): False, c(F.col("m"), "!=", "x"): True, c(F.col("n"), "in", [4, 5]): True, c(F.col("n"), "ends_with", "5"): True, c(F.col("m"), "contains", "a"): False}
-    for column, want in checks.items():
+    checks = [
+        (c(F.col("n"), "==", 5), True), (c(F.col("n"), ">", 4.5), True), (c(F.col("b"), "equals", 1), False), (c(F.col("m"), "exists"), False), (c(F.col("m"), "!=", "x"), True),
+        (c(F.col("n"), "in", [4, 5]), True), (c(F.col("n"), "ends_with", "5"), True), (c(F.col("m"), "contains", "a"), False),
+    ]
+    for column, want in checks:
         assert df.select(column.alias("x")).first().x is want
 
 

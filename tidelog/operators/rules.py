@@ -57,7 +57,7 @@ class Rule:
         return f"RULE-{ids.uuid.uuid5(ids.namespace('rule'), self.name)}"
 
 
-def compare(actual: Column, operator: str, value: Any) -> Column:
+def compare(actual: Column, operator: str, value: Any = None) -> Column:
     """One predicate, false where the field is missing. Numbers compare as doubles, booleans never equal numbers."""
     op = ALIASES.get(operator, operator)
     number = isinstance(value, (int, float)) and not isinstance(value, bool)

@@ -34,9 +34,15 @@ def deduplicate(rows: DataFrame, columns: list[str], delay_s: int) -> DataFrame:
 
 
 def failure_then_success(rows: DataFrame, window_s: int, failed: str = "error", succeeded: str = "signup") -> DataFrame:
-    """Interval join of two watermarked streams: a failure, and a success up to window_s later."""
+    """Interval join of two watermarked streams: a failure, and a success up to window_s later.
+
+    Times are dealt into buckets of the window's width, as a stream join needs an equal key.
+    """
     side = lambda t, s: rows.filter(F.col("event_type") == t).select(F.col("event_id").alias(f"event_{s}"), F.col("user_id").alias(f"user_{s}"), F.col("ts").alias(f"ts_{s}")).withWatermark(f"ts_{s}", f"{window_s} seconds")
-    return side(failed, "a").join(side(succeeded, "b"), F.expr(f"ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {window_s} SECONDS"))
+    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(window_s * 1_000_000)).cast("long")
+    a = side(failed, "a").withColumn("bucket_a", F.explode(F.array(bucket("ts_a"), bucket("ts_a") + 1)))
+    b = side(succeeded, "b").withColumn("bucket_b", bucket("ts_b"))
+    return a.join(b, F.expr(f"bucket_a = bucket_b AND ts_b >= ts_a AND ts_b <= ts_a + INTERVAL {window_s} SECONDS")).drop("bucket_a", "bucket_b")
 
 
 def bursts(rows: DataFrame, key: str | Column, length: str = "5 minutes", slide: str = "1 minute", least: int = 3) -> DataFrame:
