@@ -77,9 +77,9 @@ def artifact_query(spark, sf):
     return artifacts.query(_artifacts(spark, sf), category="authentication", status="FAILURE", path_contains="syslog").select("category", "artifact_type", "source_path", "line_number")
 
 
-@query("artifact_lineage", f"WITH {ART} SELECT category, artifact_type, source_path, line_number FROM art WHERE source_path || ':' || line_number IN (SELECT 'var/log/auth.log:' || (event_id + 1) FROM events WHERE event_type = 'error' AND user_id % 7 = 0)", "log_lines", "account_lines")
+@query("artifact_lineage", f"WITH {ART} SELECT category, artifact_type, source_path, line_number FROM art WHERE source_path || ':' || line_number IN (SELECT 'var/log/auth.log:' || (event_id + 1) FROM events WHERE event_type = 'error')", "log_lines", "account_lines")
 def artifact_lineage(spark, sf):
-    keys = view(spark, sf, "events").filter("event_type = 'error' AND user_id % 7 = 0").select(F.concat(F.lit("var/log/auth.log:"), F.col("event_id") + 1).alias("key"))
+    keys = view(spark, sf, "events").filter("event_type = 'error'").select(F.concat(F.lit("var/log/auth.log:"), F.col("event_id") + 1).alias("key"))
     return artifacts.lineage(_artifacts(spark, sf), keys).select("category", "artifact_type", "source_path", "line_number")
 
 

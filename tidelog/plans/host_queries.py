@@ -143,7 +143,7 @@ def times_epoch(spark, sf):
 @query("times_compared", """SELECT a.event_id, CASE WHEN a.ts_class = b.ts_class AND a.ts_class <> 2 THEN abs(a.ts_us - b.ts_us) / 1000000.0 END AS delta_seconds, CASE WHEN a.ts_class = b.ts_class AND a.ts_class <> 2 THEN a.ts_us <= b.ts_us END AS in_order
 FROM timeline a JOIN timeline b ON a.source_line + 1 = b.source_line WHERE a.event_id NOT LIKE '%b' AND b.event_id NOT LIKE '%b'""", "timeline")
 def times_compared(spark, sf):
-    t = view(spark, sf, "timeline").filter(~F.col("event_id").endswith("b"))
+    t = timeline.deduplicate(view(spark, sf, "timeline"))
     a, b = t.select(*(F.col(c).alias(f"{c}_a") for c in ("event_id", "ts_class", "ts_us", "source_line"))), t.select(*(F.col(c).alias(f"{c}_b") for c in ("ts_class", "ts_us", "source_line")))
     j = a.join(b, F.col("source_line_a") + 1 == F.col("source_line_b"))
     args = (F.col("ts_class_a"), F.col("ts_us_a"), F.col("ts_class_b"), F.col("ts_us_b"))
@@ -239,7 +239,7 @@ EV = "e AS (SELECT * FROM timeline WHERE event_id NOT LIKE '%b')"
 
 
 def _events(spark, sf) -> DataFrame:
-    return view(spark, sf, "timeline").filter(~F.col("event_id").endswith("b"))
+    return timeline.deduplicate(view(spark, sf, "timeline"))
 
 
 @query("links_temporal", f"WITH {EV}, {PAIRS} AND a.ts_class = b.ts_class AND a.ts_class <> 2 AND b.ts_us BETWEEN a.ts_us - 300000000 AND a.ts_us + 300000000) SELECT 'TEMPORAL' AS relation, event_a, event_b, delta_seconds FROM p", "timeline")
