@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm.common import materialize, read_table
-from tidelog.llm.encode import Encoder, vocabulary
+from tidelog.llm.encode import encoder as kept_encoder
+from tidelog.llm.encode import vocabulary
 from tidelog.llm.text import rows
 
 CAPACITY = 2048
@@ -46,7 +47,7 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, kind: str = "word", with_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task = Encoder(vocabulary_path, kind), TaskContext.get().partitionId()
+        encoder, task = kept_encoder(vocabulary_path, kind), TaskContext.get().partitionId()
         seen = np.zeros(CAPACITY + 1, np.int64)
 
         def out(held: list[tuple]) -> pa.RecordBatch:

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm.common import new_path, read_table
-from tidelog.llm.encode import Encoder, vocabulary
+from tidelog.llm.encode import encoder as kept_encoder
+from tidelog.llm.encode import vocabulary
 from tidelog.llm.text import rows
 
 SEGMENT_IDS = 1 << 18
@@ -89,7 +90,7 @@ def write(docs: DataFrame, vocabulary_path: str, kind: str = "byte") -> str:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, seg = Encoder(vocabulary_path, kind), TaskContext.get().partitionId(), 0
+        encoder, shard, seg = kept_encoder(vocabulary_path, kind), TaskContext.get().partitionId(), 0
         ids: list = []
         payload: list[bytes] = []
         size = 0
@@ -179,7 +180,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     stored = spark.read.parquet(path)
     ranges = stored.select("shard", "seg", F.element_at("doc_ids", 1).alias("lo"), F.element_at("doc_ids", -1).alias("hi"))
     id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
-    routed = keys.select("doc_id").distinct().join(ranges, F.col("doc_id").between(F.col("lo"), F.col("hi"))).select("doc_id", "shard", "seg")
+    routed = keys.select("doc_id").distinct().join(ranges, F.coalesce(F.col("lo") <= F.col("doc_id"), F.lit(True)) & (F.col("doc_id") <= F.col("hi"))).select("doc_id", "shard", "seg")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, seeds, slots, payload in rows(batches, "doc_id", "seeds", "slots", "payload"):
