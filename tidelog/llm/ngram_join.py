@@ -6,16 +6,22 @@ A document's set is its distinct word shingles. Two sets of a and b shingles lin
 1. One pass gives every document its set's size and 64-bit id (equal sets are one node from here on)
    and a fixed-size sketch of how many documents hold each shingle.
 2. Light sets (size up to a boundary) emit, for every size they may link with, all subsets of the
-   size that a link must share: two sets with a common subset are linked. Heavy sets emit the
-   shingles of their prefix, rarest first by the sketch: linked sets share one of them. The boundary is
-   where the subsets of a set outnumber what its inverted lists cost (`boundary`).
-3. Lists of one set are dropped. In every other list all sets are compared with one leader of the
-   list, exactly, on their texts; links are united to components. Lists whose sets are then all in
-   one component hold nothing more to find. In the others new leaders follow, and when few pairs of
-   sets of different components are left, all of them are compared. A list of near copies therefore costs its
-   length, not its square, and no link between components can be missed.
-
-Very frequent keys are dealt by (key, part of the sets), so no task gets a hot list whole.
+   size that a link must share: two sets with a common subset are linked. The boundary is where the
+   subsets of a set outnumber what its inverted lists cost (`boundary`).
+3. Heavy sets are looked up in inverted lists. In any common order of shingles, linked sets share one
+   of the first prefix(n). The order used: half of all shingles (by a bit of their hash) first, rarest
+   first; then the others by hash. So half of the shingles are dealt to their lists, lists of one set
+   are dropped, and a set with prefix(n) shingles of its own has no partner and drops out. Of the
+   other sets the rarest shared shingles up to prefix(n) stay.
+4. In every list all sets are compared with one leader of the list, exactly, on their texts; links are
+   united to components. Lists whose sets are then all in one component hold nothing more to find. In
+   the others a second leader follows, and then every pair of sets of different components that is
+   left: in short lists one by one, in long ones block against block inside tasks, where parity
+   bitmaps bound the overlap of a pair from above and only pairs that may link come out. A list of
+   near copies therefore costs its length, not its square, and no link between components is missed.
+
+Shingles that very many documents hold (by the sketch) are known to be shared: they skip the dealing
+to lists, so no task gets a hot list whole.
 
 Defined results: null texts and texts without words have an empty set and are alone; texts of fewer
 than WORDS words have one shingle, the whole sequence. Repeated rows have equal sets and share a
@@ -32,19 +38,23 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm.common import materialize, read_table
-from tidelog.llm.text import WordHashes, mix, raw, rows, window_hashes
+from tidelog.llm.text import WordHashes, mix, raw, rows
 
 WORDS = 5
 CELLS, SLICES = 1 << 21, 64
 CHUNK = 400_000
-#: Lists of more sets than this (by the sketch) are dealt in parts of half of it.
-HOT = 4096
-LEADER_ROUNDS = 4
+#: A shingle of so many documents by the sketch (and of HOT_SHARE times a cell's mean) counts as shared without a list.
+HOT, HOT_SHARE = 4096, 8
+#: Entries of a part of the lists.
+PART = 1_500_000
+LEADER_ROUNDS = 2
+#: Lists of so many sets are searched in tasks, in blocks of BLOCK sets; bits of a set's parity bitmap.
+LONG, BLOCK, BITS = 32, 1024, 2048
 MAX_LIGHT = 16
 
 
@@ -75,26 +85,40 @@ def boundary(list_length: float) -> int:
     return x
 
 
+def shingle_hashes(flat: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words, from the words' hashes."""
+    out = np.zeros(len(flat) - n + 1, np.uint64)
+    for k in range(n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += flat[k : len(flat) - n + 1 + k]
+    return mix(out ^ np.uint64(n))
+
+
 def doc_sets(cache: WordHashes, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, ordered in each, and how many each has."""
+    """Distinct shingle hashes of all texts, text by text, and how many each has."""
     words = [raw(t).lower().split() for t in texts]
     size = np.array([len(w) for w in words], np.int64)
     flat = cache.of([t for w in words for t in w])
     doc = np.repeat(np.arange(len(words)), size)
     if len(flat) >= WORDS:
-        h = window_hashes(flat, WORDS)
+        h = shingle_hashes(flat, WORDS)
         inside = doc[: len(h)] == doc[WORDS - 1 :]
         h, owner = h[inside], doc[: len(h)][inside]
     else:
         h, owner = flat[:0], doc[:0]
-    ends = np.cumsum(size)
     short = np.flatnonzero((size > 0) & (size < WORDS))
-    whole = [window_hashes(flat[ends[i] - size[i] : ends[i]], int(size[i]))[0] ^ np.uint64(size[i]) for i in short]
-    h, owner = np.concatenate([h, mix(np.array(whole, np.uint64))]), np.concatenate([owner, short])
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
-    return h[new], np.bincount(owner[new], minlength=len(words))
+    if len(short):
+        ends = np.cumsum(size)
+        whole = np.array([shingle_hashes(flat[ends[i] - size[i] : ends[i]], int(size[i]))[0] for i in short], np.uint64)
+        h, owner = np.concatenate([h, whole]), np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    salted = h ^ (owner.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    order = np.argsort(salted)
+    again = order[1:][salted[order[1:]] == salted[order[:-1]]]
+    keep = np.ones(len(h), bool)
+    keep[again] = False
+    return h[keep], np.bincount(owner[keep], minlength=len(words))
 
 
 def set_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -147,8 +171,8 @@ def survey(docs: DataFrame) -> DataFrame:
     return materialize(cols.mapInArrow(scan, f"doc_id {id_type.simpleString()}, key long, n long, set_id long, slice int, counts binary"), "sets")
 
 
-def frequency_sketch(surveyed: DataFrame) -> tuple[np.ndarray, float]:
-    """Level of each cell (4 log2 of its count), and the mean length of a shingle's list beyond the cells' own noise."""
+def frequency_sketch(surveyed: DataFrame) -> tuple[np.ndarray, float, int]:
+    """Level of each cell (4 log2 of its count), the mean length of a shingle's list beyond the cells' own noise, and the number of shingles."""
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // SLICES, np.int64)
@@ -162,13 +186,13 @@ def frequency_sketch(surveyed: DataFrame) -> tuple[np.ndarray, float]:
     for r in got:  # CELLS bytes in all
         level[r.slice * (CELLS // SLICES) : (r.slice + 1) * (CELLS // SLICES)] = np.frombuffer(r.level, np.uint8)
         s1, s2 = s1 + r.s1, s2 + r.s2
-    return level, max(0.0, s2 / s1 - s1 / CELLS) if s1 else 0.0
+    return level, max(0.0, s2 / s1 - s1 / CELLS) if s1 else 0.0, int(s1)
 
 
 def subset_keys(h: np.ndarray) -> list[tuple[int, int]]:
     """(key, size linked with) of all subsets of a light set."""
     n, out = len(h), []
-    values = [int(x) for x in h]  # ordered, so equal subsets give equal keys
+    values = sorted(int(x) for x in h)  # ordered, so equal subsets give equal keys
     for m in sizes_linked(n):
         salt = (min(n, m) << 8 | max(n, m)) * 0x9E3779B97F4A7C15
         for sub in combinations(values, needed(n, m)):
@@ -180,63 +204,139 @@ def subset_keys(h: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def lists(docs: DataFrame, level: np.ndarray, light: int) -> DataFrame:
-    """key, set_id, n, pos, other: entries of all lists of two sets or more (other: size linked with, 0 for prefix entries)."""
+def pack(kind: int, *columns: np.ndarray) -> bytes:
+    return bytes([kind]) + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def unpack(b: bytes, *types: str) -> list[np.ndarray]:
+    kinds = [np.dtype(t) for t in types]
+    n = (len(b) - 1) // sum(t.itemsize for t in kinds)
+    out, at = [], 1
+    for t in kinds:
+        out.append(np.frombuffer(b, t, n, at))
+        at += n * t.itemsize
+    return out
+
+
+def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> DataFrame:
+    """key, set_id, n, first, df, pos, other of all shared entries.
+
+    other: size linked with for subsets of light sets, 0 for shingles. pos: place in the set's order, -1
+    where it follows from df. first: how many of the set's shingles are in the first half of all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)  # CELLS bytes
-    names = ["key", "salt", "set_id", "n", "pos", "other"]
+    parts = 1 << max(3, int(np.ceil(np.log2(max(1, shingles / 2 / PART)))))
+    shift = np.uint64(64 - parts.bit_length() + 1)
     heavy_from = -(-4 * (light + 1) // 5)  # the smallest size that links with a heavy set
+    hot_level = 4 * np.log2(1 + max(HOT, HOT_SHARE * shingles / CELLS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, level, seen = WordHashes(), shared.value, set()
         for held in text_chunks(batches, "text"):
             h, n = doc_sets(cache, [r[0] for r in held])
             ids = set_ids(h, n)
-            first = np.cumsum(n) - n
+            begin = np.cumsum(n) - n
             fresh = np.zeros(len(n), bool)
             for i in np.flatnonzero(n):
                 if ids[i] not in seen:
                     seen.add(ids[i])
                     fresh[i] = True
-            cols: list[list[np.ndarray]] = [[] for _ in names]
+            out: list[tuple[int, bytes]] = []
             owner = np.repeat(np.arange(len(n)), n)
-            lv = level[cells(h)]
-            order = np.argsort(owner * 256 + lv, kind="stable")
-            pos = np.arange(len(h)) - first[owner]
-            take = fresh[owner] & (n[owner] >= heavy_from) & (pos < prefix(n[owner]))
-            at, who = order[take], owner[take]
-            count = np.exp2(lv[at] / 4.0)
-            parts = np.where(count > HOT, np.ceil(2 * count / HOT), 1).astype(np.int64)
-            values = [h[at].view(np.int64), np.where(parts > 1, (ids[who] % parts) + 1, 0), ids[who], n[who], pos[take], np.zeros(len(at), np.int64)]
-            for c, v in zip(cols, values):
-                c.append(v)
-            for i in np.flatnonzero(fresh & (n <= light)):
-                keys = subset_keys(h[first[i] : first[i] + n[i]])
-                k = len(keys)
-                values = [np.array([x for x, _ in keys], np.uint64).view(np.int64), np.zeros(k), np.full(k, ids[i]), np.full(k, n[i]), np.zeros(k), np.array([m for _, m in keys])]
-                for c, v in zip(cols, values):
-                    c.append(v.astype(np.int64))
-            out = [np.concatenate(c).astype(np.int64 if j in (0, 2) else np.int32) for j, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # the numbers of one shuffle partition
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        key, salt, sid, n, pos, other = (table.column(c).to_numpy() for c in names)
-        order = np.lexsort((sid, salt, other, key))
-        key, salt, sid, n, pos, other = (x[order] for x in (key, salt, sid, n, pos, other))
-        same = key[1:] == key[:-1]
-        twice = np.r_[False, same & (other[1:] == other[:-1]) & (salt[1:] == salt[:-1]) & (sid[1:] == sid[:-1])]  # one set from several tasks
-        run = np.cumsum(np.r_[True, ~same]) - 1
-        many = np.bincount(run, weights=~twice)[run] > 1
-        live = np.flatnonzero(~twice & (many | (salt > 0)))  # lists in parts are long by choice
-        for at in range(0, len(live), 100_000):
-            part = live[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, sid, n, pos, other)], ["key", "set_id", "n", "pos", "other"])
-
-    emitted = docs.select("text").mapInArrow(emit, "key long, salt int, set_id long, n int, pos int, other int")
-    return materialize(emitted.repartition("key", "salt").mapInArrow(group, "key long, set_id long, n int, pos int, other int"), "lists")
+            heavy = (fresh & (n >= heavy_from))[owner]
+            front = (h & np.uint64(1)) == 0
+            first = np.bincount(owner[front], minlength=len(n))
+            hot = level[cells(h)] >= hot_level
+            pos = np.full(len(h), -1, np.int32)
+            for i in np.flatnonzero(fresh & (n >= heavy_from) & (first < prefix(n))):  # too few in the first half: the others by hash
+                own = np.arange(begin[i], begin[i] + n[i])
+                rest = own[~front[own]]
+                rest = rest[np.argsort(h[rest])][: int(prefix(n[i]) - first[i])]
+                pos[rest] = first[i] + np.arange(len(rest))
+            dealt = heavy & (front | (pos >= 0))
+            at = np.flatnonzero(dealt & hot)
+            if len(at):
+                who = owner[at]
+                to = (ids[who] % parts).astype(np.int64)
+                for p in np.unique(to):
+                    x = at[to == p]
+                    w = owner[x]
+                    out.append((int(p), pack(1, h[x], ids[w], n[w].astype("<i4"), first[w].astype("<i4"), np.exp2(level[cells(h[x])] / 4.0).astype("<i8"), pos[x])))
+            at = np.flatnonzero(dealt & ~hot)
+            part = (h[at] >> shift).astype(np.int64)
+            at, part = at[np.argsort(part, kind="stable")], np.sort(part, kind="stable")
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                x = at[cut[p] : cut[p + 1]]
+                w, local = np.unique(owner[x], return_inverse=True)
+                head = pack(0, np.array([len(w)], "<i8"), ids[w], n[w].astype("<i4"), first[w].astype("<i4"))
+                out.append((int(p), head + pack(0, h[x], local.astype("<i4"), pos[x])[1:]))
+            for i in np.flatnonzero(fresh & (n <= light) & (n > 0)):
+                keys = subset_keys(h[begin[i] : begin[i] + n[i]])
+                out.append((int(ids[i] % parts), pack(2, np.array([k for k, _ in keys], np.uint64), np.full(len(keys), ids[i]), np.full(len(keys), n[i], "<i4"), np.array([m for _, m in keys], "<i4"))))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "payload"])
+
+    names = ["key", "set_id", "n", "first", "df", "pos", "other"]
+
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cold: list[list[np.ndarray]] = [[] for _ in range(5)]
+        hot: list[list[np.ndarray]] = [[] for _ in range(6)]
+        rows_out: list[list[np.ndarray]] = [[] for _ in names]
+
+        def give(*cols) -> None:
+            k = len(cols[0])
+            for c, v in zip(rows_out, cols):
+                c.append(np.broadcast_to(v, k) if np.ndim(v) == 0 else v)
+
+        for b in pdf["payload"]:
+            if b[0] == 0:
+                m = int(np.frombuffer(b, "<i8", 1, 1)[0])
+                ids, n, first = np.frombuffer(b, "<i8", m, 9), np.frombuffer(b, "<i4", m, 9 + 8 * m), np.frombuffer(b, "<i4", m, 9 + 12 * m)
+                h, local, pos = unpack(b[8 + 16 * m :], "<u8", "<i4", "<i4")
+                for c, v in zip(cold, (h, ids[local], n[local], first[local], pos)):
+                    c.append(v)
+            elif b[0] == 1:
+                for c, v in zip(hot, unpack(b, "<u8", "<i8", "<i4", "<i4", "<i8", "<i4")):
+                    c.append(v)
+            else:
+                h, ids, n, other = unpack(b, "<u8", "<i8", "<i4", "<i4")
+                give(h.view(np.int64), ids, n, 0, 0, 0, other)
+        if hot[0]:
+            h, ids, n, first, df, pos = (np.concatenate(c) for c in hot)
+            order = np.lexsort((ids, h))
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (ids[order][1:] != ids[order][:-1])]  # one set from several tasks
+            h, ids, n, first, df, pos = (x[order][new] for x in (h, ids, n, first, df, pos))
+            give(h.view(np.int64), ids, n, first, df, pos, 0)
+        if cold[0]:
+            h, ids, n, first, pos = (np.concatenate(c) for c in cold)
+            order = np.argsort(h, kind="stable")
+            hs = h[order]
+            near = hs[1:] == hs[:-1]
+            order = order[np.r_[near, False] | np.r_[False, near]]  # lists of one entry go
+            order = order[np.lexsort((ids[order], h[order]))]
+            h, ids, n, first, pos = (x[order] for x in (h, ids, n, first, pos))
+            new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])] if len(h) else np.zeros(0, bool)  # one set from several tasks
+            h, ids, n, first, pos = (x[new] for x in (h, ids, n, first, pos))
+            run = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, int)
+            df = np.bincount(run)[run] if len(h) else run
+            k = df > 1
+            give(h[k].view(np.int64), ids[k], n[k], first[k], df[k], pos[k], 0)
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in zip(names, rows_out)})
+
+    emitted = docs.select("text").mapInArrow(emit, "part int, payload binary")
+    return emitted.groupBy("part").applyInPandas(group, "key long, set_id long, n int, first int, df long, pos int, other int")
+
+
+def lists(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> DataFrame:
+    """key, set_id, n, pos, other: shared entries of the prefixes, and subsets of light sets."""
+    rows = reported(docs, level, light, shingles)
+    ranked = rows.withColumn("free", (F.col("other") == 0) & (F.col("pos") < 0))
+    of_set = Window.partitionBy("set_id", "free")
+    place = F.col("first") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "key")) - 1
+    ranked = ranked.withColumn("pos", F.when(F.col("free"), place.cast("int")).otherwise(F.col("pos")))
+    length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
+    kept = ranked.filter((F.col("other") > 0) | (F.col("pos") < length))
+    return materialize(kept.select("key", "set_id", "n", "pos", "other"), "lists")
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -262,6 +362,51 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(linked("text_a", "text_b")).select("a", "b")
 
 
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """set_id, bits: for each place whether an odd number of the set's shingles falls on it."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for held in text_chunks(batches, "set_id", "text"):
+            for at in range(0, len(held), 512):
+                some = held[at : at + 512]
+                h, n = doc_sets(cache, [t for _, t in some])
+                place = np.repeat(np.arange(len(n)), n) * BITS + (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(BITS - 1)).astype(np.int64)
+                odd = (np.bincount(place, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["set_id", "bits"])
+
+    return texts.select("set_id", "text").mapInArrow(draw, "set_id long, bits binary")
+
+
+def block_pairs(live: DataFrame, light: int) -> DataFrame:
+    """set_id, leader: pairs of different labels in long lists whose bitmaps leave room for a link.
+
+    live: key, cls, held, set_id, n, label, bits. An overlap is at most (n + m - bits that differ) / 2.
+    """
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "set_id"])
+        ids, n, label, part = (pdf[c].to_numpy() for c in ("set_id", "n", "label", "part"))
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+        a, b = [], []
+        for i in range(len(ids)):
+            to = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
+            mate = np.arange(i + 1, to)
+            mate = mate[(label[mate] != label[i]) & ((n[mate] > light) | (n[i] > light))]
+            if key[2] != key[3]:
+                mate = mate[part[mate] != part[i]]
+            apart = np.bitwise_count(bits[mate] ^ bits[i]).sum(1, dtype=np.int64)
+            mate = mate[9 * (n[i] + n[mate] - apart) >= 8 * (n[i] + n[mate])]
+            a.append(np.full(len(mate), ids[i]))
+            b.append(ids[mate])
+        return pd.DataFrame({"set_id": np.concatenate(a), "leader": np.concatenate(b)}).astype("int64")
+
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = live.withColumn("part", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("b0", F.least("part", "_j")).withColumn("b1", F.greatest("part", "_j"))
+    return dealt.select("key", "cls", "b0", "b1", "set_id", "n", "label", "part", "bits").groupBy("key", "cls", "b0", "b1").applyInPandas(search, "set_id long, leader long")
+
+
 def connect(links: DataFrame) -> DataFrame:
     """set_id, label: the smallest set_id reachable, by passing minima along links and jumping to the label's label."""
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -291,9 +436,9 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, key (xxhash64 of the text), n, label (null without words), component_id of every row of docs."""
     surveyed = survey(docs)
     members = surveyed.filter(F.col("slice").isNull()).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
-    level, list_length = frequency_sketch(surveyed)
+    level, list_length, shingles = frequency_sketch(surveyed)
     light = boundary(list_length)
-    entries = lists(docs, level, light)
+    entries = lists(docs, level, light, shingles)
 
     wanted = entries.select("set_id").distinct()
     first = members.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("set_id", F.col("r.doc_id").alias("rid"), F.col("r.key").alias("rkey"))
@@ -320,14 +465,15 @@ def components(docs: DataFrame) -> DataFrame:
         )
         if turn:
             heads = materialize(heads, "heads")
-            left = heads.agg(F.sum(F.col("held") * (F.col("held") - 1) / 2)).first()[0] or 0
-            if not left:
+            if heads.isEmpty():
                 break
         not_light = (F.col("n") > light) | (F.col("m") > light)
-        if turn and (left <= 4 * texts.count() + 100_000 or turn == LEADER_ROUNDS):  # all pairs that are left
-            live = part.join(heads.select("key", "cls"), ["key", "cls"])
-            mate = live.select("key", "cls", F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("label").alias("other"))
-            pairs = live.join(mate, ["key", "cls"]).filter((F.col("set_id") < F.col("leader")) & (F.col("label") != F.col("other")) & not_light & bounded_overlap())
+        if turn == LEADER_ROUNDS:  # all pairs that are left
+            live = part.join(heads.select("key", "cls", "held"), ["key", "cls"])
+            short = live.filter(F.col("held") <= LONG)
+            mate = short.select("key", "cls", F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("label").alias("other"))
+            pairs = short.join(mate, ["key", "cls"]).filter((F.col("set_id") < F.col("leader")) & (F.col("label") != F.col("other")) & not_light & bounded_overlap()).select("set_id", "leader")
+            pairs = pairs.unionByName(block_pairs(live.filter(F.col("held") > LONG).join(bitmaps(texts), "set_id"), light))
             last = True
         else:
             pairs = part.join(heads, ["key", "cls"]).filter((F.col("label") != F.col("other")) & not_light & bounded_overlap())
