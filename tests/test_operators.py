@@ -200,3 +200,32 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     gap = F.col("s.ts").cast("double") - F.col("f.ts").cast("double")
     want = f.alias("f").join(s.alias("s"), (gap >= 0) & (gap <= 300)).count()
     assert spark.read.parquet(out).count() == want > 0
+
+
+def test_json_documents(spark, tmp_path):
+    from tidelog.sources import reports
+
+    d = tmp_path / "r"
+    d.mkdir()
+    (d / "a.json").write_text('{"events": ["x"], "correlations": [], "detections": [{"matched": true}, {"matched": false}]}')
+    (d / "b.json").write_text('{"report_type": "Timeline"}')
+    (d / "c.json").write_text("{broken")
+    r = {x.source_path[-6:]: x for x in reports.report_counts(reports.read_reports(spark, str(d))).collect()}
+    assert [(r[k].kind, r[k].events, r[k].detections, r[k].matched) for k in sorted(r)] == [("investigation", 1, 2, 1), ("timeline", 0, 0, 0), ("invalid", 0, 0, 0)]
+    (tmp_path / "m.json").write_text('{"entries": [{"relative_path": "a", "size_bytes": 1, "hashes": {"md5": "x", "sha256": "y"}}]}')
+    assert sorted(tuple(x) for x in reports.read_manifest(spark, str(tmp_path / "m.json")).collect()) == [("a", 1, "md5", "x"), ("a", 1, "sha256", "y")]
+    (tmp_path / "l.json").write_text('{"ledger_id": "L", "events": [{"seq": 1, "record_hash": "h"}, {"seq": 2}]}')
+    kept, refused = reports.read_ledger(spark, str(tmp_path / "l.json"))
+    assert [x.seq for x in kept.collect()] == [1] and [x.seq for x in refused.collect()] == [2]
+    notes = spark.createDataFrame([('{"releasing": "a", "receiving": "b"}',), ("old",)], "n string").select(reports.transfer_fields(F.col("n")).alias("t"))
+    assert [x.t and x.t.receiving for x in notes.collect()] == ["b", None]
+
+
+def test_read_lines(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.log").write_bytes(b"one\r\ntwo\n\nthree\n")
+    with gzip.open(tmp_path / "b.log.gz", "wb") as f:
+        f.write(b"x\ny")
+    got = sorted((r.source_path[-4:], r.line_number, r.line) for r in logs.read_lines(spark, str(tmp_path / "*.log*")).collect())
+    assert got == [(".log", 1, "one"), (".log", 2, "two"), (".log", 3, ""), (".log", 4, "three"), ("g.gz", 1, "x"), ("g.gz", 2, "y")]

@@ -112,3 +112,17 @@ def audit_status(ledger: DataFrame) -> DataFrame:
         .unionByName(rank(audit_chronology(ledger), F.col("inverted"), 2)).unionByName(rank(audit_intake(ledger), ~F.col("accepted"), 1))
     )
     return ranks.groupBy("ledger_id").agg(F.array(*map(F.lit, PRECEDENCE))[F.max("k")].alias("status"))
+
+
+def audit_digests(recorded: DataFrame, baseline: DataFrame) -> DataFrame:
+    """relative_path, algorithm, outcome of recorded digests against a trusted baseline (relative_path, md5, sha256)."""
+    trusted = baseline.select("relative_path", F.explode(F.create_map(F.lit("md5"), F.col("md5"), F.lit("sha256"), F.col("sha256"))).alias("algorithm", "trusted"))
+    joined = recorded.select("relative_path", F.lower("algorithm").alias("algorithm"), F.lower("digest").alias("digest")).join(trusted, ["relative_path", "algorithm"], "left")
+    return joined.select("relative_path", "algorithm", F.when(F.col("trusted").isNull(), "NO_BASELINE").when(F.col("trusted") == F.col("digest"), "EQUAL").otherwise("DIFFERENT").alias("outcome"))
+
+
+def inventory(entries: DataFrame, verified: DataFrame) -> DataFrame:
+    """Manifest entries with their verification status and a warning where it is not VERIFIED."""
+    one = entries.groupBy("relative_path").agg(F.count("*").alias("digests"))
+    out = one.join(verified, "relative_path", "left").withColumn("status", F.coalesce("status", F.lit("NOT_VERIFIED")))
+    return out.withColumn("warning", F.col("status") != "VERIFIED")

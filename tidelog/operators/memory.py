@@ -94,3 +94,33 @@ def triage(processes: DataFrame, sockets: DataFrame) -> DataFrame:
     cols = ["relation", "evidence_id", "from_id", "to_id", "confidence"]
     links = parent_child(processes).select(cols).unionByName(process_socket(processes, sockets).select(cols)).unionByName(same_pid(processes).select(cols)).unionByName(shared(processes, "execution_id", "SHARED_EXECUTION_PROVENANCE").select(cols))
     return links.groupBy("evidence_id", "relation").agg(F.count("*").alias("n"))
+
+
+def _observed(rows: DataFrame, kind: str, *fields: str) -> DataFrame:
+    """Artifacts without a time of their own as events."""
+    return rows.select(
+        ids.uuid5(ids.namespace("memory-event"), ids.joined(F.col("artifact_id"), F.lit(kind))).alias("event_id"), F.lit(2).alias("ts_class"), F.lit(None).cast("long").alias("ts_us"),
+        F.lit("memory").alias("category"), F.lit(kind).alias("event_type"), F.col("evidence_id").alias("source_path"), F.col("artifact_id").alias("source_artifact_id"), *fields,
+    )
+
+
+def socket_events(sockets: DataFrame) -> DataFrame:
+    return _observed(sockets, "socket_observed", "protocol", "local_port", "state", "pid")
+
+
+def module_events(modules: DataFrame) -> DataFrame:
+    return _observed(modules, "module_observed", "name", "path")
+
+
+def timeline(processes: DataFrame, sockets: DataFrame, modules: DataFrame) -> DataFrame:
+    """All memory events; fields of another kind are null."""
+    return events(processes).drop("description").unionByName(socket_events(sockets), allowMissingColumns=True).unionByName(module_events(modules), allowMissingColumns=True)
+
+
+def timeline_edges(links: DataFrame, memory_events: DataFrame) -> DataFrame:
+    """Links of artifacts as edges of their events."""
+    of = memory_events.select("event_id", "source_artifact_id")
+    a = of.select(F.col("event_id").alias("event_a"), F.col("source_artifact_id").alias("from_id"))
+    b = of.select(F.col("event_id").alias("event_b"), F.col("source_artifact_id").alias("to_id"))
+    none = F.lit(None).cast("long")
+    return links.join(a, "from_id").join(b, "to_id").select("relation", "event_a", "event_b", F.lit(None).cast("double").alias("delta_seconds"), none.alias("start_us"), none.alias("end_us"))

@@ -198,7 +198,7 @@ def host_pack(window: float = WINDOW) -> list[Rule]:
     return [ssh_then_sudo(window), failure_then_success(window), account_then_privilege(window), privilege_then_persistence(window)]
 
 
-def field_rule(name: str, category: str, event_types: tuple[str, ...] = (), **wanted: Any) -> Rule:
+def field_rule(name: str, category: str, event_types: tuple[str, ...] = (), /, **wanted: Any) -> Rule:
     """A rule over one event: each named field equals its value, or is one of a list."""
     conditions = tuple(Condition(f, "in" if isinstance(v, (list, tuple)) else "equals", v) for f, v in wanted.items() if v is not None)
     return Rule(name, f"Observed {name}.", (category,), event_types, conditions=conditions)
@@ -222,3 +222,25 @@ def protocol_rule(transport: str | None = None, dst_port: int | None = None, src
 
 def host_network_rule(window: float = WINDOW) -> Rule:
     return Rule("Host event with network event", "Observed a host event and a network event of the same endpoint.", (), (), ("HOST_NETWORK",), window=window)
+
+
+def memory_process_rule(name: str | list[str]) -> Rule:
+    return field_rule("Memory process name", "memory", (), event_type=["process_created", "process_observed"], name=name)
+
+
+def memory_socket_rule(port: int | None = None, state: str | None = None, protocol: str | None = None) -> Rule:
+    return field_rule("Memory socket", "memory", ("socket_observed",), local_port=port, state=state, protocol=protocol)
+
+
+def memory_module_rule(name: str | None = None, path_prefix: str | None = None) -> Rule:
+    conditions = tuple(c for c in (Condition("name", "equals", name), Condition("path", "starts_with", path_prefix)) if c.value is not None)
+    return Rule("Memory module", "Observed a module.", ("memory",), ("module_observed",), conditions=conditions)
+
+
+def memory_link_rule(relation: str, **wanted: Any) -> Rule:
+    """Edges of memory artifacts of one relation, with fields of either side."""
+    return Rule(f"Memory link {relation}", "Observed a link of memory artifacts.", (), (), (relation,), tuple(Condition(k, "equals", v) for k, v in wanted.items()))
+
+
+def memory_pack(name: str, port: int, prefix: str) -> list[Rule]:
+    return [memory_process_rule(name), memory_socket_rule(port), memory_module_rule(path_prefix=prefix), memory_link_rule("PROCESS_NETWORK_SOCKET"), memory_link_rule("PARENT_CHILD_PROCESS")]

@@ -292,3 +292,29 @@ def pivot_counts(spark, sf):
 @query("pivot_of_address", f"WITH {EV} SELECT 'ip' AS field, source_ip AS value, 'event' AS kind, event_id AS ref FROM e WHERE source_ip = '10.0.0.7' ORDER BY ref LIMIT 1001", "timeline")
 def pivot_of_address(spark, sf):
     return pivots.find(pivots.of_events(_events(spark, sf)), "ip", "10.0.0.7", "event")
+
+
+@query("custody_digests", "SELECT m.relative_path, algorithm, CASE WHEN f.relative_path IS NULL OR algorithm = 'sha9' THEN 'NO_BASELINE' WHEN digest = f.sha256 THEN 'EQUAL' ELSE 'DIFFERENT' END AS outcome FROM manifest m LEFT JOIN files f ON f.relative_path = m.relative_path", "manifest", "files")
+def custody_digests(spark, sf):
+    return integrity.audit_digests(view(spark, sf, "manifest"), view(spark, sf, "files"))
+
+
+@query("evidence_inventory", f"WITH {VERIFIED} SELECT relative_path, count(*) AS digests, max(status) AS status, max(status) <> 'VERIFIED' AS warning FROM v GROUP BY relative_path", "manifest", "files")
+def evidence_inventory(spark, sf):
+    entries = view(spark, sf, "manifest")
+    return integrity.inventory(entries, integrity.verify_manifest(entries, view(spark, sf, "files")))
+
+
+def _memory(spark, sf):
+    return _processes(spark, sf), tools.socket_artifacts(view(spark, sf, "mem_sockets")), tools.module_artifacts(view(spark, sf, "mem_modules"))
+
+
+@query("rules_memory_pack", f"""WITH {PROC}, x AS (SELECT 'Memory process name' AS rule_name FROM k WHERE name = 'p3' UNION ALL SELECT 'Memory socket' FROM mem_sockets WHERE local_port = '443' UNION ALL SELECT 'Memory module' FROM mem_modules WHERE path_text LIKE '/tmp%'
+UNION ALL SELECT 'Memory link PARENT_CHILD_PROCESS' FROM k c JOIN k d ON c.evidence_id = d.evidence_id AND c.ppid = d.pid AND c.ppid > 0 WHERE (c.pid, c.plugin, c.name) <> (d.pid, d.plugin, d.name)
+UNION ALL SELECT 'Memory link PROCESS_NETWORK_SOCKET' FROM k JOIN mem_sockets s ON s.evidence_id = k.evidence_id AND CAST(pid_text AS BIGINT) = k.pid WHERE CAST(local_port AS BIGINT) <= 65535) SELECT rule_name, count(*) AS n FROM x GROUP BY ALL""", "mem_processes", "mem_sockets", "mem_modules")
+def rules_memory_pack(spark, sf):
+    processes, sockets, modules = _memory(spark, sf)
+    events = memory.timeline(processes, sockets, modules)
+    cols = ["relation", "evidence_id", "from_id", "to_id", "confidence"]
+    links = memory.parent_child(processes).select(cols).unionByName(memory.process_socket(processes, sockets).select(cols))
+    return rules.counts(rules.evaluate(events, rules.memory_pack("p3", 443, "/tmp"), memory.timeline_edges(links, events)))
