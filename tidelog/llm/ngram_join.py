@@ -17,8 +17,10 @@ A document's set is its distinct word shingles. Two sets of a and b shingles lin
    united to components. Lists whose sets are then all in one component hold nothing more to find. In
    the others a second leader follows, and then every pair of sets of different components that is
    left: in short lists one by one, in long ones block against block inside tasks, where parity
-   bitmaps bound the overlap of a pair from above and only pairs that may link come out. A list of
-   near copies therefore costs its length, not its square, and no link between components is missed.
+   bitmaps bound the overlap of a pair from above and only pairs that may link come out. For some
+   rounds a set gives the nearest of its mates only, which unites near copies in a few rounds; the
+   last round gives all that are still apart. A list of near copies therefore gives rows by its
+   length, not its square, and no link between components is missed.
 
 Shingles that very many documents hold (by the sketch) are known to be shared: they skip the dealing
 to lists, so no task gets a hot list whole.
@@ -52,7 +54,7 @@ CHUNK = 400_000
 HOT, HOT_SHARE = 4096, 8
 #: Entries of a part of the lists.
 PART = 1_500_000
-LEADER_ROUNDS = 2
+LEADER_ROUNDS, MATE_ROUNDS = 2, 3
 #: Lists of so many sets are searched in tasks, in blocks of BLOCK sets; bits of a set's parity bitmap.
 LONG, BLOCK, BITS = 32, 1024, 2048
 MAX_LIGHT = 16
@@ -378,8 +380,8 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     return texts.select("set_id", "text").mapInArrow(draw, "set_id long, bits binary")
 
 
-def block_pairs(live: DataFrame, light: int) -> DataFrame:
-    """set_id, leader: pairs of different labels in long lists whose bitmaps leave room for a link.
+def block_pairs(live: DataFrame, light: int, nearest: bool) -> DataFrame:
+    """set_id, leader: pairs of different labels in long lists whose bitmaps leave room for a link; the nearest mate of a set, or all.
 
     live: key, cls, held, set_id, n, label, bits. An overlap is at most (n + m - bits that differ) / 2.
     """
@@ -396,7 +398,10 @@ def block_pairs(live: DataFrame, light: int) -> DataFrame:
             if key[2] != key[3]:
                 mate = mate[part[mate] != part[i]]
             apart = np.bitwise_count(bits[mate] ^ bits[i]).sum(1, dtype=np.int64)
-            mate = mate[9 * (n[i] + n[mate] - apart) >= 8 * (n[i] + n[mate])]
+            room = 9 * (n[i] + n[mate] - apart) >= 8 * (n[i] + n[mate])
+            mate, apart = mate[room], apart[room]
+            if nearest and len(mate):
+                mate = mate[[int(np.argmin(apart))]]
             a.append(np.full(len(mate), ids[i]))
             b.append(ids[mate])
         return pd.DataFrame({"set_id": np.concatenate(a), "leader": np.concatenate(b)}).astype("int64")
@@ -454,9 +459,9 @@ def components(docs: DataFrame) -> DataFrame:
     # prefix lists by size: linked sets have a size class in common
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
     heavy = entries.filter("other = 0").withColumn("cls", F.explode(F.array(size_class, size_class - 1))).drop("other")
-    compared, links = None, None
+    compared, links, bits = None, None, None
     labels = None
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn in range(LEADER_ROUNDS + MATE_ROUNDS + 1):
         part = heavy.withColumn("label", F.col("set_id")) if labels is None else heavy.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         rank = F.xxhash64("set_id", F.lit(turn))
         heads = (
@@ -468,13 +473,14 @@ def components(docs: DataFrame) -> DataFrame:
             if heads.isEmpty():
                 break
         not_light = (F.col("n") > light) | (F.col("m") > light)
-        if turn == LEADER_ROUNDS:  # all pairs that are left
+        if turn >= LEADER_ROUNDS:  # all pairs that are left
+            last = turn == LEADER_ROUNDS + MATE_ROUNDS
+            bits = materialize(bitmaps(texts), "bits") if bits is None else bits
             live = part.join(heads.select("key", "cls", "held"), ["key", "cls"])
             short = live.filter(F.col("held") <= LONG)
             mate = short.select("key", "cls", F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("label").alias("other"))
             pairs = short.join(mate, ["key", "cls"]).filter((F.col("set_id") < F.col("leader")) & (F.col("label") != F.col("other")) & not_light & bounded_overlap()).select("set_id", "leader")
-            pairs = pairs.unionByName(block_pairs(live.filter(F.col("held") > LONG).join(bitmaps(texts), "set_id"), light))
-            last = True
+            pairs = pairs.unionByName(block_pairs(live.filter(F.col("held") > LONG).join(bits, "set_id"), light, not last))
         else:
             pairs = part.join(heads, ["key", "cls"]).filter((F.col("label") != F.col("other")) & not_light & bounded_overlap())
             if turn == 0:  # one leader a set to begin with
