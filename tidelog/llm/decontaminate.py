@@ -33,7 +33,7 @@ from tidelog.llm.text import ALNUM, raw, rows
 
 WINDOW = 10
 BLOCK = 1_000_000
-ITEM_WORDS = 2_000_000
+ITEM_WORDS = 1_000_000
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -172,7 +172,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         terms, windows = item_windows(listed, window)
         wanted = spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(terms)], "term binary, number long")
 
-        postings = index.filter(F.col("term").isNotNull()).join(wanted, "term").select("block", "number", "postings", F.lit(None).cast("array<long>").alias("sizes"))
+        postings = index.filter(F.col("term").isNotNull()).join(F.broadcast(wanted), "term").select("block", "number", "postings", F.lit(None).cast("array<long>").alias("sizes"))
         sizes = index.filter(F.col("term").isNull()).select("block", F.lit(-1).cast("long").alias("number"), F.lit(None).cast("binary").alias("postings"), F.col("docs.n_words").alias("sizes"))
         one = postings.unionByName(sizes).groupBy("block").applyInPandas(matcher(names, terms, windows, slop), "block long, doc_no int, item_id string, spans array<struct<s:int,e:int>>")
         found = one if found is None else found.unionByName(one)
