@@ -3,10 +3,10 @@
 A unit is a stretch of text that the tokenizer's own pre-tokenizer never joins with its neighbours,
 so the ids of a text are the ids of its units in order (tests compare with whole texts):
 
-* pieces with the blank in front (`byte`): cut before a single blank between two characters that
-  are no white space;
-* words without white space (`word`): cut at ASCII white space;
-* either is cut once more behind its leading letters, where an ASCII character that is no letter follows.
+* `byte` (pieces with the blank in front): cut before a single blank, and around a single line feed,
+  between characters that are no white space;
+* `word` (words without white space): cut at ASCII white space;
+* either is cut once more between a letter and the punctuation that ends it.
 
 Ids of units are remembered for all tasks of a Python worker, in two generations of BOUND units.
 """
@@ -17,14 +17,24 @@ import os
 import re
 import sys
 import types
-
-import numpy as np
+from array import array
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-GAP = re.compile(r"\s\s")
-STEM = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f])")
-BOUND = 350_000
-END_ID = np.array([0], "<u4").tobytes()
+#: White space other than blanks and line feeds.
+OTHER = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ENDS = ".,;:!?"
+BOUND = 600_000
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+END_ID = as_bytes([0])
 
 
 def vocabulary(name: str) -> str:
@@ -34,70 +44,106 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    def __init__(self, path: str, kind: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+def is_odd(text: str) -> bool:
+    """Whether there is white space other than single blanks and line feeds between other characters."""
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or OTHER.search(text) is not None
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
-        self.kind = kind
+
+class Memory:
+    """Ids of units that all stand behind the same prefix."""
+
+    def __init__(self, encode, prefix: str = ""):
+        self.encode, self.prefix = encode, prefix
         self.young: dict = {}
         self.old: dict = {}
 
-    def units(self, text: str | None) -> list:
-        if not text:
-            return []
-        if self.kind == "word":
-            return text.encode("utf-8", "replace").split()
-        parts = CUT.split(text) if GAP.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def look_up(self, texts: list[list]) -> list[list[bytes]]:
+        """Ids of the units of several texts; what is new in all of them is encoded together."""
+        got = [list(map(self.young.get, units)) for units in texts]
+        gaps = [[i for i, g in enumerate(row) if g is None] if None in row else () for row in got]
+        new = {units[i] for units, gap in zip(texts, gaps) for i in gap}
+        if new:
+            self.learn(new)
+            for units, row, gap in zip(texts, got, gaps):
+                for i in gap:
+                    row[i] = self.young[units[i]]
+        return got
 
     def learn(self, new: set) -> None:
-        """Ids of units that the young generation lacks."""
         if len(self.young) > BOUND:
             self.old, self.young = self.young, {}
-        known, old = self.young, self.old
-        split: list[tuple] = []
-        parts: set[str] = set()
+        young, old = self.young, self.old
+        todo: list[tuple] = []
+        texts: dict[str, bytes] = {}
         for u in new:
             if (ids := old.get(u)) is not None:
-                known[u] = ids
+                young[u] = ids
                 continue
-            text = u.decode("utf-8", "replace") if self.kind == "word" else u
-            if m := STEM.match(text):
-                stem, tail = text[: m.end()], text[m.end() :]
-                split.append((u, stem, tail))
-                parts.update((stem, tail))
-            else:
-                split.append((u, text, None))
-                parts.add(text)
-        key = (lambda x: x.encode()) if self.kind == "word" else (lambda x: x)
-        ids_of: dict[str, bytes] = {}
-        todo = []
-        for x in parts:
-            ids = known.get(key(x), old.get(key(x)))
+            text = u.decode("utf-8", "replace") if isinstance(u, bytes) else u
+            stem = text.rstrip(ENDS)
+            if len(stem) == len(text) or not stem or not stem[-1].isalpha() or stem[-1] > "ÿ":  # beyond, lower case may end in a mark
+                stem = text
+            tail = text[len(stem) :]
+            key = stem.encode() if isinstance(u, bytes) else stem
+            ids = young.get(key) or old.get(key)
+            todo.append((u, key, stem, tail, ids))
             if ids is None:
-                todo.append(x)
-            else:
-                ids_of[x] = ids
-        for at in range(0, len(todo), 10_000):
-            some = todo[at : at + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                ids_of[x] = known[key(x)] = np.array(e.ids, "<u4").tobytes()
-        for u, stem, tail in split:
-            known[u] = ids_of[stem] + (ids_of[tail] if tail is not None else b"")
+                texts[self.prefix + stem] = b""
+            if tail:
+                texts[tail] = b""
+        every = list(texts)
+        for at in range(0, len(every), 10_000):
+            part = every[at : at + 10_000]
+            texts.update((x, as_bytes(e.ids)) for x, e in zip(part, self.encode(part, add_special_tokens=False)))
+        for u, key, stem, tail, ids in todo:
+            if ids is None:
+                ids = young[key] = texts[self.prefix + stem]
+            young[u] = ids + texts[tail] if tail else ids
+
+
+class Encoder:
+    def __init__(self, path: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.kind = kind
+        self.bare, self.spaced = Memory(tokenizer.encode_batch), Memory(tokenizer.encode_batch, " ")
+        self.line_feed = as_bytes(tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id 0."""
-        out: list = []
+        if self.kind == "word":
+            # ASCII capitals fold in the tokenizer anyway; folded first, fewer units differ
+            rows = self.bare.look_up([(t or "").encode("utf-8", "replace").lower().split() for t in texts])
+            return [b"".join(row) + END_ID for row in rows]
+        heads: list[list[str]] = []
+        rest: list[list[str]] = []
+        breaks: list[list[int]] = []
         for t in texts:
-            us = self.units(t)
-            got = list(map(self.young.get, us))
-            if None in got:
-                self.learn({u for u, g in zip(us, got) if g is None})
-                got = [g if g is not None else self.young[u] for u, g in zip(us, got)]
-            out.append(b"".join(got) + END_ID)
+            t = t or ""
+            if is_odd(t):  # white space of several characters is a matter of the tokenizer
+                parts = CUT.split(t)
+                heads.append(parts[:1])
+                rest.append(parts[1:])
+                breaks.append([])
+                continue
+            lines = [line.split(" ") for line in t.split("\n")]
+            heads.append([w[0] for w in lines])
+            rest.append([x for w in lines for x in w[1:]])
+            breaks.append([len(w) - 1 for w in lines])
+        out = []
+        for first, others, sizes in zip(self.bare.look_up(heads), self.spaced.look_up(rest), breaks):
+            if len(sizes) > 1:
+                at, row = 0, []
+                for k, (ids, n) in enumerate(zip(first, sizes)):
+                    row += [self.line_feed, ids] if k else [ids]
+                    row += others[at : at + n]
+                    at += n
+                out.append(b"".join(row) + END_ID)
+            else:
+                out.append(b"".join(first + others) + END_ID)
         return out
 
 
