@@ -26,7 +26,7 @@ PASSAGE = 64
 PER_CLASS, MAX_CHARS = 1000, 40_000
 HIDDEN, GATE = 16, 8
 #: Bytes that are encoded side by side.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 CLASSES = 10
 
@@ -75,6 +75,18 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.sqrt(hist / size), extra], 1).astype(np.float32), first
 
 
+def encoded_chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """encode, about CHUNK characters at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
+            size += len(texts[end] or "")
+            end += 1
+        yield encode(texts[at:end])
+        at = end
+
+
 def pool(p: dict, x: np.ndarray, first: np.ndarray):
     """Logit of each bag, and what the gradient needs."""
     h = np.tanh(x @ p["w"] + p["b"])
@@ -122,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label:
     y = np.array([min(1, max(0, v)) for _, v in sample], int)
     model = {"net": None, "score": n1 / (n0 + n1) if n0 + n1 else 0.5}
     if len(set(y)) == 2:
-        x, first = encode([t for t, _ in sample])
+        parts = list(encoded_chunks([t for t, _ in sample]))
+        ends = np.cumsum([0] + [len(x) for x, _ in parts])
+        x, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + e for (_, f), e in zip(parts, ends)])
         model["mean"], model["std"] = x.mean(0), x.std(0) + 0.02
         net = fit_bags((x - model["mean"]) / model["std"], first, y)
         net["d"] = net["d"] + np.float32(np.log(n1 / n0))  # labels weighed alike in the fit; here as they occur
@@ -133,15 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, label:
 def scores(model: dict, texts: list[str | None]) -> np.ndarray:
     if model["net"] is None:
         return np.full(len(texts), float(model["score"]))
-    out, at = [], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
-            size += len(texts[end] or "")
-            end += 1
-        x, first = encode(texts[at:end])
-        out.append(sigmoid(pool(model["net"], (x - model["mean"]) / model["std"], first)[0].astype(float)))
-        at = end
+    out = [sigmoid(pool(model["net"], (x - model["mean"]) / model["std"], first)[0].astype(float)) for x, first in encoded_chunks(texts)]
     return np.concatenate(out) if out else np.zeros(0)
 
 

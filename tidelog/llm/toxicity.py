@@ -32,7 +32,7 @@ WORD_ROWS, WORD_DIM = 1 << 15, 6
 #: Byte runs of a word with its ends marked, and hashed rows for each length.
 GRAMS, GRAM_ROWS, GRAM_DIM = (3, 5), 1 << 14, 8
 #: Characters that are scored side by side, and windows in one pass of the network.
-CHUNK, LANES = 3_000_000, 8192
+CHUNK, LANES = 1_000_000, 8192
 
 
 #: ASCII letters in lower case and digits stay, other ASCII separates words, all beyond ASCII stays.
