@@ -1,12 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 1. Token counts of the training texts are summed exactly (table `vocab`).
-2. Counts of all 1- and 2-grams are summed by hash, part by part; a count c becomes the level
-   1 + floor(log2 c), and the filter gets one membership for each level up to it.
-3. The filter has a fixed size (FILTER_BYTES), the only thing of the n-grams that is broadcast. Where
-   all n-grams would fill over MAX_FILL of it, a part admits those of twice the count (again and again
-   until they fit); the others back off to the 1-gram. All n-grams are counted at any size.
-4. A document's probability is read off by probing level after level until one is missing:
+2. Texts are dealt to chunks, and each chunk sends its distinct 1- and 2-grams, with their counts in
+   training texts, to the hash part they belong to. Counts of a part are summed; a 2-gram's count c
+   becomes the level 1 + floor(log2 c), and the part's filter gets one membership for each level up to it.
+3. A part's filter is as large as its 2-grams need (MAX_FILL), so the filter grows with the corpus and
+   every counted 2-gram is in it; nothing of it is broadcast. The part probes it for what the chunks have
+   asked, and sends levels (for 1-grams: exact counts) back to the chunks, a byte for each 2-gram.
+4. A level is read off by probing level after level until one is missing:
    P(w|h) = (c(hw) + MU P(w)) / (c(h) + MU), P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
 The exact base score needs the exact count of every token. Tokens of high counts (HEAVY of them at
@@ -14,7 +15,7 @@ most, found from a histogram of counts) are broadcast; the others, rare by choic
 A hot word is therefore never shuffled for each document.
 
 Defined results: null or empty text has the end token only. Repeated rows count and are scored as
-they come. An empty training set has N = V = 0. Hashes have 64 bits; only n-gram levels use them.
+they come. An empty training set has N = V = 0. Hashes have 56 bits; only the n-gram score uses them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +32,17 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fold, materialize, read_table
 from tidelog.llm.text import WordHashes, join_hashes, mix, raw, rows
 
-FILTER_BYTES, MAX_FILL = 1 << 26, 0.4
-BLOCKS = 1 << 10
+#: Bytes of the filters of eight parts, about, and the share of bits set in a filter: at 0.1, one in a hundred
+#: n-grams reads a level too high.
+FILTER_BYTES, MAX_FILL = 1 << 26, 0.1
 #: Probes of the first level, and of each further one.
 PROBES, MORE_PROBES = 4, 2
 HEAVY = 200_000
 MU = 30.0
-#: n-grams of a part, and tokens that are counted, and scored, side by side.
-PART, CHUNK, SCORED = 2_000_000, 1_000_000, 200_000
+#: n-grams of a part (4.75 bytes of filter each, or less where they repeat), and tokens of a chunk.
+PART, CHUNK = FILTER_BYTES >> 5, 1_000_000
+KEPT = np.uint64(2**64 - 256)  # bits of a hash; the lowest ones count the training texts
 END, START = b"\n", b"\n\n"  # no word holds a line end
-BLOCK_BITS = FILTER_BYTES * 8 // BLOCKS
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -63,21 +64,6 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def token_chunks(batches: Iterator[pa.RecordBatch], most: int, *cols: str) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows and their tokens, about `most` tokens at a time; the last column is the text."""
-    kept, words, size = [], [], 0
-    for row in rows(batches, *cols):
-        w = raw(row[-1]).lower().split()
-        kept.append(row[:-1])
-        words.append(w)
-        size += len(w) + 1
-        if size >= most:
-            yield kept, words
-            kept, words, size = [], [], 0
-    if kept:
-        yield kept, words
-
-
 def grams(cache: WordHashes, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then the end), of what stands before each, and tokens a text."""
     size = np.array([len(w) + 1 for w in words])
@@ -98,21 +84,20 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, (0.5 * top + top - 1) / 2, level)
 
 
-def positions(hashes: np.ndarray, lv: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte and bit of a probe: the block by the hash's high bits, the place in it by mixing."""
+def positions(hashes: np.ndarray, lv: int, probe: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of a probe in a filter of size bytes."""
     x = mix(hashes + np.uint64((lv * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    bit = (x & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
-    block = (hashes >> np.uint64(64 - BLOCKS.bit_length() + 1)).astype(np.int64)
-    return block * (BLOCK_BITS >> 3) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8)
+    bit = ((x >> np.uint64(32)) * np.uint64(8 * size)) >> np.uint64(32)
+    return (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
 
 
-def insert(bits: np.ndarray, hashes: np.ndarray, lv: np.ndarray, offset: int = 0) -> None:
-    """Membership of every level up to lv; bits starts at byte offset of the filter."""
+def insert(bits: np.ndarray, hashes: np.ndarray, lv: np.ndarray) -> None:
+    """Membership of every level up to lv."""
     k = 1
     while len(hashes):
         for probe in range(PROBES if k == 1 else MORE_PROBES):
-            byte, bit = positions(hashes, k, probe)
-            np.bitwise_or.at(bits, byte - offset, bit)
+            byte, bit = positions(hashes, k, probe, len(bits))
+            np.bitwise_or.at(bits, byte, bit)
         k += 1
         more = lv >= k
         hashes, lv = hashes[more], lv[more]
@@ -124,78 +109,88 @@ def probe_levels(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at, k = np.arange(len(hashes)), 1
     while len(at):
         for probe in range(PROBES if k == 1 else MORE_PROBES):
-            byte, bit = positions(hashes[at], k, probe)
+            byte, bit = positions(hashes[at], k, probe, len(bits))
             at = at[(bits[byte] & bit) != 0]
         out[at] = k
         k += 1
     return out
 
 
-def build_filter(docs: DataFrame, tokens: int) -> tuple[np.ndarray, dict]:
-    """The filter of all 1- and 2-grams of docs, and figures on it; tokens: how many there are."""
-    parts = 1 << max(3, math.ceil(math.log2(max(1, 2 * tokens / PART))))
+def build_filter(hashes: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The filter of n-grams counted c times: as large as MAX_FILL asks."""
+    lv = level(c)
+    set_bits = int((PROBES + MORE_PROBES * (lv - 1)).sum())
+    bits = np.zeros(max(64, math.ceil(set_bits / -math.log(1 - MAX_FILL) / 8)), np.uint8)
+    insert(bits, hashes, lv)
+    return bits
+
+
+def distinct(hashes: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes (56 bits) and how often learn holds for each."""
+    h = np.sort(hashes & KEPT | learn)
+    first = np.flatnonzero(np.r_[True, h[1:] & KEPT != h[:-1] & KEPT])
+    return h[first] & KEPT, np.add.reduceat((h & ~KEPT).astype(np.int64), first)
+
+
+def pack(h: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte plane by byte plane (the high ones are nearly all zero and compress), and counts."""
+    over = np.flatnonzero(c >= 255)
+    steps = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return np.int64(len(over)).tobytes() + over.tobytes() + c[over].tobytes() + steps.T.tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes()
+
+
+def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(b, np.int64, 1)[0])
+    over, many = np.frombuffer(b, np.int64, m, 8), np.frombuffer(b, np.int64, m, 8 + 8 * m)
+    n = (len(b) - 8 - 16 * m) // 9
+    c = np.frombuffer(b, np.uint8, n, 8 + 16 * m + 8 * n).astype(np.int64)
+    c[over] = many
+    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 8 * n, 8 + 16 * m).reshape(8, n).T)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), c
+
+
+def answers(dealt: DataFrame, parts: int) -> DataFrame:
+    """chunk, kind, part, payload: for each chunk's distinct 1-grams of a part (kind 0) their exact counts,
+    for its 2-grams (kind 1) their levels, in order of the hashes; grams, admitted: those of the part in training texts, and those found again, in one row."""
     shift = np.uint64(64 - parts.bit_length() + 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for _, words in token_chunks(batches, CHUNK, "text"):
-            flat, before, _ = grams(cache, words)
-            one, c = np.unique(np.concatenate([mix(flat), join_hashes(before, flat)]), return_counts=True)
-            small = np.minimum(c, 255).astype(np.uint8)
-            part = (one >> shift).astype(np.int64)
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            payload, which = [], []
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        flat, before, size = grams(WordHashes(), [raw(t).lower().split() for t in table["text"].to_pylist()])
+        learn = np.repeat(np.array(table["learn"].to_pylist(), np.uint64), size)
+        kinds, which, payload = [], [], []
+        for kind, h in enumerate((mix(flat), join_hashes(before, flat))):
+            one, c = distinct(h, learn)
+            cut = np.searchsorted(one >> shift, np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[p], cut[p + 1])
-                over = np.flatnonzero(c[s] >= 255)
-                payload.append(np.int64(len(over)).tobytes() + over.tobytes() + c[s][over].tobytes() + one[s].tobytes() + small[s].tobytes())
+                payload.append(pack(one[s], c[s]))
+                kinds.append(kind)
                 which.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(payload, pa.binary())], ["part", "payload"])
-
-    def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-        m = int(np.frombuffer(b, np.int64, 1)[0])
-        over, many = np.frombuffer(b, np.int64, m, 8), np.frombuffer(b, np.int64, m, 8 + 8 * m)
-        n = (len(b) - 8 - 16 * m) // 9
-        c = np.frombuffer(b, np.uint8, n, 8 + 16 * m + 8 * n).astype(np.int64)
-        c[over] = many
-        return np.frombuffer(b, np.uint64, n, 8 + 16 * m), c
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack(b) for b in pdf["payload"]]
-        h, c = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(which), pa.int64()), "kind": pa.array(kinds, pa.int32()), "part": pa.array(which, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        got = [unpack(b) for b in table["payload"].to_pylist()]
+        asked, c = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        order = np.argsort(asked)
+        h, c = asked[order], c[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        first = np.flatnonzero(new)
         h, c = h[first], np.add.reduceat(c, first)
-        lv, least = level(c), 1
-        while True:  # memberships of n-grams counted so often, against this part's share of the filter
-            admitted = lv >= least
-            set_bits = (PROBES + MORE_PROBES * (lv[admitted] - 1)).sum()
-            if 1 - np.exp(-set_bits * parts / (FILTER_BYTES * 8)) <= MAX_FILL or not admitted.any():
-                break
-            least += 1
-        h, lv = h[admitted], lv[admitted]
-        lo = int(key[0]) * BLOCKS // parts
-        hi = max(lo + 1, (int(key[0]) + 1) * BLOCKS // parts)
-        size = BLOCK_BITS >> 3
-        bits = np.zeros((hi - lo) * size, np.uint8)
-        insert(bits, h, lv, lo * size)
-        return pd.DataFrame({"block": np.arange(lo, hi), "bits": [bits[i * size : (i + 1) * size].tobytes() for i in range(hi - lo)], "grams": [len(first)] + [0] * (hi - lo - 1), "least": 1 << (least - 1)})
-
-    def unite(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"block": [key[0]], "bits": [bits.tobytes()], "grams": [pdf["grams"].sum()], "least": [pdf["least"].max()]})
-
-    schema = "block int, bits binary, grams long, least long"
-    built = docs.select("text").mapInArrow(count, "part int, payload binary").groupBy("part").applyInPandas(build, schema)
-    if parts > BLOCKS:  # several parts share a block
-        built = built.groupBy("block").applyInPandas(unite, schema)
-    bits, info = np.zeros(FILTER_BYTES, np.uint8), {"grams": 0, "least": 1}
-    for r in built.toLocalIterator():  # FILTER_BYTES in all
-        bits[r.block * (BLOCK_BITS >> 3) : (r.block + 1) * (BLOCK_BITS >> 3)] = np.frombuffer(r.bits, np.uint8)
-        info["grams"] += r.grams
-        info["least"] = max(info["least"], r.least)
-    return bits, info
+        counted = c > 0
+        value = c
+        if key[0].as_py():
+            value = probe_levels(build_filter(h[counted], c[counted]), h).astype(np.uint8)
+        out = np.empty(len(asked), value.dtype)
+        out[order] = value[np.cumsum(new) - 1]
+        cut = np.cumsum([0] + [len(x) for x, _ in got])
+        once = lambda n: pa.array([int(n)] + [0] * (len(got) - 1), pa.int64())
+        return pa.table({
+            "chunk": table["chunk"], "kind": table["kind"], "part": table["part"],
+            "payload": pa.array([out[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), "grams": once(counted.sum()), "admitted": once((value[counted] > 0).sum()),
+        })
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, part int, payload binary")
+    return asked.groupBy("kind", "part").applyInArrow(answer, "chunk long, kind int, part int, payload binary, grams long, admitted long")
 
 
 def heavy_tokens(vocab: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -214,66 +209,70 @@ def score(docs: DataFrame, rows_to_learn: Column) -> DataFrame:
     learn = docs.filter(F.coalesce(rows_to_learn, F.lit(False)))
     vocab = materialize(count_tokens(learn), "vocab")
     n, v, d = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("token") == F.lit(END), F.col("c")))).first())
-    bits, info = build_filter(learn, n)
     heavy, _ = heavy_tokens(vocab)
     logs_of_heavy = {w: math.log10(c + 0.1) for w, c in heavy.items()}
-    shared_bits, shared_logs = spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(logs_of_heavy)
+    shared_logs = spark.sparkContext.broadcast(logs_of_heavy)
     norm = n + 0.1 * (v + 1)
+    size, texts = (x or 0 for x in docs.agg(F.sum(F.octet_length("text")), F.count("*")).first())
+    tokens = size / 5 + texts  # about
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(8, math.ceil(tokens / CHUNK))))
+    dealt = materialize(docs.select("doc_id", "text", F.coalesce(rows_to_learn, F.lit(False)).cast("int").alias("learn"), chunk.cast("long").alias("chunk")), "dealt")
+    parts = 1 << max(3, math.ceil(math.log2(max(1, tokens / PART))))
+
+    def read(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        logs = shared_logs.value
+        words = [raw(t).lower().split() for t in left["text"].to_pylist()]
+        flat, before, size = grams(WordHashes(), words)
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        told = sorted(zip(*(right[c].to_pylist() for c in ("kind", "part", "payload"))))
+
+        def values(h: np.ndarray, kind: int, dtype: type) -> np.ndarray:
+            h = h & KEPT
+            return np.frombuffer(b"".join(x for k, _, x in told if k == kind), dtype)[np.searchsorted(np.unique(h), h)]
+
+        of_word = values(mix(flat), 0, np.int64)
+        history = np.empty_like(of_word)
+        history[1:] = of_word[:-1]
+        history[first] = max(1, d)
+        pair = np.minimum(count_of(values(join_hashes(before, flat), 1, np.uint8).astype(np.int64)), history)
+        p = (pair + MU * (of_word + 0.1) / norm) / (history + MU)
+        total = np.add.reduceat(np.log10(p), first)
+        known, partial, ends, tokens, times = [], [], [0], [], []
+        for w in words:
+            found = [logs[t] for t in w if t in logs]
+            found += [logs[END]] if END in logs else []
+            rest = Counter(t for t in w if t not in logs)
+            if END not in logs:
+                rest[END] += 1
+            known.append(len(found))
+            partial.append(math.fsum(found))
+            tokens += rest
+            times += rest.values()
+            ends.append(len(tokens))
+        counted = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "k"])
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted)
+        once = lambda c: pa.array([sum(right[c].to_pylist())] + [0] * (len(words) - 1), pa.int64())
+        return pa.table({
+            "row": pa.array((key[0].as_py() << 33) + np.arange(len(words)), pa.int64()), "doc_id": left["doc_id"], "n_tokens": pa.array(size, pa.int64()), "heavy": pa.array(known, pa.int64()),
+            "partial": pa.array(partial, pa.float64()), "score": pa.array(total, pa.float64()), "rare": rare, "grams": once("grams"), "admitted": once("admitted"),
+        })
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        bits, logs, cache = shared_bits.value, shared_logs.value, WordHashes()
-        base = TaskContext.get().partitionId() << 33
-        for kept, words in token_chunks(batches, SCORED, "doc_id", "text"):
-            flat, before, size = grams(cache, words)
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            both, back = np.unique(np.concatenate([flat, before[first[:1]]]), return_inverse=True)
-            uni = count_of(probe_levels(bits, mix(both)))
-            uni[back[-1]] = max(1, d) if before[first[0]] != flat[0] else uni[back[-1]]
-            of_word = uni[back[:-1]]
-            history = np.empty_like(of_word)
-            history[1:] = of_word[:-1]
-            history[first] = max(1, d)
-            pair = np.minimum(count_of(probe_levels(bits, join_hashes(before, flat))), history)
-            p = (pair + MU * (of_word + 0.1) / norm) / (history + MU)
-            total = np.add.reduceat(np.log10(p), first)
-            known, partial, ends, tokens, times = [], [], [0], [], []
-            for w in words:
-                found = [logs[t] for t in w if t in logs]
-                found += [logs[END]] if END in logs else []
-                rest = Counter(t for t in w if t not in logs)
-                if END not in logs:
-                    rest[END] += 1
-                known.append(len(found))
-                partial.append(math.fsum(found))
-                tokens += rest
-                times += rest.values()
-                ends.append(len(tokens))
-            counted = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "k"])
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted)
-            ids = base + np.arange(len(words))
-            base += len(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([k[0] for k in kept], id_type), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(partial, pa.float64()), pa.array(total, pa.float64()), rare],
-                ["row", "doc_id", "n_tokens", "heavy", "partial", "score", "rare"],
-            )
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = materialize(docs.select("doc_id", "text").mapInArrow(read, f"row long, doc_id {kind}, n_tokens long, heavy long, partial double, score double, rare array<struct<token:binary,k:long>>"), "lm")
+    scored = dealt.groupBy("chunk").cogroup(answers(dealt, parts).groupBy("chunk")).applyInArrow(
+        read, f"row long, doc_id {kind}, n_tokens long, heavy long, partial double, score double, rare array<struct<token:binary,k:long>>, grams long, admitted long"
+    )
+    out = materialize(scored, "lm")
+    counted, admitted = (x or 0 for x in out.agg(F.sum("grams"), F.sum("admitted")).first())
     found = (
         out.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.k")
         .join(vocab, "token")
         .groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 0.1)).alias("part"))
     )
     known = F.col("heavy") + F.coalesce("more", F.lit(0))
-    return out.drop("rare").join(found, "row", "left").select(
+    return out.drop("rare", "grams", "admitted").join(found, "row", "left").select(
         "doc_id", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("partial") + F.coalesce("part", F.lit(0.0)) + F.lit(math.log10(0.1)) * (F.col("n_tokens") - known) - F.col("n_tokens") * F.lit(math.log10(norm))).alias("base_score"),
-        "score", F.lit(info["grams"]).cast("long").alias("model_grams"), F.lit(info["least"]).cast("long").alias("model_least_count"),
+        "score", F.lit(counted).cast("long").alias("model_grams"), F.lit(admitted).cast("long").alias("model_admitted"), F.lit(1).cast("long").alias("model_least_count"),
     )
 
 
