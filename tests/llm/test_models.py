@@ -124,6 +124,15 @@ def test_windows_cover_all_words():
     assert [int((owner == k).sum()) for k in (1, 2, 3)] == [1, 1, 1]
 
 
+def test_every_window_is_scored():
+    words = [f"w{k}" for k in range(40)]
+    for lead in range(9):
+        idx, _ = toxicity.Words().windows([" ".join(["x"] * lead + words)])
+        number = {w: k + 1 for k, w in enumerate(dict.fromkeys(["x"] * lead + words))}
+        got = {tuple(r) for r in idx.tolist()}
+        assert all(tuple(number[w] for w in words[k : k + toxicity.WINDOW]) in got for k in range(40 - toxicity.WINDOW + 1))
+
+
 def test_rule_counts():
     text = "a b c a b c\nx # y\n\nx # y\n é"
     assert dict(zip(quality_rules.COUNTS, quality_rules.rule_counts(text)))["n_repeat_words"] == 12

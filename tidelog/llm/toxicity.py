@@ -2,9 +2,9 @@
 
 Each word enters as a learned word vector (hashed) joined with the scaled sum of learned vectors of its
 character runs (hashed). A window of WINDOW words is read in both directions, attention pools
-the states, and a logistic unit scores the pooled state. All overlapping windows (every STRIDE
-words, and the one that ends with the text) of every text are scored; a document's score is that of
-its highest window. The network is trained in numpy by backpropagation through time, on the
+the states, and a logistic unit scores the pooled state. The windows from every word on of every text
+are scored, so that a passage is read whole wherever it stands; a document's score is that of its
+highest window. The network is trained in numpy by backpropagation through time, on the
 document labels of a bounded sample of PER_CLASS documents a class (texts up to MAX_CHARS there):
 a document's error goes to its highest window.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fold, labelled_texts, read_table
 from tidelog.llm.nets import KEEP, Adam, gru_backward, gru_forward, scatter_sum, sigmoid
 
-WINDOW, STRIDE = 16, 8
+WINDOW = 16
 PER_CLASS, MAX_CHARS = 900, 12_000
 HIDDEN, ATTEND = 8, 8
 WORD_ROWS, WORD_DIM = 1 << 15, 6
@@ -60,11 +60,8 @@ class Words:
             if n < WINDOW:
                 ids = np.pad(ids, (0, WINDOW - n))
                 n = WINDOW
-            starts = np.arange(0, n - WINDOW + 1, STRIDE)
-            if starts[-1] + WINDOW < n:
-                starts = np.r_[starts, n - WINDOW]
-            rows.append(ids[starts[:, None] + np.arange(WINDOW)])
-            owner.append(np.full(len(starts), i))
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW))
+            owner.append(np.full(n - WINDOW + 1, i))
         if not rows:
             return np.zeros((0, WINDOW), np.int32), np.zeros(0, int)
         return np.concatenate(rows), np.concatenate(owner)
