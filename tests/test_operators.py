@@ -1,5 +1,7 @@
 """Small literal rows: boundaries, missing times, identities, rules, chains."""
 
+import hashlib
+import json
 import uuid
 
 import pytest
@@ -185,6 +187,20 @@ def test_broken_chain(spark):
     assert {(r.seq, r.problem) for r in integrity.verify_chain(forged).collect() if r.problem} == {(2, "ALTERED_RECORD"), (3, "BROKEN_LINK")}
 
 
+def test_long_ledger_is_a_stream(spark, capsys):
+    cols = "ledger_id string, seq int, event_id string, happened string, action_type string, item_id string, actor string, recipient string"
+    rows = spark.range(3000).selectExpr("if(id % 10 = 0, 'M', 'L') AS ledger_id", "CAST(id AS INT) AS seq", *(f"CAST(id AS STRING) AS {c}" for c in ("event_id", "happened", "action_type", "item_id", "actor")), "CAST(NULL AS STRING) AS recipient")
+    built = integrity.build_chain(rows.repartition(5).select(*[c.split()[0] for c in cols.split(", ")]))
+    built.explain()
+    assert "collect_list" not in capsys.readouterr().out  # no ledger in one row
+    last = dict.fromkeys("LM", "0" * 64)
+    for r in sorted(built.collect(), key=lambda r: r.seq):
+        body = json.dumps({c: r[c] for c in sorted(integrity.FIELDS)}, separators=(",", ":"))
+        assert r.previous_hash == last[r.ledger_id]
+        last[r.ledger_id] = hashlib.sha256((r.previous_hash + body).encode()).hexdigest()
+        assert r.record_hash == last[r.ledger_id]
+
+
 def test_manifest_needs_every_algorithm(spark):
     entries = spark.createDataFrame([("a", "md5", "1"), ("a", "sha256", "2"), ("b", "md5", "1"), ("b", "sha256", "x"), ("c", "crc", "1")], "relative_path string, algorithm string, digest string")
     files = spark.createDataFrame([("a", "1", "2"), ("b", "1", "2"), ("c", "1", "2")], "relative_path string, md5 string, sha256 string")

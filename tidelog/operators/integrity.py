@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidelog.functions.paths import entry_path_status
 
@@ -45,13 +50,26 @@ def record_hash(previous: Column) -> Column:
 
 
 def build_chain(actions: DataFrame) -> DataFrame:
-    """actions with previous_hash and record_hash: a fold over each ledger in order; ledgers run side by side."""
+    """actions with previous_hash and record_hash: each ledger is read in order as a stream, and only the
+    last hash is carried on; ledgers run side by side, one ledger within one task (its sort may spill)."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, last = object(), GENESIS
+        for batch in batches:
+            previous, own = [], []
+            for of, content in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if of != ledger:
+                    ledger, last = of, GENESIS
+                previous.append(last)
+                last = hashlib.sha256((last + content).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(previous, pa.string()), pa.array(own, pa.string())], [*names, "previous_hash", "record_hash"])
+
+    names = actions.columns
+    at = names.index("ledger_id")
+    schema = StructType([*actions.schema.fields, StructField("previous_hash", StringType()), StructField("record_hash", StringType())])
     rows = actions.withColumn("_content", F.to_json(F.struct(*sorted(FIELDS)), {"ignoreNullFields": "false"}))
-    ledger = rows.groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("seq", "_content"))).alias("r"))
-    empty = F.array(F.struct(F.lit(0).cast(actions.schema["seq"].dataType).alias("seq"), F.lit("").alias("p"), F.lit(GENESIS).alias("h")))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["seq"].alias("seq"), F.element_at(acc, -1)["h"].alias("p"), F.sha2(F.concat(F.element_at(acc, -1)["h"], x["_content"]).cast("binary"), 256).alias("h"))))
-    folded = ledger.select("ledger_id", F.explode(F.slice(F.aggregate("r", empty, step), 2, 2_000_000_000)).alias("c"))
-    return actions.join(folded.select("ledger_id", "c.seq", F.col("c.p").alias("previous_hash"), F.col("c.h").alias("record_hash")), ["ledger_id", "seq"])
+    return rows.repartition("ledger_id").sortWithinPartitions("ledger_id", F.col("seq").asc_nulls_last(), "_content").mapInArrow(carry, schema)
 
 
 def verify_chain(ledger: DataFrame) -> DataFrame:
