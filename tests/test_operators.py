@@ -43,6 +43,13 @@ def test_bucketed_join_equals_nested_loop(spark):
     assert pairs(correlate.temporal(events(spark, *rows).repartition(7), 100.0)) == want
 
 
+def test_untimed_links_count_what_the_pairs_hold(spark):
+    e = events(spark, ("a", 0, 0.0, "x", "u"), ("b", 0, 10.0, "x", "u"), ("c", 1, 0.0, "x", "u"), ("d", 2, None, "x", "u"), ("e", 2, None, "x", "u"))
+    apart = correlate.same_path(e).filter("delta_seconds is null").collect()
+    got = {r.event_id: r.n_links for r in correlate.untimed_links(e, correlate.path_identity()).collect()}
+    assert got == {k: sum(k in (r.event_a, r.event_b) for r in apart) for k in "abcde"} == {"a": 3, "b": 3, "c": 4, "d": 4, "e": 4}
+
+
 def test_authentication_before_privilege(spark):
     e = events(spark, ("a", 0, 10, "ssh_login_success", "u"), ("b", 0, 20, "sudo_command", "u"), ("c", 0, 5, "sudo_command", "u"), ("d", 0, 30, "sudo_command", "other"), ("n", 0, 40, "sudo_command", None))
     got = pairs(correlate.authentication_privilege(e))

@@ -98,6 +98,20 @@ def same_identity(events: DataFrame, kind: str, identity: Column, window: float
     return edges(pairs, kind, F.col("ident_a"))
 
 
+def untimed_links(events: DataFrame, identity: Column) -> DataFrame:
+    """event_id, value, ts_class, n_links: of each event with an identity, how many events of equal identity have times that do not compare with its own.
+
+    These links as membership and counts: two events of one value are linked where their classes differ or
+    both have no time. Counted by value and class, so the rows grow with the events, not with their pairs.
+    """
+    rows = events.withColumn("value", identity).filter(F.col("value").isNotNull())
+    classes = rows.groupBy("value", "ts_class").agg(F.count("*").alias("alike"))
+    totals = classes.groupBy("value").agg(F.sum("alike").alias("total"))
+    missing = F.col("ts_class") == times.MISSING
+    links = classes.join(totals, "value").select("value", "ts_class", (F.col("total") - F.when(missing, F.lit(1)).otherwise(F.col("alike"))).alias("n_links"))
+    return rows.select("event_id", "value", "ts_class").join(links, ["value", "ts_class"]).select("event_id", "value", "ts_class", "n_links")
+
+
 def same_user(events: DataFrame, window: float = WINDOW, untimed: bool = True) -> DataFrame:
     return same_identity(events, "SAME_USER", user_identity(), window, untimed)
 

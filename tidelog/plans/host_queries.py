@@ -262,6 +262,20 @@ def links_same_path(spark, sf):
     return correlate.same_path(_events(spark, sf), untimed=False).select("event_a", "event_b", "value", "delta_seconds")
 
 
+def _untimed_sql(identity: str) -> str:
+    return f"WITH {EV} SELECT a.event_id, a.{identity} AS value, a.ts_class, count(b.event_id) AS n_links FROM e a LEFT JOIN e b ON a.{identity} = b.{identity} AND a.event_id <> b.event_id AND (a.ts_class <> b.ts_class OR a.ts_class = 2) WHERE a.{identity} IS NOT NULL GROUP BY ALL"
+
+
+@query("links_same_source_untimed", _untimed_sql("source_ip"), "timeline")
+def links_same_source_untimed(spark, sf):
+    return correlate.untimed_links(_events(spark, sf), correlate.source_identity())
+
+
+@query("links_same_path_untimed", _untimed_sql("source_path"), "timeline")
+def links_same_path_untimed(spark, sf):
+    return correlate.untimed_links(_events(spark, sf), correlate.path_identity())
+
+
 @query("links_same_session", f"WITH {EV}, {PAIRS} AND a.session_id = b.session_id) SELECT event_a, event_b, sa AS value, delta_seconds FROM p WHERE delta_seconds IS NULL OR delta_seconds <= 300", "timeline")
 def links_same_session(spark, sf):
     return correlate.same_session(_events(spark, sf)).select("event_a", "event_b", "value", "delta_seconds")
