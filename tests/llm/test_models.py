@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm.data import ids_of, labels, no_docs, odd_docs, prose
 from tidelog.llm import language_id, lm_score, nets, quality_mil, quality_rules, toxicity
-from tidelog.llm.common import fold
+from tidelog.llm.common import class_sample, fold
 
 
 def crc(x):
@@ -211,3 +211,65 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch):
     # one in a hundred 2-grams may read a level too high, which moves a score by 0.4
     assert sum(x < 1e-6 for x in off) >= 20 and max(off) < 3
     assert {(r.model_grams, r.model_admitted) for r in out.values()} == {(len(one) + len(two), len(one) + len(two))}
+
+
+def plain_toxicity(net, text):
+    """A text's score by loops over words, windows and hidden units."""
+    words = toxicity.Words()
+    flat, _ = words.numbers([text])
+    table, _, _ = toxicity.symbol_table(net, words.rows())
+    flat, states = [int(k) for k in flat], {}
+    for begin in range(0, len(flat), toxicity.CORE):
+        lo, hi = max(0, begin - toxicity.CONTEXT), min(len(flat), begin + toxicity.CORE + toxicity.CONTEXT)
+        both = []
+        for d, order in ((0, range(lo, hi)), (1, range(hi - 1, lo - 1, -1))):
+            h, at = np.zeros(toxicity.HIDDEN), {}
+            for i in order:
+                a, g = table[d, flat[i]].astype(float), h @ net["u"][d].astype(float)
+                k = toxicity.HIDDEN
+                z, r = 1 / (1 + np.exp(-(a[:k] + g[:k]))), 1 / (1 + np.exp(-(a[k : 2 * k] + g[k : 2 * k])))
+                h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * g[2 * k :])
+                at[i] = h
+            both.append(at)
+        for i in range(begin, min(len(flat), begin + toxicity.CORE)):
+            states[i] = np.concatenate([both[0][i], both[1][i]])
+    best = -np.inf
+    for s in range(max(1, len(flat) - toxicity.WINDOW + 1)):
+        h = [states[i] for i in range(s, min(s + toxicity.WINDOW, len(flat)))]
+        e = [math.exp(float(np.tanh(x @ net["wa"]) @ net["a"])) for x in h]
+        best = max(best, sum(w * float(x @ net["c"]) for w, x in zip(e, h)) / sum(e) + float(net["d"][0]))
+    return 1 / (1 + math.exp(-best))
+
+
+def test_toxicity_against_a_plain_forward_pass():
+    net = toxicity.fit_documents([prose(k, 90) + " grob" * (k % 2) for k in range(12)], np.arange(12) % 2, epochs=1)
+    texts = [prose(1, 300), "", None, "one", prose(2, 15), prose(3, 16), prose(4, 65), "... --", "kurz"]
+    got = toxicity.scores({"net": net, "score": 0.5}, texts)
+    want = [plain_toxicity(net, t) if t and t.strip(". -") else 1 / (1 + math.exp(-float(net["d"][0]))) for t in texts]
+    assert got == pytest.approx(want, abs=2e-5)
+    assert (toxicity.scores({"net": net, "score": 0.5}, texts[::-1] + texts)[-len(texts) :] == got).all()
+
+
+@pytest.mark.parametrize("train, limit", [(quality_mil.train, 40_000), (toxicity.train, 12_000)])
+def test_labels_of_long_texts_only(spark, train, limit):
+    """Where every document of a label is long, it is learned from all the same."""
+    rows = [(k, prose(k, limit // 4 if k % 2 else 50)) for k in range(16)]
+    assert all(len(t) > limit for k, t in rows if k % 2)
+    assert train(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, [(k, k % 2, k % 2) for k in range(16)]))["net"] is not None
+
+
+def test_labels_without_documents(spark):
+    docs = odd_docs(spark)
+    for train, column in ((quality_mil.train, quality_mil.quality), (toxicity.train, toxicity.toxicity)):
+        model = train(docs, labels(spark, [(901, 1, 1), (902, 0, 0)]))
+        assert model["net"] is None and docs.select(column(model).alias("s")).distinct().count() == 1
+
+
+def test_class_sample_takes_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15, "b").otherwise("a").alias("y"))
+    got = {(r.y, r.doc_id) for r in class_sample(rows, "y", 100).select("y", "doc_id").collect()}
+    every = [(r.y, r.h, r.doc_id) for r in rows.select("y", "doc_id", F.xxhash64("doc_id").alias("h")).collect()]
+    want = {(y, i) for k in "ab" for y, _, i in sorted((y, (h % 2**64) >> 11, i) for y, h, i in every if y == k)[:100]}
+    assert len([1 for y, _ in got if y == "b"]) == 15 and len(got) == 115 and got == want

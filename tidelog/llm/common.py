@@ -21,9 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -48,29 +50,38 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 
 def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """At most per_class rows of each label value, lowest hash of the key first.
+    """per_class rows of each label value (all where there are fewer), lowest hash of the key first.
 
-    The rank filter runs as a group limit before the shuffle, so a hot class sends per_class rows a task.
+    A class's count gives a hash bound that about 2 * per_class + 100 of its rows pass, so what meets in
+    the task that ranks a class is bounded, however many rows the class has in however many tasks.
     """
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), F.col(key))
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_class).drop("_rank")
+    count = F.broadcast(rows.groupBy(label).agg(F.count("*").alias("_count")))  # a row a class
+    place = F.shiftrightunsigned(F.xxhash64(key), 11)
+    low = place / F.lit(float(1 << 53)) * F.col("_count") <= 2.0 * per_class + 100
+    w = Window.partitionBy(label).orderBy(place, F.col(key))
+    near = rows.join(count, label).filter(low).drop("_count")
+    return near.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_class).drop("_rank")
+
+
+def stretch(text: str, key: str, chars: int) -> Column:
+    """At most chars characters of a text, from a place given by the key's hash."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(F.col(text), (F.pmod(F.xxhash64(key), room) + 1).cast("int"), F.lit(chars))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """A bounded labelled sample for the driver: (text, label) of per_class documents a class at most.
 
-    Rows of one doc_id with several labels count by the largest; null ids, labels and texts are
-    left out; so are texts beyond max_chars (from the sample only, scores cover every text).
+    Only documents with a text are picked; of texts beyond max_chars a stretch of that length is taken
+    (for the sample only, scores cover every text). Rows of one doc_id with several labels count by the
+    largest, documents that repeat a doc_id by the text of the lowest hash; null ids and labels are left out.
     """
     one = (
         labels.select("doc_id", label).dropna().filter(train)
         .groupBy("doc_id").agg(F.max(label).alias("y"))
     )
-    picked = F.broadcast(class_sample(one, "y", per_class))  # per_class rows a class
-    rows = (
-        docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(picked, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
-        .select("text", "y")
-    )
-    return [(r.text, int(r.y)) for r in rows.collect()]
+    with_text = docs.filter(F.col("text").isNotNull()).select("doc_id")
+    picked = F.broadcast(class_sample(one.join(with_text, "doc_id", "left_semi"), "y", per_class))  # per_class rows a class
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), stretch("text", "doc_id", max_chars).alias("text"))).alias("r"))
+    return [(r.text, int(r.y)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "y").collect()]
