@@ -273,3 +273,35 @@ def test_class_sample_takes_lowest_hashes(spark):
     every = [(r.y, r.h, r.doc_id) for r in rows.select("y", "doc_id", F.xxhash64("doc_id").alias("h")).collect()]
     want = {(y, i) for k in "ab" for y, _, i in sorted((y, (h % 2**64) >> 11, i) for y, h, i in every if y == k)[:100]}
     assert len([1 for y, _ in got if y == "b"]) == 15 and len(got) == 115 and got == want
+
+
+def test_rules_where_much_junk_is_alike(spark):
+    docs, marks = quality_docs(spark, 3)
+    out = quality_rules.apply_rules(docs, marks, fold("doc_id", 5) != 0).collect()
+    assert not any(r.kept for r in out if r.doc_id % 3 == 0)
+    assert sum(r.kept for r in out if r.doc_id % 3) >= 0.97 * sum(r.doc_id % 3 > 0 for r in out)
+
+
+def test_rules_without_labels_of_both_kinds(spark):
+    docs, _ = quality_docs(spark)
+    out = quality_rules.apply_rules(docs, labels(spark, [(1, 1, 0)])).collect()
+    assert all(r.kept == (not r.base_failed and r.anomaly <= quality_rules.DEFAULT_THRESHOLD) for r in out)
+
+
+def plain_counts(text):
+    blank = " \t\n\v\f\r"
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c in blank:
+            words, word = words + [word] * bool(word), ""
+        else:
+            word += c
+    lines = [x for x in (text or "").split("\n") if any(c not in blank for c in x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), sum(x in lines[:k] for k, x in enumerate(lines)), brute_repeats(words))
+
+
+def test_rule_counts_against_brute_force(spark):
+    texts = [r.text for r in odd_docs(spark).collect() if len(r.text or "") < 5000]
+    texts += [" \t".join(w[:1] + "#" * (k % 3) for w in prose(k, k).split()) + "\n" + "a b\n" * (k % 4) + "  x\x1c\n \n" for k in range(40)]
+    for t in texts:
+        assert quality_rules.rule_counts(t)[:5] == plain_counts(t), t
