@@ -71,10 +71,11 @@ def test_rules_refuse_code_and_endless_sequences():
 
 def test_conditions(spark):
     df = spark.createDataFrame([("5", "true", None)], "n string, b string, m string")
-    c = rules.compare
+    c = lambda name, *more: rules.compare(F.col(name), *more, kind=df.schema[name].dataType)
     checks = [
-        (c(F.col("n"), "==", 5), True), (c(F.col("n"), ">", 4.5), True), (c(F.col("b"), "equals", 1), False), (c(F.col("m"), "exists"), False), (c(F.col("m"), "!=", "x"), True),
-        (c(F.col("n"), "in", [4, 5]), True), (c(F.col("n"), "ends_with", "5"), True), (c(F.col("m"), "contains", "a"), False),
+        # as the rules of the reference have it: a text is no number, and a missing field differs from nothing
+        (c("n", "==", 5), False), (c("n", ">", 4.5), False), (c("b", "equals", 1), False), (c("m", "exists"), False), (c("m", "!=", "x"), False),
+        (c("n", "in", [4, 5]), False), (c("n", "in", ["4", "5"]), True), (c("n", "ends_with", "5"), True), (c("m", "contains", "a"), False),
     ]
     for column, want in checks:
         assert df.select(column.alias("x")).first().x is want
@@ -171,9 +172,9 @@ def test_persistence_files(spark):
 
 
 def test_memory_values(spark):
-    df = spark.createDataFrame([("0x1F", "run --password hunter2 x", "token=abc key")], "n string, a string, b string")
+    df = spark.createDataFrame([("0x1F", "run --password hunter2 x", "api_token=abc key")], "n string, a string, b string")
     r = df.select(memory.number(F.col("n")).alias("n"), memory.redact(F.col("a")).alias("a"), memory.redact(F.col("b")).alias("b")).first()
-    assert (r.n, r.a, r.b) == (31, "run --password [REDACTED] x", "token=[REDACTED] key")
+    assert (r.n, r.a, r.b) == (31, "run --password [REDACTED] x", "api_token=[REDACTED] key")
     tool = spark.createDataFrame([("s", 'log line\n[{"PID": 1}, {"PID": 2}]'), ("t", '{"rows": [{"PID": 3}]}')], "source string, value string")
     assert sorted(r.row["PID"] for r in memory.read_tool_json(tool).collect()) == ["1", "2", "3"]
 
@@ -252,3 +253,62 @@ def test_read_lines(spark, tmp_path):
         f.write(b"x\ny")
     got = sorted((r.source_path[-4:], r.line_number, r.line) for r in logs.read_lines(spark, str(tmp_path / "*.log*")).collect())
     assert got == [(".log", 1, "one"), (".log", 2, "two"), (".log", 3, ""), (".log", 4, "three"), ("g.gz", 1, "x"), ("g.gz", 2, "y")]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("--private-key x y", "--private-key [REDACTED] y"), ("-key: x", "-key: [REDACTED]"), ("--client_secret=x", "--client_secret=[REDACTED]"), ("--ACCESS_TOKEN x", "--ACCESS_TOKEN [REDACTED]"),
+    ("private_key=x", "private_key=[REDACTED]"), ("access_token = x, b", "access_token = [REDACTED], b"), ("password='a b' c", "password=[REDACTED] c"), ('--token "a b";', "--token [REDACTED];"),
+    ("no-password required", "no-password required"), ("token=x", "token=x"), ("key: x", "key: x"), ("--sort-key x", "--sort-key x"), ("--key-file x", "--key-file x"), ("my_password=x", "my_password=x"),
+])
+def test_redaction(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(memory.redact(F.col("t")).alias("t")).first().t == want
+
+
+def test_tool_documents(spark):
+    docs = [
+        ("object with another list", 'log [1]\n{"columns": ["PID", "x"], "rows": [{"PID": 3}, {"PID": 4}]}'), ("data", '{"data": [{"PID": 5}]}'), ("one row", '{"PID": 6, "Name": "a"}'), ("list", '  [{"PID": 7}]'),
+        ("broken", '[{"PID": 1}, {"PID"'), ("no document", "nothing here"), ("empty list", "[]"),
+    ]
+    got = sorted((r.source, r.row_index, r.row and r.row["PID"], r.reason) for r in memory.read_tool_json(spark.createDataFrame(docs, "source string, value string")).collect())
+    assert got == [
+        ("broken", None, None, "UNREADABLE_DOCUMENT"), ("data", 0, "5", None), ("list", 0, "7", None), ("no document", None, None, "NO_DOCUMENT"),
+        ("object with another list", 0, "3", None), ("object with another list", 1, "4", None), ("one row", 0, "6", None),
+    ]
+
+
+def test_predicates(spark):
+    schema = "n int, d double, b boolean, t string, a array<string>, m map<string,string>, s struct<x: int, y: map<string,string>>, attributes map<string,string>"
+    row = (1, 5.0, True, "abc", ["abc", "de"], {"k": "v"}, (7, {"p.q": "r"}), {"user": "u", "a.b": "c"})
+    events = spark.createDataFrame([row, (None,) * 8], schema)
+    cases = [
+        ("n", "=", 1, True), ("n", "=", 1.0, True), ("n", "=", True, False), ("n", "=", "1", False), ("n", "!=", 2, True), ("n", "!=", "1", True), ("b", "=", True, True), ("b", "=", 1, False), ("b", ">", 0, False),
+        ("t", "=", "abc", True), ("t", "!=", "x", True), ("t", "contains", "b", True), ("t", "in", "xabcx", True), ("t", "in", ["x", "abc"], True), ("t", "in", ["x"], False), ("t", "in", ("a", 1), False), ("t", ">", 1, False), ("t", "starts_with", "ab", True), ("t", "ends_with", "ab", False),
+        ("a", "contains", "abc", True), ("a", "contains", "b", False), ("a", "=", ["abc", "de"], True), ("a", "=", ["abc"], False), ("m", "contains", "k", True), ("m", "contains", "v", False), ("m.k", "=", "v", True), ("d", ">=", 5, True), ("d", "<", "9", False),
+        ("s.x", "=", 7, True), ("s.y.p.q", "=", "r", True), ("s.z", "!=", 1, False), ("user", "=", "u", True), ("attributes.user", "=", "u", True), ("a.b", "=", "c", False), ("attributes.a.b", "=", "c", True), ("gone", "!=", "x", False), ("gone", "exists", False, True), ("n", "exists", None, True),
+    ]
+    hits = [rules.test(events.schema, rules.Condition(f, op, v)).alias(str(k)) for k, (f, op, v, _) in enumerate(cases)]
+    present, missing = events.select(*hits).collect()
+    assert {c: bool(present[k]) for k, c in enumerate(map(str, cases))} == {str(c): c[3] for c in cases}
+    assert [k for k in range(len(cases)) if missing[k]] == [k for k, c in enumerate(cases) if c[1] == "exists" and c[2] is False]
+
+
+def test_manifest_statuses(spark):
+    entries = [("a", "SHA256", "2"), ("b", "sha512", "3"), ("../c", "md5", "1"), ("d", "md5", "1"), ("e", "md5", "1"), ("f", "md5", "1")]
+    files = spark.createDataFrame([(k, "1", "2", k == "e", k == "f") for k in "abef"], "relative_path string, md5 string, sha256 string, is_link boolean, unreadable boolean")
+    got = integrity.verify_manifest(spark.createDataFrame(entries, "relative_path string, algorithm string, digest string"), files)
+    assert {r.relative_path: r.status for r in got.collect()} == {"a": "VERIFIED", "b": "UNSUPPORTED_ALGORITHM", "../c": "PATH_TRAVERSAL_DETECTED", "d": "FILE_MISSING", "e": "SYMLINK_REJECTED", "f": "PERMISSION_DENIED"}
+
+
+def test_identities_fall_back(spark):
+    e = spark.createDataFrame([({"user": " u "}, None), ({"account": "a", "src_ip": "1.2.3.4", "file_path": "/x/y", "session": "9"}, "z"), ({"username": " ", "user": "u", "hostname": "h", "path": "p"}, "z"), ({"source_host": "s"}, "z")], "attributes map<string,string>, source_path string")
+    got = e.select(*(f(e).alias(n) for n, f in (("u", correlate.user_identity), ("s", correlate.source_identity), ("p", correlate.path_identity), ("x", correlate.session_identity)))).collect()
+    assert [tuple(r) for r in got] == [("u", None, None, None), ("a", "1.2.3.4", "x/y", "9"), (None, "h", "p", None), (None, "s", "z", None)]
+    c = spark.createDataFrame([("process", {"command": "SUDO ls"}), ("process", {"command": "ls"}), ("process", None)], "event_type string, attributes map<string,string>")
+    assert [r.p for r in c.select(correlate.is_privilege(c).alias("p")).collect()] == [True, False, False]
+
+
+def test_secret_headers(spark):
+    names = ["Authorization", "Proxy-Authorization", "Cookie", "Set-Cookie", "X-Api-Key", "Api-Key", "X-Auth-Token"]
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"{n}: v\r\n" for n in names)
+    r = network.http_heads(spark.createDataFrame([(1, head)], "page_id int, payload string")).first()
+    assert [x.endswith("[REDACTED]") for x in r.headers.split(";")] == [True] * 6 + [False] and r.status_code == 200

@@ -66,20 +66,38 @@ def temporal(events: DataFrame, window: float = WINDOW) -> DataFrame:
     return edges(pairs, "TEMPORAL")
 
 
-def user_identity() -> Column:
-    return F.nullif(times.strip(F.col("username")), F.lit(""))
+def first_of(columns: list[str], *names: str) -> Column:
+    """The first of these fields that an event has, as a column or else as a key of its attributes; null if blank."""
+    have = []
+    for c in names:
+        have += [F.col(c).cast("string")] if c in columns else []
+        have += [F.try_element_at("attributes", F.lit(c))] if "attributes" in columns else []
+    return F.nullif(times.strip(F.coalesce(*have, F.lit(None).cast("string"))), F.lit(""))
 
 
-def source_identity() -> Column:
-    return F.nullif(times.strip(F.col("source_ip")), F.lit(""))
+# The fields of each identity, first to last.
+USER = ["username", "user", "account"]
+SOURCE = ["source_ip", "src_ip", "hostname", "source_host"]
+PATH = ["path", "target_path", "file_path"]
+SESSION = ["session_id", "session"]
+#: Columns of an event where no table is given.
+TIMELINE = ["username", "source_ip", "source_path", "session_id"]
 
 
-def path_identity() -> Column:
-    return F.nullif(normalize_path(times.strip(F.col("source_path"))), F.lit(""))
+def user_identity(events: DataFrame | None = None) -> Column:
+    return first_of(TIMELINE if events is None else events.columns, *USER)
 
 
-def session_identity() -> Column:
-    return F.nullif(times.strip(F.col("session_id").cast("string")), F.lit(""))
+def source_identity(events: DataFrame | None = None) -> Column:
+    return first_of(TIMELINE if events is None else events.columns, *SOURCE)
+
+
+def path_identity(events: DataFrame | None = None) -> Column:
+    return F.nullif(normalize_path(first_of(TIMELINE if events is None else events.columns, *PATH, "source_path")), F.lit(""))
+
+
+def session_identity(events: DataFrame | None = None) -> Column:
+    return first_of(TIMELINE if events is None else events.columns, *SESSION)
 
 
 def same_identity(events: DataFrame, kind: str, identity: Column, window: float = WINDOW, untimed: bool = True) -> DataFrame:
@@ -113,19 +131,19 @@ def untimed_links(events: DataFrame, identity: Column) -> DataFrame:
 
 
 def same_user(events: DataFrame, window: float = WINDOW, untimed: bool = True) -> DataFrame:
-    return same_identity(events, "SAME_USER", user_identity(), window, untimed)
+    return same_identity(events, "SAME_USER", user_identity(events), window, untimed)
 
 
 def same_source(events: DataFrame, window: float = WINDOW, untimed: bool = True) -> DataFrame:
-    return same_identity(events, "SAME_SOURCE", source_identity(), window, untimed)
+    return same_identity(events, "SAME_SOURCE", source_identity(events), window, untimed)
 
 
 def same_path(events: DataFrame, window: float = WINDOW, untimed: bool = True) -> DataFrame:
-    return same_identity(events, "SAME_PATH", path_identity(), window, untimed)
+    return same_identity(events, "SAME_PATH", path_identity(events), window, untimed)
 
 
 def same_session(events: DataFrame, window: float = WINDOW, untimed: bool = True) -> DataFrame:
-    return same_identity(events, "SAME_SESSION", session_identity(), window, untimed)
+    return same_identity(events, "SAME_SESSION", session_identity(events), window, untimed)
 
 
 def is_authentication() -> Column:
@@ -133,9 +151,10 @@ def is_authentication() -> Column:
     return F.when(F.lower("category") == "authentication", ~status.isin(FAILED)).otherwise(F.lower("event_type").isin(AUTHENTICATED_TYPES))
 
 
-def is_privilege() -> Column:
+def is_privilege(events: DataFrame) -> Column:
     t = F.lower("event_type")
-    return t.isin(PRIVILEGE_TYPES) | t.contains("sudo") | t.contains("privilege")
+    command = F.coalesce(F.lower(first_of(events.columns, "command")), F.lit(""))
+    return t.isin(PRIVILEGE_TYPES) | t.contains("sudo") | t.contains("privilege") | command.contains("sudo")
 
 
 def authentication_privilege(events: DataFrame, window: float = WINDOW) -> DataFrame:
@@ -144,8 +163,8 @@ def authentication_privilege(events: DataFrame, window: float = WINDOW) -> DataF
     The interval join has one branch for equal users and one for rows without a user, so that a
     busy user is joined inside its own buckets only.
     """
-    auth = side(events.filter(is_authentication()).withColumn("ident", user_identity()), "a", ["ident"])
-    priv = side(events.filter(is_privilege()).withColumn("ident", user_identity()), "b", ["ident"])
+    auth = side(events.filter(is_authentication()).withColumn("ident", user_identity(events)), "a", ["ident"])
+    priv = side(events.filter(is_privilege(events)).withColumn("ident", user_identity(events)), "b", ["ident"])
     apart = F.col("event_id_a") != F.col("event_id_b")
     equal = band_join(auth, priv, ["ident"], window, after=True)
     absent = band_join(auth, priv.filter("ident_b is null"), [], window, after=True).unionByName(

@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidelog.functions.paths import entry_path_status
 
 GENESIS = "0" * 64
-KNOWN_ALGORITHMS = ["md5", "sha256", "sha512"]
+# Algorithms of manifest entries.
+KNOWN_ALGORITHMS = ["md5", "sha256"]
 
 
 def manifest_of(docs: DataFrame, key: Column, content: Column) -> DataFrame:
@@ -24,14 +25,21 @@ def manifest_of(docs: DataFrame, key: Column, content: Column) -> DataFrame:
 def verify_manifest(entries: DataFrame, files: DataFrame) -> DataFrame:
     """relative_path, status of each entry (relative_path, algorithm, digest): a left join with the files found.
 
-    Entries of one path with several algorithms verify only if all do; an unknown algorithm never does.
+    Entries of one path with several algorithms verify only if all do; an algorithm other than
+    KNOWN_ALGORITHMS is unsupported. Files that are links, or that could not be read, say so in the columns
+    `is_link` and `unreadable` where the table has them.
     """
-    catalogue = files.select("relative_path", F.create_map(F.lit("md5"), F.col("md5"), F.lit("sha256"), F.col("sha256")).alias("_have"), F.lit(True).alias("_found"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in files.columns else F.lit(False)
+    catalogue = files.select("relative_path", F.create_map(F.lit("md5"), F.col("md5"), F.lit("sha256"), F.col("sha256")).alias("_have"), F.lit(True).alias("_found"), flag("is_link").alias("_link"), flag("unreadable").alias("_closed"))
     one = entries.groupBy("relative_path").agg(F.collect_set(F.struct(F.lower("algorithm").alias("a"), F.lower("digest").alias("d"))).alias("_want"))
     safe = entry_path_status(F.col("relative_path")) == "ok"
     known = F.forall("_want", lambda w: w["a"].isin(KNOWN_ALGORITHMS))
     equal = F.forall("_want", lambda w: F.coalesce(F.col("_have")[w["a"]] == w["d"], F.lit(False)))
-    status = F.when(~safe, "UNSAFE_PATH").when(F.col("_found").isNull(), "MISSING").when(~known, "UNSUPPORTED_ALGORITHM").when(equal, "VERIFIED").otherwise("MISMATCH")
+    # Names of the statuses.
+    status = (
+        F.when(~safe, "PATH_TRAVERSAL_DETECTED").when(~known, "UNSUPPORTED_ALGORITHM").when(F.col("_link"), "SYMLINK_REJECTED")
+        .when(F.col("_found").isNull(), "FILE_MISSING").when(F.col("_closed"), "PERMISSION_DENIED").when(equal, "VERIFIED").otherwise("MISMATCH")
+    )
     return one.join(catalogue, "relative_path", "left").select("relative_path", status.alias("status"))
 
 
@@ -43,12 +51,6 @@ def verification_counts(verified: DataFrame) -> DataFrame:
 FIELDS = ["ledger_id", "seq", "event_id", "happened", "action_type", "item_id", "actor", "recipient"]
 
 
-def record_hash(previous: Column) -> Column:
-    """SHA-256 of the record's canonical JSON: keys in order, nulls kept, the previous hash included."""
-    body = F.to_json(F.struct(*(F.col(c) for c in sorted(FIELDS)), previous.alias("previous_hash")), {"ignoreNullFields": "false"})
-    return F.sha2(body.cast("binary"), 256)
-
-
 def build_chain(actions: DataFrame) -> DataFrame:
     """actions with previous_hash and record_hash: each ledger is read in order as a stream, and only the
     last hash is carried on; ledgers run side by side, one ledger within one task (its sort may spill)."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions import ids, times
 from tidelog.operators.correlate import WINDOW, band_join, side
@@ -26,7 +28,7 @@ ALIASES = {
 
 @dataclass(frozen=True)
 class Condition:
-    """field operator value; the field is a column, or `attributes.key`."""
+    """field operator value; the field is a column or a dotted path into structs and maps, else a key of `attributes`."""
 
     field: str
     operator: str
@@ -57,39 +59,93 @@ class Rule:
         return f"RULE-{ids.uuid.uuid5(ids.namespace('rule'), self.name)}"
 
 
-def compare(actual: Column, operator: str, value: Any = None) -> Column:
-    """One predicate, false where the field is missing. Numbers compare as doubles, booleans never equal numbers."""
+def type_of(value: Any) -> T.DataType:
+    if isinstance(value, bool):
+        return T.BooleanType()
+    return T.DoubleType() if isinstance(value, (int, float)) else T.StringType()
+
+
+def equal(actual: Column, value: Any, kind: T.DataType) -> Column:
+    """Equality within one type: numbers with numbers, booleans with booleans, texts with texts."""
+    if isinstance(kind, T.ArrayType) and isinstance(value, (list, tuple)):
+        same = [equal(F.get(actual, F.lit(k)), v, kind.elementType) for k, v in enumerate(value)]
+        return reduce(lambda x, y: x & y, same, F.size(actual) == len(value))
+    wanted = type_of(value)
+    if isinstance(kind, T.NumericType) and isinstance(wanted, T.DoubleType):
+        return F.coalesce(actual.cast("double") == F.lit(float(value)), F.lit(False))
+    alike = type(kind) is type(wanted) and not isinstance(value, (list, tuple, dict))
+    return F.coalesce(actual == F.lit(value), F.lit(False)) if alike else F.lit(False)
+
+
+def compare(actual: Column, operator: str, value: Any = None, kind: T.DataType | None = None) -> Column:
+    """One predicate on a column of the given type (where none is given: of the value's).
+
+    A missing field holds for `exists` false only. Numbers compare as doubles, and never with booleans or
+    texts. `contains` is a part of a text, a member of an array, a key of a map; `in` a member of a list, or
+    a part of the value if that is a text.
+    """
     op = ALIASES.get(operator, operator)
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    a = actual.try_cast("double") if number else actual.try_cast("boolean") if isinstance(value, bool) else actual.cast("string")
     if op == "exists":
         return actual.isNotNull() if value in (None, True) else actual.isNull()
-    if op == "in":
-        values = list(value)
-        hit = reduce(lambda x, y: x | y, (compare(actual, "equals", v) for v in values), F.lit(False))
+    if kind is None:
+        kind = type_of(next(iter(value), None) if isinstance(value, (list, tuple, set, frozenset)) else value)
+    text, no = isinstance(kind, T.StringType) and isinstance(value, str), F.lit(False)
+    if op == "equals":
+        hit = equal(actual, value, kind)
+    elif op == "not_equals":
+        hit = ~equal(actual, value, kind)
+    elif op == "in":
+        if isinstance(value, (list, tuple, set, frozenset)):
+            hit = reduce(lambda x, y: x | y, (equal(actual, v, kind) for v in value), no)
+        else:
+            hit = F.lit(value).contains(actual) if text else no
     elif op == "contains":
-        hit = actual.cast("string").contains(str(value))
+        if isinstance(kind, T.ArrayType):
+            hit = F.exists(actual, lambda x: equal(x, value, kind.elementType))
+        elif isinstance(kind, T.MapType):
+            hit = F.exists(F.map_keys(actual), lambda x: equal(x, value, kind.keyType))
+        else:
+            hit = actual.contains(value) if text else no
     elif op == "starts_with":
-        hit = actual.cast("string").startswith(str(value))
+        hit = actual.startswith(value) if text else no
     elif op == "ends_with":
-        hit = actual.cast("string").endswith(str(value))
-    elif op == "not_equals":
-        return ~F.coalesce(a == F.lit(value), F.lit(False))
+        hit = actual.endswith(value) if text else no
+    else:
+        numbers = isinstance(kind, T.NumericType) and isinstance(type_of(value), T.DoubleType)
+        moments = isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and isinstance(value, datetime)
+        a, b = (actual.cast("double"), F.lit(float(value))) if numbers else (actual, F.lit(value))
+        ordered = {"greater_than": lambda: a > b, "greater_or_equal": lambda: a >= b, "less_than": lambda: a < b, "less_or_equal": lambda: a <= b}[op]
+        hit = ordered() if numbers or moments else no
+    return actual.isNotNull() & F.coalesce(hit, no)
+
+
+def look_up(schema: T.StructType, name: str, suffix: str = "") -> tuple[Column, T.DataType]:
+    """A field by its dotted path: columns, fields of structs, keys of maps; else a key of the attributes map. With its type."""
+    missing = F.lit(None).cast("string"), T.StringType()
+    head, _, rest = name.partition(".")
+    if head in schema.fieldNames():
+        col, kind = F.col(f"`{head}{suffix}`"), schema[head].dataType
+    elif "attributes" in schema.fieldNames() and head != "attributes":
+        col, kind, rest = F.col(f"attributes{suffix}"), schema["attributes"].dataType, name
     else:
-        hit = {"equals": a == F.lit(value), "greater_than": a > F.lit(value), "greater_or_equal": a >= F.lit(value), "less_than": a < F.lit(value), "less_or_equal": a <= F.lit(value)}[op]
-    return F.coalesce(hit, F.lit(False))
+        return missing
+    while rest:
+        if isinstance(kind, T.MapType):  # a key may hold dots itself
+            return F.try_element_at(col, F.lit(rest)), kind.valueType
+        head, _, rest = rest.partition(".")
+        if not isinstance(kind, T.StructType) or head not in kind.fieldNames():
+            return missing
+        col, kind = col[head], kind[head].dataType
+    return col, kind
 
 
-def look_up(columns: list[str], name: str, suffix: str = "") -> Column:
-    """A column, or a key of the attributes map."""
-    if name in columns:
-        return F.col(name + suffix)
-    key = name.removeprefix("attributes.")
-    return F.col("attributes" + suffix)[key] if "attributes" in columns else F.lit(None).cast("string")
+def test(schema: T.StructType, c: Condition, name: str | None = None, suffix: str = "") -> Column:
+    col, kind = look_up(schema, name or c.field, suffix)
+    return compare(col, c.operator, c.value, kind)
 
 
-def holds(columns: list[str], rule: Rule, suffix: str = "") -> Column:
-    return reduce(lambda a, b: a & b, (compare(look_up(columns, c.field, suffix), c.operator, c.value) for c in rule.conditions), F.lit(True))
+def holds(schema: T.StructType, rule: Rule, suffix: str = "") -> Column:
+    return reduce(lambda a, b: a & b, (test(schema, c, suffix=suffix) for c in rule.conditions), F.lit(True))
 
 
 DETECTION = ["rule_id", "rule_name", "event_ids", "start_us", "end_us", "delta_seconds"]
@@ -99,7 +155,7 @@ def single(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rules over one event each, all in one scan: category among the rule's, its type, all conditions."""
     hits = []
     for r in rules:
-        ok = holds(events.columns, r)
+        ok = holds(events.schema, r)
         ok = ok & F.col("category").isin(list(r.categories)) if r.categories else ok
         ok = ok & F.col("event_type").isin(list(r.event_types)) if r.event_types else ok
         hits.append(F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"))))
@@ -108,7 +164,11 @@ def single(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def linked(events: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
-    """A rule over edges: the relation, all categories and all types on the two events, the rule's window, all conditions on the edge or an event."""
+    """A rule over edges: the relation, all categories and all types on the two events, the rule's window, all conditions.
+
+    A condition on a bare field holds on the edge or on an event; `correlation.f` names the edge's field,
+    `events[0].f` and `events[1].f` those of the edge's first and second event.
+    """
     cols = [c for c in events.columns]
     pair = links.filter(F.col("relation").isin(list(rule.relations)))
     if rule.window is not None:
@@ -122,8 +182,14 @@ def linked(events: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
     for t in rule.event_types:
         ok = ok & on_any("event_type", t)
     for c in rule.conditions:
-        edge = compare(F.col(c.field), c.operator, c.value) if c.field in links.columns else F.lit(False)
-        ok = ok & (edge | compare(look_up(cols, c.field, "_a"), c.operator, c.value) | compare(look_up(cols, c.field, "_b"), c.operator, c.value))
+        place, _, rest = c.field.partition(".")
+        if place == "correlation" and rest:
+            ok = ok & test(links.schema, c, rest)
+        elif place in ("events[0]", "events[1]") and rest:
+            ok = ok & test(events.schema, c, rest, "_a" if place == "events[0]" else "_b")
+        else:
+            edge = test(links.schema, c) if c.field.partition(".")[0] in links.columns else F.lit(False)
+            ok = ok & (edge | test(events.schema, c, suffix="_a") | test(events.schema, c, suffix="_b"))
     return pair.filter(ok).select(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.array("event_a", "event_b").alias("event_ids"), "start_us", "end_us", "delta_seconds")
 
 

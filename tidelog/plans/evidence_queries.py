@@ -211,7 +211,16 @@ def memory_triage(spark, sf):
     return memory.triage(_processes(spark, sf), tools.socket_artifacts(view(spark, sf, "mem_sockets")))
 
 
-@query("credentials_redacted", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(--?(?:password|passwd|pwd|token|secret|api[-_]?key)(?:\s+|=))(\S+)', '\1[REDACTED]', 'gi'), '\b((?:password|passwd|pwd|token|secret|api[-_]?key)\s*[=:]\s*)([^\s,;]+)', '\1[REDACTED]', 'gi') AS text FROM documents")
+# without look-around: the character in front of a name is matched and put back
+_SECRET = "passw(?:or)?d|(?:client[-_])secret|(?:access|auth|api|session)[-_]token|api[-_]?key|(?:secret|private)[-_]key"
+_VALUE = """('[^']*'|"[^"]*"|[^\\s,;'"]+)""".replace("'", "''")
+
+
+@query(
+    "credentials_redacted",
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\w-])(--?(?:{_SECRET}|secret|token|key)(?:\s*[:=]\s*|\s+)){_VALUE}', '\1\2[REDACTED]', 'gi'),
+    '(^|[^\w-])((?:{_SECRET})\s*[:=]\s*){_VALUE}', '\1\2[REDACTED]', 'gi') AS text FROM documents""",
+)
 def credentials_redacted(spark, sf):
     return view(spark, sf, "documents").select("doc_id", tools.redact(F.col("text")).alias("text"))
 
@@ -225,7 +234,7 @@ def manifest_built(spark, sf):
     return m.select("relative_path", "size_bytes", "md5", "sha256")
 
 
-VERIFIED = "v AS (SELECT m.relative_path, CASE WHEN m.relative_path LIKE '../%' THEN 'UNSAFE_PATH' WHEN f.relative_path IS NULL THEN 'MISSING' WHEN algorithm = 'sha9' THEN 'UNSUPPORTED_ALGORITHM' WHEN digest = f.sha256 THEN 'VERIFIED' ELSE 'MISMATCH' END AS status FROM manifest m LEFT JOIN files f ON f.relative_path = m.relative_path)"
+VERIFIED = "v AS (SELECT m.relative_path, CASE WHEN m.relative_path LIKE '../%' THEN 'PATH_TRAVERSAL_DETECTED' WHEN algorithm = 'sha9' THEN 'UNSUPPORTED_ALGORITHM' WHEN f.relative_path IS NULL THEN 'FILE_MISSING' WHEN digest = f.sha256 THEN 'VERIFIED' ELSE 'MISMATCH' END AS status FROM manifest m LEFT JOIN files f ON f.relative_path = m.relative_path)"
 
 
 @query("manifest_verified", f"WITH {VERIFIED} SELECT * FROM v", "manifest", "files")

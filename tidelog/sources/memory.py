@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tidelog.functions import ids
 from tidelog.functions.times import strip
 
-# Words whose values are credentials.
-SECRET_FLAGS = r"(?i)(--?(?:password|passwd|pwd|token|secret|api[-_]?key)(?:\s+|=))(\S+)"
-SECRET_PAIRS = r"(?i)\b((?:password|passwd|pwd|token|secret|api[-_]?key)\s*[=:]\s*)([^\s,;]+)"
+# Names of credentials in flags (`--name value`), and those that stand for themselves (`name=value`).
+BARE_SECRETS = ["password", "passwd", "client[-_]secret", "access[-_]token", "auth[-_]token", "api[-_]token", "session[-_]token", "api[-_]key", "apikey", "secret[-_]key", "private[-_]key"]
+FLAG_SECRETS = [*BARE_SECRETS, "secret", "token", "key"]
+#: A value: quoted, with blanks inside, or up to a blank, comma, semicolon or quote.
+SECRET_VALUE = r"""('[^']*'|"[^"]*"|[^\s,;'"]+)"""
+SECRET_FLAGS = rf"(?i)(?<![\w-])(--?(?:{'|'.join(FLAG_SECRETS)})(?![\w-])(?:\s*[:=]\s*|\s+)){SECRET_VALUE}"
+SECRET_PAIRS = rf"(?i)(?<![\w-])((?:{'|'.join(BARE_SECRETS)})(?![\w-])\s*[:=]\s*){SECRET_VALUE}"
 
 
 def clean(text: Column) -> Column:
@@ -30,14 +34,31 @@ def number(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Credential values replaced, the name in front of them kept."""
+    """Credential values replaced, the name in front of them kept. Bare `key`, `secret` and `token` are ordinary words."""
     return F.regexp_replace(F.regexp_replace(text, SECRET_FLAGS, "$1[REDACTED]"), SECRET_PAIRS, "$1[REDACTED]")
 
 
 def read_tool_json(text: DataFrame) -> DataFrame:
-    """Rows (source, row_index, row map) of tool output (source, value): a list, or an object with `rows` or `data`; log lines before it are skipped."""
-    body = F.regexp_extract("value", r"(?s)(\[.*\])", 1)
-    return text.select("source", F.posexplode(F.from_json(body, "array<map<string,string>>")).alias("row_index", "row"))
+    """Rows (source, row_index, row map, reason) of tool output (source, value).
+
+    The document is a list of rows, an object with such a list under `rows` or `data`, or one row by itself;
+    lines before the first that begins with a bracket or brace are log lines. A text without a document, or
+    with one that cannot be read, gives one row with a reason and no map.
+    """
+    body = F.regexp_extract("value", r"(?s)(?:^|\n)[ \t]*([\[{].*)", 1)
+    mode = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}
+    as_list = F.from_json("_body", "array<map<string,string>>", mode)
+    inner = F.from_json("_body", "struct<rows: array<map<string,string>>, data: array<map<string,string>>>", mode)
+    alone = F.from_json("_body", "map<string,string>", mode)
+    parsed = (
+        F.when(F.col("_body").startswith("["), as_list)
+        .otherwise(F.coalesce(inner["rows"], inner["data"], F.when(F.size(alone) > 0, F.array(alone))))
+    )
+    read = text.withColumn("_body", body).select("source", "_body", parsed.alias("_rows"))
+    good = read.filter("_rows is not null").select("source", F.posexplode("_rows").alias("row_index", "row"), F.lit(None).cast("string").alias("reason"))
+    reason = F.when(F.col("_body") == "", "NO_DOCUMENT").otherwise("UNREADABLE_DOCUMENT")
+    bad = read.filter("_rows is null").select("source", F.lit(None).cast("int").alias("row_index"), F.lit(None).cast("map<string,string>").alias("row"), reason.alias("reason"))
+    return good.unionByName(bad)
 
 
 def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
