@@ -305,3 +305,60 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert 502 not in seen["decontaminate"]
     packed = {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}
     assert packed == set(seen["decontaminate"])
+
+
+def test_token_store_tells_null_from_empty(spark):
+    rows = [(None, "a b"), ("", "c"), ("x", "d e f"), ("", "g"), ("None", "h")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    path = token_store.write(docs, vocabulary("byte_bpe_50k.json"))
+    assert sorted(repr(r.doc_id) for r in token_store.read(spark, path).collect()) == sorted(repr(k) for k, _ in rows)
+    keys = spark.createDataFrame([(None,), ("",), ("None",), ("n",)], "doc_id string")
+    found = token_store.lookup(spark, path, keys)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    want = [(k, encoded([t], "byte_bpe_50k.json", "byte")[0].tobytes()) for k, t in rows if k != "x"]
+    assert sorted((repr(r.doc_id), np.array(r.ids, "<u4").tobytes()) for r in found.collect()) == sorted((repr(k), b) for k, b in want)
+
+
+def test_token_store_of_one_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_KEYS", 4)
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 8)
+    path = token_store.write(spark.range(30).selectExpr("7L as doc_id", "concat('t', id) as text"), vocabulary("byte_bpe_50k.json"))
+    assert token_store.lookup(spark, path, spark.createDataFrame([(7,), (8,)], "doc_id long")).count() == 30
+
+
+def test_index_of_equal_keys_fails(monkeypatch):
+    monkeypatch.setattr(token_store, "SEEDS", 1000)
+    with pytest.raises(ValueError):
+        token_store.build_index([token_store.key_hash(1)] * 2)
+
+
+def test_hashed_words():
+    from tidelog.llm.text import HashedWords
+
+    words = HashedWords()
+    raws = [b"", b"a b\ta", b" \n", b"\xc3\xa9 x" + b"y" * 700_000 + b" a", b"b"]
+    h, size = words.of(raws)
+    split = [w for r in raws for w in r.split()]
+    assert size.tolist() == [len(r.split()) for r in raws] and len(h) == len(split)
+    assert len(dict(zip(split, h.tolist()))) == len(set(h.tolist())) == len(set(split))
+    assert [words.of([w])[0][0] for w in split] == h.tolist()
+    assert words.of([])[1].tolist() == [] and words.of([b""])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_joins_what_all_pairs_join(seed):
+    r = random.Random(seed)
+    for _ in range(50):
+        n = r.randint(2, 30)
+        pairs = [(i, j) for i, j in ((r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 80))) if i != j]
+        kept = ngram_join.forest(np.arange(n), *(np.array([p[k] for p in pairs], int) for k in (0, 1)))
+
+        def roots(pairs):
+            parent = list(range(n))
+            for i, j in pairs:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+            return parent
+
+        every, some = roots(pairs), roots([pairs[k] for k in kept])
+        assert every == some and len(kept) == n - len(set(every))

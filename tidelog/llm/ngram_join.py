@@ -13,14 +13,13 @@ A document's set is its distinct word shingles. Two sets of a and b shingles lin
    first; then the others by hash. So half of the shingles are dealt to their lists, lists of one set
    are dropped, and a set with prefix(n) shingles of its own has no partner and drops out. Of the
    other sets the rarest shared shingles up to prefix(n) stay.
-4. In every list all sets are compared with one leader of the list, exactly, on their texts; links are
-   united to components. Lists whose sets are then all in one component hold nothing more to find. In
-   the others a second leader follows, and then every pair of sets of different components that is
-   left: in short lists one by one, in long ones block against block inside tasks, where parity
-   bitmaps bound the overlap of a pair from above and only pairs that may link come out. For some
-   rounds a set gives the nearest of its mates only, which unites near copies in a few rounds; the
-   last round gives all that are still apart. A list of near copies therefore gives rows by its
-   length, not its square, and no link between components is missed.
+4. Parity bitmaps of the sets bound the overlap of a pair from above; only pairs that they leave room for
+   are compared, exactly, on their texts. In short lists all pairs are looked at and kept once, and every
+   set is compared with one of its mates first; those of different components follow. Long lists are
+   searched block against block inside tasks. In the first rounds a block gives the pairs that join its
+   components without a circle, nearest first, and links are united to components; the last round gives all
+   pairs of different components that are left. A list of near copies therefore gives rows by its length,
+   not its square, and no link between components is missed.
 
 Shingles that very many documents hold (by the sketch) are known to be shared: they skip the dealing
 to lists, so no task gets a hot list whole.
@@ -45,18 +44,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm.common import materialize, read_table
-from tidelog.llm.text import WordHashes, mix, raw, rows
+from tidelog.llm.text import HashedWords, mix, raw, rows
 
 WORDS = 5
 CELLS, SLICES = 1 << 21, 64
 CHUNK = 400_000
 #: A shingle of so many documents by the sketch (and of HOT_SHARE times a cell's mean) counts as shared without a list.
 HOT, HOT_SHARE = 4096, 8
+#: Sketches that are added in one group.
+TREE = 256
 #: Entries of a part of the lists.
 PART = 1_500_000
-LEADER_ROUNDS, MATE_ROUNDS = 2, 3
-#: Lists of so many sets are searched in tasks, in blocks of BLOCK sets; bits of a set's parity bitmap.
-LONG, BLOCK, BITS = 32, 1024, 2048
+#: Rounds of comparisons; all but the last take pairs that join components without a circle.
+TURNS = 3
+#: All pairs of a list of so many sets are looked at; longer ones are searched in tasks, in blocks of BLOCK sets.
+LONG, BLOCK = 64, 4096
+#: Pairs of a block that are held before they are reduced to those that join components.
+HELD = 1_000_000
+#: Bits of a set's parity bitmap.
+BITS = 2048
 MAX_LIGHT = 16
 
 
@@ -87,40 +93,35 @@ def boundary(list_length: float) -> int:
     return x
 
 
-def shingle_hashes(flat: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words, from the words' hashes."""
-    out = np.zeros(len(flat) - n + 1, np.uint64)
+def shingle_hashes(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on, from the words' hashes."""
+    out = np.zeros(len(at), np.uint64)
     for k in range(n):
         out *= np.uint64(0x9E3779B97F4A7C15)
-        out += flat[k : len(flat) - n + 1 + k]
+        out += flat[at + k]
     return mix(out ^ np.uint64(n))
 
 
-def doc_sets(cache: WordHashes, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, text by text, and how many each has."""
-    words = [raw(t).lower().split() for t in texts]
-    size = np.array([len(w) for w in words], np.int64)
-    flat = cache.of([t for w in words for t in w])
-    doc = np.repeat(np.arange(len(words)), size)
-    if len(flat) >= WORDS:
-        h = shingle_hashes(flat, WORDS)
-        inside = doc[: len(h)] == doc[WORDS - 1 :]
-        h, owner = h[inside], doc[: len(h)][inside]
-    else:
-        h, owner = flat[:0], doc[:0]
-    short = np.flatnonzero((size > 0) & (size < WORDS))
-    if len(short):
-        ends = np.cumsum(size)
-        whole = np.array([shingle_hashes(flat[ends[i] - size[i] : ends[i]], int(size[i]))[0] for i in short], np.uint64)
-        h, owner = np.concatenate([h, whole]), np.concatenate([owner, short])
-        order = np.argsort(owner, kind="stable")
-        h, owner = h[order], owner[order]
-    salted = h ^ (owner.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    order = np.argsort(salted)
-    again = order[1:][salted[order[1:]] == salted[order[:-1]]]
-    keep = np.ones(len(h), bool)
-    keep[again] = False
-    return h[keep], np.bincount(owner[keep], minlength=len(words))
+def doc_sets(words: HashedWords, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, text by text and ascending in each, and how many each has."""
+    flat, size = words.of([raw(t).lower() for t in texts])
+    first = np.cumsum(size) - size
+    count = np.where(size < WORDS, np.minimum(size, 1), size - WORDS + 1)
+    end = np.cumsum(count)
+    begin = end - count
+    h = np.empty(int(count.sum()), np.uint64)
+    for n in range(1, WORDS + 1):
+        of = np.flatnonzero(size == n) if n < WORDS else np.flatnonzero(size >= n)
+        run = count[of]
+        inner = np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+        h[np.repeat(begin[of], run) + inner] = shingle_hashes(flat, np.repeat(first[of], run) + inner, n)
+    for a, b in zip(begin.tolist(), end.tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[begin[count > 0]] = True
+    upto = np.r_[0, np.cumsum(new)]
+    return h[new], upto[end] - upto[begin]
 
 
 def set_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,39 +152,50 @@ def cells(h: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Table of members (doc_id, key, n, set_id) and of partial sketches (slice, counts)."""
+    """Table of members (doc_id, key, n, set_id) and of each task's sketch (task, slice, counts)."""
     id_type = docs.schema["doc_id"].dataType
-    names = ["doc_id", "key", "n", "set_id", "slice", "counts"]
-    types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "key", "n", "set_id", "task", "slice", "counts"]
+    types = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sketch = WordHashes(), np.zeros(CELLS, np.uint32)
+        from pyspark import TaskContext
+
+        words, sketch = HashedWords(), np.zeros(CELLS, np.uint32)
         for held in text_chunks(batches, "doc_id", "key", "text"):
-            h, n = doc_sets(cache, [r[2] for r in held])
+            h, n = doc_sets(words, [r[2] for r in held])
             sketch += np.bincount(cells(h), minlength=CELLS).astype(np.uint32)
             ids = set_ids(h, n)
             k = len(held)
-            cols = [[r[0] for r in held], [r[1] for r in held], n.astype(np.int64), ids, [None] * k, [None] * k]
+            cols = [[r[0] for r in held], [r[1] for r in held], n.astype(np.int64), ids, [None] * k, [None] * k, [None] * k]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         part = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
-        cols = [[None] * SLICES] * 4 + [np.arange(SLICES), [p.tobytes() for p in part]]
+        cols = [[None] * SLICES] * 4 + [[TaskContext.get().partitionId()] * SLICES, np.arange(SLICES), [p.tobytes() for p in part]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     cols = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return materialize(cols.mapInArrow(scan, f"doc_id {id_type.simpleString()}, key long, n long, set_id long, slice int, counts binary"), "sets")
+    return materialize(cols.mapInArrow(scan, f"doc_id {id_type.simpleString()}, key long, n long, set_id long, task int, slice int, counts binary"), "sets")
 
 
 def frequency_sketch(surveyed: DataFrame) -> tuple[np.ndarray, float, int]:
     """Level of each cell (4 log2 of its count), the mean length of a shingle's list beyond the cells' own noise, and the number of shingles."""
 
+    def some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELLS // SLICES, "<u4")
+        for b in pdf["counts"]:
+            total += np.frombuffer(b, "<u2")
+        return pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
+
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // SLICES, np.int64)
         for b in pdf["counts"]:
-            total += np.frombuffer(b, "<u2")
+            total += np.frombuffer(b, "<u4")
         level = np.minimum(255, np.round(4 * np.log2(1 + total))).astype(np.uint8)
         return pd.DataFrame({"slice": [key[0]], "level": [level.tobytes()], "s1": [float(total.sum())], "s2": [float((total**2).sum())]})
 
-    got = surveyed.filter(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, level binary, s1 double, s2 double").collect()
+    # tasks by TREE first, so that no group holds the sketches of all tasks
+    parts = surveyed.filter(F.col("slice").isNotNull()).select("slice", F.floor(F.col("task") / TREE).alias("some"), "counts")
+    merged = parts.groupBy("slice", "some").applyInPandas(some, "slice int, counts binary")
+    got = merged.groupBy("slice").applyInPandas(add, "slice int, level binary, s1 double, s2 double").collect()
     level, s1, s2 = np.zeros(CELLS, np.uint8), 0.0, 0.0
     for r in got:  # CELLS bytes in all
         level[r.slice * (CELLS // SLICES) : (r.slice + 1) * (CELLS // SLICES)] = np.frombuffer(r.level, np.uint8)
@@ -233,9 +245,9 @@ def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> D
     hot_level = 4 * np.log2(1 + max(HOT, HOT_SHARE * shingles / CELLS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, level, seen = WordHashes(), shared.value, set()
+        words, level, seen = HashedWords(), shared.value, set()
         for held in text_chunks(batches, "text"):
-            h, n = doc_sets(cache, [r[0] for r in held])
+            h, n = doc_sets(words, [r[0] for r in held])
             ids = set_ids(h, n)
             begin = np.cumsum(n) - n
             fresh = np.zeros(len(n), bool)
@@ -253,7 +265,7 @@ def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> D
             for i in np.flatnonzero(fresh & (n >= heavy_from) & (first < prefix(n))):  # too few in the first half: the others by hash
                 own = np.arange(begin[i], begin[i] + n[i])
                 rest = own[~front[own]]
-                rest = rest[np.argsort(h[rest])][: int(prefix(n[i]) - first[i])]
+                rest = rest[: int(prefix(n[i]) - first[i])]  # ascending
                 pos[rest] = first[i] + np.arange(len(rest))
             dealt = heavy & (front | (pos >= 0))
             at = np.flatnonzero(dealt & hot)
@@ -346,12 +358,12 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        cache = WordHashes()
+        words = HashedWords()
         for left, right in batches:
             out = []
             for at in range(0, len(left), 64):
                 one, two = list(left[at : at + 64]), list(right[at : at + 64])
-                h, n = doc_sets(cache, one + two)
+                h, n = doc_sets(words, one + two)
                 cut = np.split(h, np.cumsum(n)[:-1])
                 for i in range(len(one)):
                     a, b = cut[i], cut[len(one) + i]
@@ -365,32 +377,68 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """set_id, bits: for each place whether an odd number of the set's shingles falls on it."""
+    """set_id, size, bits: for each place whether an odd number of the set's shingles falls on it."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        words = HashedWords()
         for held in text_chunks(batches, "set_id", "text"):
             for at in range(0, len(held), 512):
                 some = held[at : at + 512]
-                h, n = doc_sets(cache, [t for _, t in some])
+                h, n = doc_sets(words, [t for _, t in some])
                 place = np.repeat(np.arange(len(n)), n) * BITS + (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(BITS - 1)).astype(np.int64)
                 odd = (np.bincount(place, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["set_id", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["set_id", "size", "bits"])
+
+    return texts.select("set_id", "text").mapInArrow(draw, "set_id long, size long, bits binary")
 
-    return texts.select("set_id", "text").mapInArrow(draw, "set_id long, bits binary")
 
+def forest(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The pairs (i, j), given best first, that join components of rows (comp) without a circle: every component takes its best pair, again and again."""
+    kept, edge = [], np.arange(len(i))
+    while len(edge):
+        a, b = comp[i[edge]], comp[j[edge]]
+        best = np.full(int(comp.max()) + 1, len(edge))
+        np.minimum.at(best, a, np.arange(len(edge)))
+        np.minimum.at(best, b, np.arange(len(edge)))
+        pick = np.unique(best[best < len(edge)])
+        kept.append(edge[pick])
+        parent = np.arange(len(best))
 
-def block_pairs(live: DataFrame, light: int, nearest: bool) -> DataFrame:
-    """set_id, leader: pairs of different labels in long lists whose bitmaps leave room for a link; the nearest mate of a set, or all.
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(a[pick].tolist(), b[pick].tolist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        comp = np.array([root(x) for x in range(len(parent))])[comp]
+        edge = edge[comp[i[edge]] != comp[j[edge]]]
+    return np.concatenate(kept) if kept else edge
+
+
+def block_pairs(live: DataFrame, light: int, every: bool) -> DataFrame:
+    """set_id, leader: pairs of different labels in long lists whose bitmaps leave room for a link; all, or only
+    those that join labels without a circle, nearest first, so no more than the sets of two blocks.
 
     live: key, cls, held, set_id, n, label, bits. An overlap is at most (n + m - bits that differ) / 2.
     """
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "set_id"])
-        ids, n, label, part = (pdf[c].to_numpy() for c in ("set_id", "n", "label", "part"))
+        ids, n, part = (pdf[c].to_numpy() for c in ("set_id", "n", "part"))
+        label = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
         bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-        a, b = [], []
+        a, b, far, size = [], [], [], 0
+
+        def gathered() -> list[np.ndarray]:
+            x, y, apart = (np.concatenate(c) for c in (a, b, far))
+            if every:
+                return [x, y, apart]
+            # the same order of pairs in all lists, so that lists of the same sets give the same pairs
+            order = np.lexsort((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), apart))
+            return [c[order[forest(label, x[order], y[order])]] for c in (x, y, apart)]
+
         for i in range(len(ids)):
             to = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
             mate = np.arange(i + 1, to)
@@ -399,12 +447,14 @@ def block_pairs(live: DataFrame, light: int, nearest: bool) -> DataFrame:
                 mate = mate[part[mate] != part[i]]
             apart = np.bitwise_count(bits[mate] ^ bits[i]).sum(1, dtype=np.int64)
             room = 9 * (n[i] + n[mate] - apart) >= 8 * (n[i] + n[mate])
-            mate, apart = mate[room], apart[room]
-            if nearest and len(mate):
-                mate = mate[[int(np.argmin(apart))]]
-            a.append(np.full(len(mate), ids[i]))
-            b.append(ids[mate])
-        return pd.DataFrame({"set_id": np.concatenate(a), "leader": np.concatenate(b)}).astype("int64")
+            for c, v in zip((a, b, far), (np.full(int(room.sum()), i), mate[room], apart[room])):
+                c.append(v)
+            size += len(a[-1])
+            if size > HELD and not every:
+                a, b, far = ([c] for c in gathered())
+                size = len(a[0])
+        a, b, _ = gathered()
+        return pd.DataFrame({"set_id": ids[a], "leader": ids[b]}).astype("int64")
 
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     dealt = live.withColumn("part", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -426,6 +476,25 @@ def connect(links: DataFrame) -> DataFrame:
         labels = new.select("set_id", "label")
 
 
+def with_label(rows: DataFrame, labels: DataFrame | None, of: str, name: str) -> DataFrame:
+    """The label of the set in column `of`: its own id where it has no link yet."""
+    if labels is None:
+        return rows.withColumn(name, F.col(of))
+    return rows.join(labels.select(F.col("set_id").alias(of), F.col("label").alias("_l")), of, "left").withColumn(name, F.coalesce("_l", of)).drop("_l")
+
+
+def unite(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels with those of newly linked sets made one: only the labels are connected anew, not all links."""
+    if labels is None:
+        return connect(links)
+    ends = with_label(with_label(links, labels, "a", "la"), labels, "b", "lb")
+    moved = connect(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    alone = links.select(F.col("a").alias("set_id")).union(links.select("b")).withColumn("label", F.col("set_id"))
+    every = labels.unionByName(alone).groupBy("set_id").agg(F.min("label").alias("label"))
+    moved = moved.select(F.col("set_id").alias("label"), F.col("label").alias("to"))
+    return materialize(every.join(moved, "label", "left").select("set_id", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def bounded_overlap() -> Column:
     """Whether sizes and places in the two prefixes (n, pos and m, mpos) leave room for a link."""
     room = F.least("pos", "mpos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos")) - 1
@@ -437,72 +506,88 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).filter("a <> b").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, key (xxhash64 of the text), n, label (null without words), component_id of every row of docs."""
-    surveyed = survey(docs)
-    members = surveyed.filter(F.col("slice").isNull()).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
-    level, list_length, shingles = frequency_sketch(surveyed)
-    light = boundary(list_length)
-    entries = lists(docs, level, light, shingles)
+def roomy(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for a link."""
+
+    @F.pandas_udf("boolean")
+    def room(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        left, right = (np.frombuffer(b"".join(c), np.uint64).reshape(len(c), -1) for c in (x, y))
+        apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+        return pd.Series(9 * (n + m - apart) >= 8 * (n + m))
+
+    for end in "ab":
+        pairs = pairs.join(bits.select(F.col("set_id").alias(end), F.col("bits").alias(f"bits_{end}"), F.col("size").alias(f"n_{end}")), end)
+    return pairs.filter(room("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
 
-    wanted = entries.select("set_id").distinct()
-    first = members.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("set_id", F.col("r.doc_id").alias("rid"), F.col("r.key").alias("rkey"))
-    source = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    texts = source.join(first, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")))
-    texts = materialize(texts.groupBy("set_id").agg(F.min("text").alias("text")), "texts")
 
+def links_found(entries: DataFrame, texts: DataFrame, light: int) -> DataFrame | None:
+    """set_id, label of all sets with a link; None where there is no link."""
     # light lists: every set with the smallest set of the other size (of its own, where the sizes are equal)
     subsets = entries.filter("other > 0").withColumn("lo", F.least("n", "other")).withColumn("hi", F.greatest("n", "other"))
     heads = subsets.groupBy("key").agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("set_id"))).alias("low"), F.min(F.when(F.col("n") == F.col("hi"), F.col("set_id"))).alias("high"))
     light_pairs = subsets.join(heads, "key").select("set_id", F.when(F.col("n") == F.col("lo"), F.col("high")).otherwise(F.col("low")).alias("leader")).filter("leader is not null")
 
-    # prefix lists by size: linked sets have a size class in common
+    heavy = entries.filter("other = 0").drop("other")
+    heavy = heavy.join(heavy.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key")
+    bits = materialize(bitmaps(texts), "bits")
+
+    # short lists: all pairs with room for a link, once each
+    short = heavy.filter(F.col("held") <= LONG)
+    mate = short.select("key", F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"))
+    near = short.join(mate, "key").filter((F.col("set_id") < F.col("leader")) & ((F.col("n") > light) | (F.col("m") > light)) & bounded_overlap())
+    near = materialize(roomy(ordered(near), bits), "near")
+
+    # long lists by size: linked sets have a size class in common
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
-    heavy = entries.filter("other = 0").withColumn("cls", F.explode(F.array(size_class, size_class - 1))).drop("other")
-    compared, links, bits = None, None, None
-    labels = None
-    for turn in range(LEADER_ROUNDS + MATE_ROUNDS + 1):
-        part = heavy.withColumn("label", F.col("set_id")) if labels is None else heavy.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        rank = F.xxhash64("set_id", F.lit(turn))
-        heads = (
-            part.groupBy("key", "cls").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("held"), F.min(F.struct(rank.alias("rank"), F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("label").alias("other"))).alias("h"))
-            .filter("l0 <> l1").select("key", "cls", "held", "h.*")
-        )
-        if turn:
-            heads = materialize(heads, "heads")
-            if heads.isEmpty():
+    long = heavy.filter(F.col("held") > LONG).withColumn("cls", F.explode(F.array(size_class, size_class - 1))).drop("held", "pos")
+    long = materialize(long, "long")
+
+    compared = labels = None
+    for turn in range(TURNS):
+        part = with_label(long, labels, "set_id", "label")
+        live = part.groupBy("key", "cls").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("held")).filter("l0 <> l1").select("key", "cls", "held")
+        if turn > 1:  # short lists are done
+            live = materialize(live, "live")
+            if live.isEmpty():
                 break
-        not_light = (F.col("n") > light) | (F.col("m") > light)
-        if turn >= LEADER_ROUNDS:  # all pairs that are left
-            last = turn == LEADER_ROUNDS + MATE_ROUNDS
-            bits = materialize(bitmaps(texts), "bits") if bits is None else bits
-            live = part.join(heads.select("key", "cls", "held"), ["key", "cls"])
-            short = live.filter(F.col("held") <= LONG)
-            mate = short.select("key", "cls", F.col("set_id").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("label").alias("other"))
-            pairs = short.join(mate, ["key", "cls"]).filter((F.col("set_id") < F.col("leader")) & (F.col("label") != F.col("other")) & not_light & bounded_overlap()).select("set_id", "leader")
-            pairs = pairs.unionByName(block_pairs(live.filter(F.col("held") > LONG).join(bits, "set_id"), light, not last))
+        new = ordered(block_pairs(part.join(live, ["key", "cls"]).join(bits.drop("size"), "set_id"), light, turn == TURNS - 1))
+        if turn == 0:  # one mate a set to begin with: of all its mates that with the lowest hash, which mates of one set have in common
+            both = near.select(F.col("a").alias("set_id"), F.col("b").alias("leader")).union(near.select("b", "a"))
+            one = both.groupBy("set_id").agg(F.min(F.struct(F.xxhash64("leader"), "leader")).alias("h")).select("set_id", "h.leader")
+            new = new.union(ordered(one.unionByName(light_pairs))).distinct()
         else:
-            pairs = part.join(heads, ["key", "cls"]).filter((F.col("label") != F.col("other")) & not_light & bounded_overlap())
-            if turn == 0:  # one leader a set to begin with
-                pairs = pairs.groupBy("set_id").agg(F.min(F.struct("rank", "leader")).alias("h")).select("set_id", "h.leader")
-                pairs = pairs.unionByName(light_pairs)
-            last = False
-        new = ordered(pairs)
-        if compared is not None:
+            if turn == 1:
+                new = new.union(with_label(with_label(near, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")).distinct()
             new = new.join(compared, ["a", "b"], "left_anti")
         new = materialize(new, "pairs")
         found = materialize(compare(new, texts), "found")
         compared = new if compared is None else compared.unionByName(new)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = connect(links)
-        if last:
-            break
+            labels = unite(labels, found)
+    return labels
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), n, label (null without words), component_id of every row of docs."""
+    surveyed = survey(docs)
+    members = surveyed.filter(F.col("slice").isNull()).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    level, list_length, shingles = frequency_sketch(surveyed)
+    light = boundary(list_length)
+    entries = lists(docs, level, light, shingles)
+
+    wanted = entries.select("set_id").distinct()
+    first = members.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("set_id", F.col("r.doc_id").alias("rid"), F.col("r.key").alias("rkey"))
+    source = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    texts = source.join(first, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")))
+    texts = materialize(texts.groupBy("set_id").agg(F.min("text").alias("text")), "texts")
+    labels = links_found(entries, texts, light)
 
-    node = members.select("doc_id", "key", "n", "set_id")
-    node = node.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")) if labels is not None else node.withColumn("label", F.col("set_id"))
+    node = with_label(members, labels, "set_id", "label")
     smallest = node.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return node.join(smallest, "label", "left").select("doc_id", "key", "n", "label", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    node = node.join(smallest, "label", "left")
+    return node.select("doc_id", "key", "n", "label", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

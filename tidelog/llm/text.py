@@ -28,6 +28,61 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Bytes that separate words, and bytes hashed side by side.
+BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLOCK = 1 << 19
+
+
+class HashedWords:
+    """64-bit hashes of all words of many texts, worked out side by side from their bytes.
+
+    A word's hash is the polynomial of its bytes' random values at a random odd point (mod 2**64),
+    mixed: prefix sums over a block give every word's polynomial times the power at its begin, which
+    the inverse power takes off. Words longer than a block are hashed on their own.
+    """
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20240229)
+        self.value = rng.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+        self.point = int(rng.integers(0, 1 << 62)) * 4 + 3
+        self.power, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", self.point), ("inverse", pow(self.point, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+
+    def of(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words (runs of other bytes than BLANKS) of all texts, text by text, and how many each has."""
+        flat, first, last, size = spans(raws)
+        return self.hashes(np.frombuffer(flat, np.uint8), first, last), size
+
+    def hashes(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the words flat[first:last], given in order."""
+        out = np.empty(len(first), np.uint64)
+        at = 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(last, first[at] + BLOCK, "right")))
+            begin, end = int(first[at]), int(last[to - 1])
+            self.grow(max(BLOCK, end - begin) + 1)
+            total = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(self.value[flat[begin:end]] * self.power[: end - begin], out=total[1:])
+            out[at:to] = (total[last[at:to] - begin] - total[first[at:to] - begin]) * self.inverse[first[at:to] - begin]
+            at = to
+        return mix(out)
+
+
+def spans(raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, each behind a line feed; begin and end of every word in it; and how many words each text has."""
+    flat = b"\n" + b"\n".join(raws) + b"\n"
+    edge = np.flatnonzero(np.diff(BLANKS[np.frombuffer(flat, np.uint8)]))
+    first, last = edge[::2] + 1, edge[1::2] + 1
+    ends = np.cumsum([0, *(len(b) + 1 for b in raws)])  # of each text
+    return flat, first, last, np.diff(np.searchsorted(first, ends, "right"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finaliser of a public 64-bit generator)."""
     x = x ^ (x >> np.uint64(30))
