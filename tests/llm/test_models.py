@@ -305,3 +305,75 @@ def test_rule_counts_against_brute_force(spark):
     texts += [" \t".join(w[:1] + "#" * (k % 3) for w in prose(k, k).split()) + "\n" + "a b\n" * (k % 4) + "  x\x1c\n \n" for k in range(40)]
     for t in texts:
         assert quality_rules.rule_counts(t)[:5] == plain_counts(t), t
+
+
+def test_more_than_64_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "DOCS_PER_LANG", 6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k * 100 + n, prose(k * 100 + n, 40, letters[k % 26] + letters[(k * 7 + k // 26 + 1) % 26]), f"l{k:02}") for k in range(70) for n in range(6)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["langs"]) == 70
+    got = language_id.predict(model, [t for _, t, _ in rows[-30:]])
+    assert {x for x, _ in got} & {f"l{k}" for k in range(64, 70)}
+
+
+def test_repeated_id_does_not_crowd_out_languages(spark):
+    rows = [(1, prose(k, 300, "aeiou"), "aa") for k in range(400)] + [(k, prose(k, 200, "kzxw"), "zz") for k in range(2, 12)]
+    sample = language_id.sample_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fold("doc_id", 5) >= 0)
+    assert sample["lang"].value_counts().to_dict() == {"aa": 6, "zz": 60}
+
+
+def test_unclear_languages(spark):
+    """Mixed and foreign texts fall below the bound of held-out rows, clean ones don't."""
+    rows = []
+    for k in range(300):
+        a, b = prose(k, 60, "aeioulmn"), prose(k + 1000, 60, "kzxwvqjp")
+        odd = f"{a} {b}" if k % 20 else prose(k, 120, "aeioulmnkzxwvqjp")
+        rows.append((k, odd, None) if k % 10 == 0 else (k, a, "aa") if k % 2 else (k, b, "kk"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, fold("doc_id", 5) != 0)
+    bound = language_id.clear_bound(model, docs, fold("doc_id", 5) == 0)
+    clear = {r.doc_id for r in docs.select("doc_id", language_id.language(model).alias("t")).filter(f"t.score >= {bound}").collect()}
+    clean = [k for k in range(300) if k % 10]
+    assert not any(k in clear for k in range(0, 300, 10)) and sum(k in clear for k in clean) >= 0.98 * len(clean)
+
+
+def plain_language(model, text):
+    """Mean probabilities by loops over bytes and hidden units."""
+    net, raw, k, total = model["net"], text.encode(), language_id.HIDDEN, 0.0
+    for at in range(0, len(raw), language_id.SEGMENT):
+        seg = raw[at : at + language_id.SEGMENT]
+        both = []
+        for d, order in ((0, range(len(seg))), (1, range(len(seg) - 1, -1, -1))):
+            h, states = np.zeros(k), {}
+            for i in order:
+                a, g = net["table"][d, seg[i]].astype(float), h @ net["u"][d].astype(float)
+                z, r = (1 / (1 + np.exp(-(a[x] + g[x]))) for x in (slice(0, k), slice(k, 2 * k)))
+                h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * g[2 * k :])
+                states[i] = h
+            both.append(states)
+        for i in range(len(seg)):
+            e = np.exp(np.concatenate([both[0][i], both[1][i]]) @ net["v"] + net["c"])
+            total = total + e / e.sum()
+    return total / total.sum()
+
+
+def test_language_against_a_plain_forward_pass(spark):
+    model = language_id.train(languages(spark).limit(40))
+    texts = ["a", "kzx aeiou", prose(3, 40, "aeioukzx"), prose(4, 11)]
+    for t, (lang, score) in zip(texts, language_id.predict(model, texts)):
+        want = plain_language(model, t)
+        assert lang == model["langs"][int(want.argmax())] and score == pytest.approx(want.max(), abs=1e-4)
+
+
+def test_quality_against_a_plain_forward_pass():
+    rng = np.random.default_rng(1)
+    shape = {"w": (quality_mil.SIZE, quality_mil.HIDDEN), "b": (quality_mil.HIDDEN,), "v": (quality_mil.HIDDEN, quality_mil.GATE), "u": (quality_mil.HIDDEN, quality_mil.GATE), "a": (quality_mil.GATE,), "c": (quality_mil.HIDDEN,), "d": (1,)}
+    p = {k: rng.normal(size=s) for k, s in shape.items()}
+    bags = [rng.normal(size=(n, quality_mil.SIZE)) for n in (1, 3, 7)]
+    got, _ = quality_mil.pool(p, np.concatenate(bags), np.array([0, 1, 4]))
+    for bag, logit in zip(bags, got):
+        h = [np.tanh(x @ p["w"] + p["b"]) for x in bag]
+        e = [math.exp(sum(math.tanh(float(x @ p["v"][:, g])) / (1 + math.exp(-float(x @ p["u"][:, g]))) * p["a"][g] for g in range(quality_mil.GATE))) for x in h]
+        z = sum(w * x for w, x in zip(e, h)) / sum(e)
+        assert logit == pytest.approx(float(z @ p["c"] + p["d"][0]), rel=1e-6)

@@ -24,8 +24,10 @@ from tidelog.llm.nets import KEEP, Adam, gru_backward, gru_forward, softmax
 
 SEGMENT = 64
 HIDDEN = 8
-#: Bound of the training sample: documents a language, segments a document, and languages.
-DOCS_PER_LANG, SEGMENTS_PER_DOC, MAX_LANGS = 240, 6, 64
+#: Bound of the training sample: documents a language, and segments a document.
+DOCS_PER_LANG, SEGMENTS_PER_DOC = 240, 6
+#: Documents a language on which a bound for clear predictions is set, and the share of right predictions that it keeps.
+CLEAR_DOCS, CLEAR_SHARE = 500, 0.999
 #: Segments that run side by side.
 LANES = 2048
 RESULT = "lang_pred string, score double"
@@ -43,12 +45,17 @@ def segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(padded, np.uint8).reshape(-1, SEGMENT), np.repeat(np.arange(len(raw)), rows)
 
 
+def labelled_rows(docs: DataFrame, rows: Column, per_lang: int) -> DataFrame:
+    """lang, text of at most per_lang documents of each language, one row each: of rows that repeat a doc_id and language that with the text of the lowest hash."""
+    known = docs.select("doc_id", "text", "lang").filter(rows & F.col("lang").isNotNull() & (F.length("text") > 0))
+    picked = F.broadcast(class_sample(known.select("doc_id", "lang").distinct(), "lang", per_lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
+    same = known.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    return same.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("r")).select("lang", "r.text")
+
+
 def sample_segments(docs: DataFrame, train: Column) -> pd.DataFrame:
     """The bounded training sample: (lang, seg), SEGMENTS_PER_DOC segments spread over each document picked."""
-    rows = docs.select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & (F.length("text") > 0))
-    picked = class_sample(rows.select("doc_id", "lang"), "lang", DOCS_PER_LANG)
-    langs = picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    picked = picked.join(F.broadcast(langs), "lang").select("doc_id").distinct()
+    picked = labelled_rows(docs, train, DOCS_PER_LANG)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -60,8 +67,8 @@ def sample_segments(docs: DataFrame, train: Column) -> pd.DataFrame:
                 lang += [one] * len(at)
             yield pd.DataFrame({"lang": lang, "seg": seg})
 
-    cut_rows = rows.join(F.broadcast(picked), "doc_id").select("lang", "text").mapInPandas(cut, "lang string, seg binary")
-    return cut_rows.orderBy("lang", F.xxhash64("seg"), "seg").limit(DOCS_PER_LANG * SEGMENTS_PER_DOC * MAX_LANGS).toPandas()
+    got = picked.select("lang", "text").mapInPandas(cut, "lang string, seg binary").toPandas()  # DOCS_PER_LANG * SEGMENTS_PER_DOC a language
+    return got.sort_values(["lang", "seg"], ignore_index=True)
 
 
 def fit_segments(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 7, epochs: int = 14, batch: int = 128) -> dict[str, np.ndarray]:
@@ -159,6 +166,21 @@ def language(model: dict, text: str | Column = "text") -> Column:
     return tag(text)
 
 
+def clear_bound(model: dict, docs: DataFrame, rows: Column) -> float:
+    """The score below which a prediction is unclear, from labelled rows that the model has not learned from:
+    CLEAR_SHARE of the right predictions reach it. Samples too small to tell such a share have a bound below their
+    lowest score, by a multiple of what the next sqrt(n) scores lie apart; without a right prediction it is 0."""
+    tagged = labelled_rows(docs, rows, CLEAR_DOCS).select("lang", language(model).alias("tag"))
+    right = sorted(r.score for r in tagged.filter(F.col("tag.lang_pred") == F.col("lang")).select("tag.score").collect())  # CLEAR_DOCS a language
+    if not right:
+        return 0.0
+    below = len(right) * (1 - CLEAR_SHARE)
+    if below >= 1:
+        return right[int(below)]
+    near = right[min(len(right) - 1, int(np.ceil(np.sqrt(len(right)))))]
+    return max(0.0, right[0] - 3 * (1 - below) * (near - right[0]))
+
+
 def identify(docs: DataFrame, rows: Column | None = None) -> DataFrame:
     """docs (doc_id, text, lang) to doc_id, lang_pred, score, learning from the given rows."""
     tagged = docs.select("doc_id", language(train(docs, rows)).alias("tag"))
