@@ -257,11 +257,6 @@ def custody_chain_problems(spark, sf):
     return integrity.verify_chain(_chain(spark, sf)).select("ledger_id", F.col("seq").cast("long").alias("seq"), "problem")
 
 
-@query("custody_chain_built")
-def custody_chain_built(spark, sf):
-    return integrity.build_chain(view(spark, sf, "custody_actions").select(*integrity.FIELDS))
-
-
 @query("custody_intake", "SELECT ledger_id, item_id, arg_min(action_type, seq) AS first_action, arg_min(action_type, seq) IN ('RECEIVED', 'REGISTERED') AS accepted FROM custody_actions GROUP BY ALL", "custody_actions")
 def custody_intake(spark, sf):
     return integrity.audit_intake(view(spark, sf, "custody_actions"))
@@ -285,11 +280,6 @@ def custody_current(spark, sf):
     return integrity.current_custodians(view(spark, sf, "custody_actions")).withColumn("since_seq", F.col("since_seq").cast("long"))
 
 
-@query("custody_status")
-def custody_status(spark, sf):
-    return integrity.audit_status(_chain(spark, sf))
-
-
 # pivots
 
 

@@ -81,6 +81,37 @@ FROM (SELECT *, '' AS suffix FROM {events} UNION ALL SELECT *, 'b' AS suffix FRO
     "mem_modules": """
 SELECT 'MEM-' || CAST(p_partkey % 5 AS STRING) AS evidence_id, p_partkey AS row_index, p_name AS name_text, CASE WHEN p_partkey % 20 = 0 THEN '/tmp' ELSE '' END || '/opt/' || CAST(p_size % 25 AS STRING) || '/bin' || CAST(p_partkey % 50 AS STRING) AS path_text,
   '0x' || [hexlow:p_partkey * 4096] AS base_text, CAST(p_size * 4096 AS STRING) AS size_text FROM {part}""",
+    "config_lines": """
+SELECT 'etc/shadow' AS source_path, CAST(c_custkey AS BIGINT) AS line_number, 'u' || CAST(c_custkey AS STRING) || ':' || CASE c_custkey % 40 WHEN 0 THEN '!' WHEN 10 THEN '$6$s$abc' WHEN 20 THEN '' ELSE '$y$j9T$x' END || ':19000:0:99999:7:::' AS line FROM {customer} WHERE c_custkey % 10 = 0
+UNION ALL SELECT 'etc/sudoers' AS source_path, CAST(c_custkey AS BIGINT) AS line_number, CASE WHEN c_custkey % 20 = 1 THEN 'u' || CAST(c_custkey AS STRING) || ' ALL=(root) NOPASSWD: /bin/a, /bin/b' || CAST(c_custkey AS STRING) ELSE 'User_Alias A' || CAST(c_custkey AS STRING) || ' = x' END AS line FROM {customer} WHERE c_custkey % 10 = 1
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.ssh/authorized_keys' AS source_path, CAST(1 AS BIGINT) AS line_number, 'ssh-ed25519 AAAA u' || CAST(c_custkey AS STRING) || '@h' AS line FROM {customer} WHERE c_custkey % 10 = 2
+UNION ALL SELECT 'etc/systemd/system/s' || CAST(c_custkey AS STRING) || '.service' AS source_path, CAST(1 AS BIGINT) AS line_number, '[Unit]' AS line FROM {customer} WHERE c_custkey % 10 = 3
+UNION ALL SELECT 'etc/systemd/system/s' || CAST(c_custkey AS STRING) || '.service' AS source_path, CAST(2 AS BIGINT) AS line_number, 'Description=d' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 3
+UNION ALL SELECT 'etc/systemd/system/s' || CAST(c_custkey AS STRING) || '.service' AS source_path, CAST(3 AS BIGINT) AS line_number, '[Service]' AS line FROM {customer} WHERE c_custkey % 10 = 3
+UNION ALL SELECT 'etc/systemd/system/s' || CAST(c_custkey AS STRING) || '.service' AS source_path, CAST(4 AS BIGINT) AS line_number, 'ExecStart=/bin/s' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 3
+UNION ALL SELECT 'etc/systemd/system/s' || CAST(c_custkey AS STRING) || '.service' AS source_path, CAST(5 AS BIGINT) AS line_number, 'User=u' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 3
+UNION ALL SELECT 'etc/cron.d/c' || CAST(c_custkey AS STRING) AS source_path, CAST(1 AS BIGINT) AS line_number, CASE WHEN c_custkey % 20 = 4 THEN '*/5 * * * * root /bin/c' || CAST(c_custkey AS STRING) || ' x' ELSE 'junk' END AS line FROM {customer} WHERE c_custkey % 10 = 4
+UNION ALL SELECT 'etc/cron.d/c' || CAST(c_custkey AS STRING) AS source_path, CAST(2 AS BIGINT) AS line_number, '@daily u' || CAST(c_custkey AS STRING) || ' /bin/d' AS line FROM {customer} WHERE c_custkey % 10 = 4
+UNION ALL SELECT 'etc/cron.d/c' || CAST(c_custkey AS STRING) AS source_path, CAST(3 AS BIGINT) AS line_number, 'SHELL=/bin/sh' AS line FROM {customer} WHERE c_custkey % 10 = 4
+UNION ALL SELECT 'etc/anacrontab' AS source_path, CAST(c_custkey AS BIGINT) AS line_number, '7 ' || CAST(c_custkey % 9 AS STRING) || ' job' || CAST(c_custkey AS STRING) || ' /bin/run ' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 5
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.bashrc' AS source_path, CAST(1 AS BIGINT) AS line_number, 'export A=' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 6
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.bashrc' AS source_path, CAST(2 AS BIGINT) AS line_number, 'alias l=ls' AS line FROM {customer} WHERE c_custkey % 10 = 6
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.bashrc' AS source_path, CAST(3 AS BIGINT) AS line_number, '# note' AS line FROM {customer} WHERE c_custkey % 10 = 6
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.bashrc' AS source_path, CAST(4 AS BIGINT) AS line_number, '/bin/e' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 6
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.config/autostart/a.desktop' AS source_path, CAST(1 AS BIGINT) AS line_number, 'Name=n' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 7
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.config/autostart/a.desktop' AS source_path, CAST(2 AS BIGINT) AS line_number, 'Exec=/bin/x' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 7
+UNION ALL SELECT 'home/u' || CAST(c_custkey AS STRING) || '/.config/autostart/a.desktop' AS source_path, CAST(3 AS BIGINT) AS line_number, 'Exec=/bin/y' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 7
+UNION ALL SELECT 'etc/ld.so.preload' AS source_path, CAST(c_custkey AS BIGINT) AS line_number, '/lib/a' || CAST(c_custkey AS STRING) || '.so /lib/b.so' AS line FROM {customer} WHERE c_custkey % 10 = 8
+UNION ALL SELECT 'etc/modules' AS source_path, CAST(c_custkey AS BIGINT) AS line_number, 'mod' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 9
+UNION ALL SELECT 'etc/modprobe.d/m' || CAST(c_custkey AS STRING) || '.conf' AS source_path, CAST(1 AS BIGINT) AS line_number, 'blacklist m' || CAST(c_custkey AS STRING) AS line FROM {customer} WHERE c_custkey % 10 = 9""",
+    "unit_links": """
+SELECT 'etc/systemd/system/t' || CAST(c_custkey % 3 AS STRING) || '.target.wants/s' || CAST(c_custkey AS STRING) || '.service' AS relative_path,
+  CASE WHEN c_custkey % 2 = 0 THEN '/lib/s' || CAST(c_custkey AS STRING) || '.service' END AS link_target FROM {customer}
+UNION ALL SELECT 'etc/x' || CAST(c_custkey AS STRING), '/y' FROM {customer}""",
+    "pam_lines": """
+SELECT 'var/log/auth.log' AS source_path, event_id + 1 AS line_number, [iso:ts] || '+00:00 host sshd[9]: ' || CASE WHEN event_type = 'error' THEN 'pam_unix(sshd:auth): authentication failure; logname='
+  || CASE WHEN event_id % 3 = 0 THEN 'l' || CAST(user_id AS STRING) ELSE '' END || ' uid=0 euid=0 tty=ssh ruser= rhost=10.0.0.' || CAST(user_id % 250 AS STRING)
+  || CASE WHEN event_id % 2 = 0 THEN '  user=u' || CAST(user_id AS STRING) ELSE '' END ELSE 'other message' END AS line FROM {events}""",
     "http_heads": """
 SELECT page_id, CASE WHEN page_id % 11 = 0 THEN chr(1) || chr(2) || 'binary' WHEN page_id % 7 = 0 THEN 'HTTP/1.1 404 Not Found' || chr(13) || chr(10) || 'Server: s' || CAST(page_id % 3 AS STRING) || chr(13) || chr(10) || 'Content-Length: ' || CAST(page_id AS STRING) || chr(13) || chr(10) || chr(13) || chr(10)
   ELSE 'GET /p/' || CAST(page_id AS STRING) || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: h' || CAST(page_id % 10 AS STRING) || '.example.org' || chr(13) || chr(10) || 'Cookie: s=' || CAST(page_id AS STRING) || chr(13) || chr(10) || chr(13) || chr(10) END AS payload FROM {pages}""",
@@ -113,8 +144,10 @@ def oracle(query: str, *names: str) -> str:
         order += [n] if n not in order else []
     ctes = [f"{n} AS ({dialect(VIEWS[n], 'duckdb').replace('{', '').replace('}', '')})" for n in order]
     body = dialect(query, "duckdb").strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH RECURSIVE"):
         return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[14:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+    return "WITH " + ",\n".join(ctes) + "\n" + body

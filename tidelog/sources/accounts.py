@@ -21,24 +21,24 @@ def passwd(lines: DataFrame) -> DataFrame:
     """Exactly 7 fields with integer ids; uid 0 is privileged; other lines are left out."""
     f = F.split("line", ":", -1)
     rows = of_file(lines, r"(^|/)etc/passwd$").withColumn("f", f).filter(F.size("f") == 7)
-    out = rows.select("source_path", "line_number", F.col("f")[0].alias("username"), F.col("f")[2].try_cast("long").alias("uid"), F.col("f")[3].try_cast("long").alias("gid"), F.col("f")[4].alias("gecos"), F.col("f")[5].alias("home"), F.col("f")[6].alias("shell"))
+    out = rows.select("source_path", "line_number", F.get("f", F.lit(0)).alias("username"), F.get("f", F.lit(2)).try_cast("long").alias("uid"), F.get("f", F.lit(3)).try_cast("long").alias("gid"), F.get("f", F.lit(4)).alias("gecos"), F.get("f", F.lit(5)).alias("home"), F.get("f", F.lit(6)).alias("shell"))
     return out.filter("uid is not null and gid is not null").withColumn("privileged", F.col("uid") == 0)
 
 
 def group(lines: DataFrame) -> DataFrame:
     """4 fields; members as an array."""
     rows = of_file(lines, r"(^|/)etc/group$").withColumn("f", F.split("line", ":", -1)).filter(F.size("f") == 4)
-    members = F.filter(F.transform(F.split(F.col("f")[3], ","), strip), lambda m: m != "")
-    return rows.select("source_path", "line_number", F.col("f")[0].alias("group_name"), F.col("f")[2].try_cast("long").alias("gid"), members.alias("members")).filter("gid is not null")
+    members = F.filter(F.transform(F.split(F.get("f", F.lit(3)), ","), strip), lambda m: m != "")
+    return rows.select("source_path", "line_number", F.get("f", F.lit(0)).alias("group_name"), F.get("f", F.lit(2)).try_cast("long").alias("gid"), members.alias("members")).filter("gid is not null")
 
 
 def shadow(lines: DataFrame) -> DataFrame:
     """Locked, empty, has a password, hash family; the hash itself is not shown."""
     rows = of_file(lines, r"(^|/)etc/shadow$").withColumn("f", F.split("line", ":", -1)).filter(F.size("f") >= 2)
-    h = F.col("f")[1]
+    h = F.get("f", F.lit(1))
     family = F.coalesce(*(F.when(F.ltrim(h, F.lit("!")).startswith(k), v) for k, v in HASHES.items()), F.when(h.rlike(r"^[./0-9A-Za-z]{13}$"), "des"))
     locked = h.startswith("!") | h.startswith("*")
-    return rows.select("source_path", "line_number", F.col("f")[0].alias("username"), locked.alias("locked"), (h == "").alias("empty"), (~locked & (h != "")).alias("has_password"), family.alias("hash_family"), F.when(h == "", "").when(h.isin("*", "!", "!!", "x"), h).otherwise("[REDACTED]").alias("hash"))
+    return rows.select("source_path", "line_number", F.get("f", F.lit(0)).alias("username"), locked.alias("locked"), (h == "").alias("empty"), (~locked & (h != "")).alias("has_password"), family.alias("hash_family"), F.when(h == "", "").when(h.isin("*", "!", "!!", "x"), h).otherwise("[REDACTED]").alias("hash"))
 
 
 def sudoers(lines: DataFrame) -> DataFrame:
