@@ -201,17 +201,23 @@ def host_network(host: DataFrame, network: DataFrame, window: float = WINDOW, kn
     found = [band_join(left.filter("k_a is not null"), right.filter("k_b is not null"), ["k"], window).withColumn("rank", F.lit(rank)).withColumn("dimension", F.lit(way)) for rank, way, left, right in ways if left is not None]
     pairs = reduce(lambda x, y: x.unionByName(y), found)
     conflict = F.coalesce(user("a") != user("b"), F.lit(False)) | F.coalesce(session("a") != session("b"), F.lit(False))
-    best = pairs.filter(~conflict).groupBy("event_id_a", "event_id_b").agg(F.min(F.struct("rank", F.col("k_a").alias("value"), "dimension", delta().alias("delta_seconds"), "src_ip_b", "dst_ip_b", "src_port_b", "dst_port_b", "port_a", user("a").alias("user_a"), user("b").alias("user_b"))).alias("m"))
+    best = pairs.filter(~conflict).groupBy("event_id_a", "event_id_b").agg(F.min(F.struct("rank", F.col("k_a").alias("value"), "dimension", delta().alias("delta_seconds"), F.least("ts_us_a", "ts_us_b").alias("start_us"), F.greatest("ts_us_a", "ts_us_b").alias("end_us"), "src_ip_b", "dst_ip_b", "src_port_b", "dst_port_b", "port_a", user("a").alias("user_a"), user("b").alias("user_b"))).alias("m"))
     m = best.select(F.col("event_id_a").alias("host_event"), F.col("event_id_b").alias("network_event"), "m.*")
     return m.select(
         "host_event", "network_event", "dimension", "value", "delta_seconds",
         F.when(F.col("value") == F.col("src_ip_b"), "outbound").when(F.col("value") == F.col("dst_ip_b"), "inbound").alias("direction"),
         F.coalesce((F.col("port_a") == F.col("src_port_b")) | (F.col("port_a") == F.col("dst_port_b")), F.lit(False)).alias("port_aligned"),
         F.coalesce(F.col("user_a") == F.col("user_b"), F.lit(False)).alias("user_aligned"),
-        is_private_ip(F.col("value")).alias("private_address"),
+        is_private_ip(F.col("value")).alias("private_address"), "start_us", "end_us",
     )
 
 
+def host_network_edges(found: DataFrame) -> DataFrame:
+    """The pairs of host_network as edges of one relation, with their dimension, direction and alignment, as rules on links need them."""
+    ends = {"event_a": F.least("host_event", "network_event"), "event_b": F.greatest("host_event", "network_event"), "relation": F.lit("HOST_NETWORK")}
+    return found.withColumns(ends).drop("host_event", "network_event")
+
+
 def with_ids(links: DataFrame) -> DataFrame:
     """Edges with their id, one row an id."""
     return links.withColumn("edge_id", ids.edge_id(F.col("relation"), F.col("event_a"), F.col("event_b"))).dropDuplicates(["edge_id"])

@@ -290,6 +290,10 @@ def host_network_rule(window: float = WINDOW) -> Rule:
     return Rule("Host event with network event", "Observed a host event and a network event of the same endpoint.", (), (), ("HOST_NETWORK",), window=window)
 
 
+def network_pack(query_name: str, server_name: str, host: str, transport: str, port: int, window: float = WINDOW) -> list[Rule]:
+    return [dns_rule(query_name), tls_rule(server_name), http_rule(host), protocol_rule(transport, port), host_network_rule(window)]
+
+
 def memory_process_rule(name: str | list[str]) -> Rule:
     return field_rule("Memory process name", "memory", (), event_type=["process_created", "process_observed"], name=name)
 

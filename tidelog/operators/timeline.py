@@ -43,12 +43,12 @@ def filesystem_events(files: DataFrame) -> DataFrame:
     )
 
 
-def _log_event(rows: DataFrame, category: str, kind: Column) -> DataFrame:
+def _log_event(rows: DataFrame, category: Column, kind: Column) -> DataFrame:
     col = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)
     text = F.when(F.coalesce("message", F.lit("")) != "", F.col("message")).otherwise(F.concat(F.lit("log entry: "), kind))
     return rows.select(
-        ids.uuid5(ids.namespace("event"), ids.joined(F.lit(category), F.col("source_path"), F.col("line_number"), kind)).alias("event_id"),
-        "ts_class", "ts_us", F.lit(category).alias("category"), kind.alias("event_type"), text.alias("description"), "source_path", F.col("line_number").alias("source_line"),
+        ids.uuid5(ids.namespace("event"), ids.joined(category, F.col("source_path"), F.col("line_number"), kind)).alias("event_id"),
+        "ts_class", "ts_us", category.alias("category"), kind.alias("event_type"), text.alias("description"), "source_path", F.col("line_number").alias("source_line"),
         col("source_artifact_id"), F.concat_ws(":", "source_path", "line_number").alias("source_event_id"), F.col("line").alias("raw_data"), col("username"), col("source_ip"), col("session_id"), col("status"),
     )
 
@@ -56,19 +56,21 @@ def _log_event(rows: DataFrame, category: str, kind: Column) -> DataFrame:
 def log_events(logs: DataFrame) -> DataFrame:
     """One event a log row; the description is the message, else a label."""
     rows = logs.withColumn("username", F.col("user")).withColumn("source_ip", F.col("src_ip")) if "user" in logs.columns else logs
-    return _log_event(rows, "log", F.col("event_type"))
+    return _log_event(rows, F.lit("log"), F.col("event_type"))
 
 
 def authentication_events(auth: DataFrame) -> DataFrame:
     """One event an authentication row, with its identity and status."""
-    return _log_event(auth, "authentication", F.col("auth_type"))
+    return _log_event(auth, F.lit("authentication"), F.col("auth_type"))
 
 
 def build(lines: DataFrame, year: int | None = None) -> DataFrame:
-    """Timeline of log lines: authentication rows, and the log rows that they do not cover, without duplicates."""
-    logs = log_rows.parse_logs(lines, year)
-    auth = log_rows.authentication_rows(logs)
-    return deduplicate(authentication_events(auth).unionByName(log_events(log_rows.without_covered_logs(logs, auth))))
+    """Timeline of log lines without duplicates: an authentication row where a line is one, else a log row. One pass, one shuffle."""
+    rows = log_rows.with_authentication(log_rows.parse_logs(lines, year))
+    is_auth = F.col("auth_type").isNotNull()
+    rows = rows.withColumn("username", F.when(is_auth, F.col("username")).otherwise(F.col("user"))).withColumn("source_ip", F.when(is_auth, F.col("source_ip")).otherwise(F.col("src_ip")))
+    category = F.when(is_auth, "authentication").otherwise("log")
+    return deduplicate(_log_event(rows, category, F.coalesce("auth_type", "event_type")))
 
 
 def resolve_parents(logs: DataFrame, catalogue: DataFrame, root: str = "") -> DataFrame:

@@ -91,8 +91,8 @@ def artifacts_ordered(spark, sf):
 # packets
 
 
-def _packets(spark, sf) -> DataFrame:
-    return view(spark, sf, "packets").withColumn("ts_us", F.col("sec").cast("long") * 1_000_000)
+def _packets(spark, sf, name: str = "packets") -> DataFrame:
+    return view(spark, sf, name).withColumn("ts_us", F.col("sec").cast("long") * 1_000_000)
 
 
 KIND = "CASE WHEN fragment_offset > 0 THEN 'ip_fragment' WHEN transport_protocol = 'TCP' THEN 'tcp_packet' ELSE 'udp_packet' END"
@@ -115,6 +115,38 @@ def rules_network_pack(spark, sf):
     return rules.counts(rules.single(network.network_events(_packets(spark, sf)), pack))
 
 
+APP = """a AS (SELECT *, frame_number % 4 = 0 AS asks, frame_number % 4 = 1 AS replies, CASE WHEN server_name IS NOT NULL THEN 'tls_hello' WHEN frame_number % 4 < 2 THEN 'http_message' WHEN query_name IS NOT NULL THEN 'dns_query' END AS kind FROM packets_app)"""
+
+
+@query(
+    "network_applications",
+    f"""WITH {APP} SELECT capture, frame_number, kind AS event_type, CASE WHEN kind = 'http_message' AND asks THEN 'GET' END AS method, CASE WHEN kind = 'http_message' AND asks THEN 'h' || (frame_number % 20) END AS host,
+    CASE WHEN kind = 'http_message' AND asks THEN '/p' || (frame_number % 50) END AS target, CAST(CASE WHEN kind = 'http_message' AND replies THEN 200 + frame_number % 3 END AS INT) AS status_code,
+    CASE WHEN kind = 'tls_hello' THEN ['TLS 1.0', 'TLS 1.1', 'TLS 1.2', 'TLS 1.3', 'CODE773'][frame_number % 5 + 1] END AS tls_version, CASE WHEN kind = 'dns_query' THEN ['NOERROR', 'FORMERR', 'SERVFAIL', 'NXDOMAIN', 'NOTIMP', 'REFUSED', 'CODE6'][frame_number % 7 + 1] END AS response_code
+    FROM a WHERE kind IS NOT NULL""",
+    "packets", "packets_app",
+)
+def network_applications(spark, sf):
+    e = network.application_events(_packets(spark, sf, "packets_app"))
+    return e.select(F.col("source_path").alias("capture"), F.col("source_line").alias("frame_number"), "event_type", "method", "host", "target", "status_code", "tls_version", "response_code")
+
+
+@query(
+    "rules_network_full_pack",
+    f"""WITH {EV}, {APP} SELECT rule_name, count(*) AS n FROM (SELECT 'DNS query' AS rule_name FROM a WHERE kind = 'dns_query' AND query_name = 'h7.example.org' UNION ALL SELECT 'TLS server name' FROM a WHERE server_name = 's3.portal.org'
+    UNION ALL SELECT 'HTTP message' FROM a WHERE kind = 'http_message' AND asks AND frame_number % 20 = 4 UNION ALL SELECT 'Network protocol and port' FROM a WHERE transport_protocol = 'TCP' AND dst_port = 22
+    UNION ALL SELECT 'Network protocol and port' FROM a WHERE transport_protocol = 'TCP' AND dst_port = 22 AND kind IS NOT NULL
+    UNION ALL SELECT 'Host event with network event' FROM e h JOIN a ON (h.source_ip = a.src_ip OR h.source_ip = a.dst_ip) AND h.ts_class = 0 AND abs(h.ts_us - a.sec * 1000000) <= 300000000 WHERE h.category <> 'network') GROUP BY ALL""",
+    "timeline", "packets", "packets_app",
+)
+def rules_network_full_pack(spark, sf):
+    packets, host = _packets(spark, sf, "packets_app"), _events(spark, sf)
+    events = network.network_events(packets)
+    edges = correlate.host_network_edges(correlate.host_network(host, network.packet_events(packets)))
+    pack = rules.network_pack("h7.example.org", "s3.portal.org", "h4", "TCP", 22)
+    return rules.counts(rules.evaluate(events.unionByName(host, allowMissingColumns=True), pack, edges))
+
+
 HEADS = "h AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'r' ELSE 'q' END AS t FROM http_heads)"
 
 

@@ -42,6 +42,10 @@ FROM (SELECT *, 'cap' || CAST(l_suppkey % 8 AS STRING) AS capture, 1704067200 +
   CAST(CASE WHEN l_linenumber = 7 THEN l_orderkey % 3 ELSE 0 END AS INT) AS fragment_offset,
   CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'h' || CAST(l_partkey % 50 AS STRING) || '.example.org' END AS query_name,
   CASE WHEN l_returnflag = 'N' THEN 's' || CAST(l_partkey % 50 AS STRING) || '.portal.org' END AS server_name FROM {lineitem}) AS p""",
+    "packets_app": """
+SELECT *, CAST(CASE WHEN server_name IS NOT NULL THEN 769 + frame_number % 5 END AS INT) AS tls_version, CAST(CASE WHEN query_name IS NOT NULL THEN frame_number % 7 END AS INT) AS response_code,
+  CASE WHEN frame_number % 4 = 0 THEN 'GET /p' || CAST(frame_number % 50 AS STRING) || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: h' || CAST(frame_number % 20 AS STRING) || chr(13) || chr(10) || chr(13) || chr(10)
+    WHEN frame_number % 4 = 1 THEN 'HTTP/1.1 ' || CAST(200 + frame_number % 3 AS STRING) || ' x' || chr(13) || chr(10) WHEN frame_number % 4 = 2 THEN 'no head' END AS payload FROM {packets}""",
     "account_lines": """
 SELECT 'etc/passwd' AS source_path, c_custkey AS line_number, CASE WHEN c_custkey % 40 = 0 THEN 'broken' ELSE 'u' || CAST(c_custkey AS STRING) || ':x:' || CAST(c_custkey AS STRING) || ':' || CAST(c_nationkey AS STRING) || ':' || c_name || ':/home/u' || CAST(c_custkey AS STRING) || ':/bin/sh' END AS line FROM {customer}
 UNION ALL

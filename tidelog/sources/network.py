@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,22 +58,54 @@ def packet_events(packets: DataFrame) -> DataFrame:
     )
 
 
+APPLICATION = ["query_name", "server_name", "response_code", "tls_version", "host", "method", "target", "status_code"]
+
+
 def application_events(packets: DataFrame) -> DataFrame:
-    """One event a packet with TLS, else DNS, content."""
-    rows = packets.withColumn("packet_id", packet_id()).withColumn("kind", F.when(F.col("server_name").isNotNull(), "tls_hello").when(F.col("query_name").isNotNull(), "dns_query")).filter("kind is not null")
-    return rows.select(
-        ids.uuid5(ids.namespace("event"), ids.joined(F.col("packet_id"), F.col("kind"))).alias("event_id"), F.lit(0).alias("ts_class"), "ts_us", F.lit("network").alias("category"), F.col("kind").alias("event_type"),
-        F.concat(F.when(F.col("kind") == "tls_hello", "Observed TLS server name ").otherwise("Observed DNS query for "), F.coalesce("server_name", "query_name")).alias("description"),
+    """One event a packet with application content: TLS, else HTTP, else DNS.
+
+    The columns server_name and tls_version, payload (the start of an HTTP message), query_name and
+    response_code are looked at where the table has them; codes come out as names, a status as a number.
+    """
+    have = lambda c, kind="string": F.col(c) if c in packets.columns else F.lit(None).cast(kind)
+    rows = packets.withColumns({"server_name": have("server_name"), "query_name": have("query_name"), "payload": have("payload"), "_rcode": have("response_code", "int"), "_tls": have("tls_version", "int")})
+    tls, http = F.col("server_name").isNotNull(), F.coalesce(is_http_head(F.col("payload")), F.lit(False))
+    kind = F.when(tls, "tls_hello").when(http, "http_message").when(F.col("query_name").isNotNull(), "dns_query")
+    rows = once(rows.withColumn("packet_id", packet_id()), "kind", kind).filter("kind is not null")
+    names = ["method", "target", "status_code", "host"]
+    plain = rows.filter("kind <> 'http_message'").withColumns({c: F.lit(None).cast("int" if c == "status_code" else "string") for c in names})
+    heads = http_heads(rows.filter("kind = 'http_message'")).select(*rows.columns, *names)
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    text = (
+        F.when(F.col("kind") == "tls_hello", F.concat(F.lit("Observed TLS server name "), "server_name")).when(F.col("kind") == "dns_query", F.concat(F.lit("Observed DNS query for "), "query_name"))
+        .when(F.col("method").isNotNull(), F.concat(F.lit("Observed HTTP request "), "method", F.lit(" "), "target")).otherwise(F.concat(F.lit("Observed HTTP response "), F.col("status_code").cast("string")))
+    )
+    return plain.unionByName(heads).select(
+        ids.uuid5(ids.namespace("event"), ids.joined(F.col("packet_id"), F.col("kind"))).alias("event_id"), F.lit(0).alias("ts_class"), "ts_us", F.lit("network").alias("category"), F.col("kind").alias("event_type"), text.alias("description"),
         F.col("capture").alias("source_path"), F.col("frame_number").alias("source_line"), F.col("packet_id").alias("source_event_id"), "src_ip", "dst_ip", "src_port", "dst_port", "transport_protocol", "query_name", "server_name",
+        of("dns_query", names_of(DNS_STATUS, F.col("_rcode"))).alias("response_code"), of("tls_hello", names_of(TLS_VERSION, F.col("_tls"))).alias("tls_version"), "host", "method", "target", "status_code",
     )
 
 
 def network_events(packets: DataFrame, both: bool = True) -> DataFrame:
     """Packet and application events; with both=False a packet gives its application event, else its packet event."""
+    every = application_events(packets)
     if both:
-        return packet_events(packets).unionByName(application_events(packets))
-    plain = packets.filter(F.col("server_name").isNull() & F.col("query_name").isNull())
-    return packet_events(plain).unionByName(application_events(packets))
+        return packet_events(packets).unionByName(every, allowMissingColumns=True)
+    test = [F.col(c).isNull() for c in ("server_name", "query_name") if c in packets.columns]
+    test += [~F.coalesce(is_http_head(F.col("payload")), F.lit(False))] if "payload" in packets.columns else []
+    plain = packets.filter(reduce(lambda a, b: a & b, test)) if test else packets
+    return packet_events(plain).unionByName(every, allowMissingColumns=True)
+
+
+# first lines of an HTTP message
+REQUEST, RESPONSE = r"^([A-Z]+) (\S+) (HTTP/\d\.\d)$", r"^(HTTP/\d\.\d) (\d{3})(?: .*)?$"
+
+
+def is_http_head(payload: Column) -> Column:
+    """Whether a payload begins like an HTTP request of a known method, or like a response."""
+    first = F.substring_index(F.substring(payload, 1, HEAD_CHARS), "\r\n", 1)
+    return (first.rlike(REQUEST) & F.regexp_extract(first, REQUEST, 1).isin(HTTP_METHODS)) | first.rlike(RESPONSE)
 
 
 def http_heads(payloads: DataFrame) -> DataFrame:
@@ -83,7 +117,7 @@ def http_heads(payloads: DataFrame) -> DataFrame:
     head = F.split(F.substring_index(F.substring("payload", 1, HEAD_CHARS), "\r\n\r\n", 1), "\r\n")
     rows = once(payloads, "_lines", F.slice(head, 1, HEAD_LINES))
     first = F.col("_lines")[0]
-    request, response = r"^([A-Z]+) (\S+) (HTTP/\d\.\d)$", r"^(HTTP/\d\.\d) (\d{3})(?: .*)?$"
+    request, response = REQUEST, RESPONSE
     is_request = first.rlike(request) & F.regexp_extract(first, request, 1).isin(HTTP_METHODS)
     rows = rows.filter(is_request | first.rlike(response))
     pairs = F.transform(F.filter(F.slice("_lines", 2, HEAD_LINES), lambda x: x.contains(":")), lambda x: F.struct(F.lower(strip(F.substring_index(x, ":", 1))).alias("k"), strip(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
