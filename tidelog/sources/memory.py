@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids
+from tidelog.functions.once import once
 from tidelog.functions.times import strip
 
 # Names of credentials in flags (`--name value`), and those that stand for themselves (`name=value`).
@@ -18,8 +19,9 @@ SECRET_PAIRS = rf"(?i)(?<![\w-])((?:{'|'.join(BARE_SECRETS)})(?![\w-])\s*[:=]\s*
 
 
 def clean(text: Column) -> Column:
-    """Without control characters and blanks around; null if nothing is left."""
-    return F.nullif(strip(F.regexp_replace(text, r"\p{Cntrl}", "")), F.lit(""))
+    """Without control characters and blanks around; null if nothing is left. Most values are a word, which one look tells."""
+    full = F.nullif(strip(F.regexp_replace(text, r"\p{Cntrl}", "")), F.lit(""))
+    return F.when(text.rlike(r"^[!-~]+$"), text).otherwise(full)
 
 
 def alias(*columns: str) -> tuple[Column, Column]:
@@ -74,9 +76,11 @@ def collapse(rows: DataFrame, content: list[str]) -> DataFrame:
 def processes(rows: DataFrame) -> DataFrame:
     """pid, ppid, name, created_us, image_path with the reason for refusal (null: accepted)."""
     pid_text, conflict = alias("pid_upper", "pid_mixed")
-    pid, ppid = number(pid_text), number(clean(F.col("ppid_text")))
-    reason = F.when(conflict, "CONFLICTING_ALIASES").when(pid_text.isNull(), "MISSING_PID").when(pid.isNull(), "INVALID_PID").when(clean(F.col("image_name")).isNull(), "MISSING_NAME")
-    return rows.select("evidence_id", "plugin", "execution_id", "row_index", pid.alias("pid"), ppid.alias("ppid"), clean(F.col("image_name")).alias("name"), (F.col("created_sec") * 1_000_000).alias("created_us"), clean(F.col("image_path")).alias("image_path"), reason.alias("reason"))
+    fields = F.struct(pid_text.alias("pid_text"), conflict.alias("conflict"), number(pid_text).alias("pid"), number(clean(F.col("ppid_text"))).alias("ppid"), clean(F.col("image_name")).alias("name"), clean(F.col("image_path")).alias("path"))
+    rows = once(rows, "_f", fields)
+    pid_text, conflict, pid, ppid, name, path = (F.col(f"_f.{c}") for c in ("pid_text", "conflict", "pid", "ppid", "name", "path"))
+    reason = F.when(conflict, "CONFLICTING_ALIASES").when(pid_text.isNull(), "MISSING_PID").when(pid.isNull(), "INVALID_PID").when(name.isNull(), "MISSING_NAME")
+    return rows.select("evidence_id", "plugin", "execution_id", "row_index", pid.alias("pid"), ppid.alias("ppid"), name.alias("name"), (F.col("created_sec") * 1_000_000).alias("created_us"), path.alias("image_path"), reason.alias("reason"))
 
 
 PROCESS = ["evidence_id", "plugin", "execution_id", "pid", "ppid", "name", "created_us", "image_path"]
@@ -90,7 +94,8 @@ def process_artifacts(rows: DataFrame) -> DataFrame:
 
 def sockets(rows: DataFrame) -> DataFrame:
     """protocol, addresses, ports, state, pid with the reason for refusal."""
-    port, pid = number(clean(F.col("local_port"))), number(clean(F.col("pid_text")))
+    rows = once(rows, "_f", F.struct(number(clean(F.col("local_port"))).alias("port"), number(clean(F.col("pid_text"))).alias("pid")))
+    port, pid = F.col("_f.port"), F.col("_f.pid")
     reason = F.when(port.isNull() | ~port.between(0, 65535), "INVALID_PORT").when(pid.isNull(), "INVALID_PID")
     return rows.select("evidence_id", "row_index", F.regexp_extract(F.upper("proto"), r"^(TCP|UDP)", 1).alias("protocol"), "local_addr", port.alias("local_port"), "foreign_addr", F.upper("state").alias("state"), pid.alias("pid"), reason.alias("reason"))
 
@@ -105,7 +110,8 @@ def socket_artifacts(rows: DataFrame) -> DataFrame:
 
 def modules(rows: DataFrame) -> DataFrame:
     """name, path, base, size with the reason for refusal."""
-    base, size = number(F.col("base_text")), number(clean(F.col("size_text")))
+    rows = once(rows, "_f", F.struct(number(F.col("base_text")).alias("base"), number(clean(F.col("size_text"))).alias("size")))
+    base, size = F.col("_f.base"), F.col("_f.size")
     reason = F.when(base.isNull(), "INVALID_BASE").when(size.isNull(), "INVALID_SIZE")
     return rows.select("evidence_id", "row_index", clean(F.col("name_text")).alias("name"), clean(F.col("path_text")).alias("path"), base.alias("base"), size.alias("size"), reason.alias("reason"))
 
