@@ -312,3 +312,52 @@ def test_secret_headers(spark):
     head = "HTTP/1.1 200 OK\r\n" + "".join(f"{n}: v\r\n" for n in names)
     r = network.http_heads(spark.createDataFrame([(1, head)], "page_id int, payload string")).first()
     assert [x.endswith("[REDACTED]") for x in r.headers.split(";")] == [True] * 6 + [False] and r.status_code == 200
+
+
+def test_log_stream_and_rows_without_a_time(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [f"2024-01-01T10:00:0{k}+00:00 h sshd[1]: Failed password for u{k % 2} from 10.0.0.1 port 22 ssh2" for k in range(6)]
+    (tmp_path / "in" / "a.log").write_text("\n".join([*lines, "2024-01-01T10:00:00 h x: naive", "no header", lines[0]]) + "\n")
+    run = lambda df, name: spark.read.parquet(streams.run_once(df, str(tmp_path / name), str(tmp_path / f"{name}-cp")))
+    live = lambda: streams.read_logs(spark, str(tmp_path / "in"))
+    assert run(live(), "timed").count() == 7
+    assert run(streams.deduplicate(live(), ["line"], 60).select("line", "user"), "once").count() == 6
+    late = spark.read.text(str(tmp_path / "in")).select(F.lit("a.log").alias("source_path"), F.lit(None).cast("long").alias("line_number"), F.col("value").alias("line"))
+    assert streams.untimed(logs.parse_logs(late)).count() == 2  # rows without an aware time have no place in event time
+    # a later file moves the watermark, so that the windows before it are given out
+    (tmp_path / "in" / "b.log").write_text("2024-01-01T12:00:00+00:00 h sshd[1]: Failed password for z from 10.0.0.1 port 22 ssh2\n")
+    burst = run(streams.bursts(live(), "user", "1 minute", "1 minute", 3), "bursts").collect()
+    assert {(r.user, r.n) for r in burst} == {("u0", 4), ("u1", 3)}
+    session = run(streams.sessions(live(), "user", "1 minute"), "sessions").collect()
+    assert {(r.user, r.n) for r in session} == {("u0", 4), ("u1", 3)}
+
+
+def test_packet_stream_equals_batch(spark, sf, tmp_path):
+    from tidelog.plans.views import view
+
+    rows = view(spark, sf, "packets").limit(50).withColumn("ts_us", F.col("sec").cast("long") * 1_000_000)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = streams.run_once(streams.packets(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == sorted(r.event_id for r in network.packet_events(spark.read.parquet(str(tmp_path / "in"))).collect())
+
+
+def test_catalogue_and_sinks(spark, sf, tmp_path):
+    from tidelog.operators import artifacts
+    from tidelog.plans.views import view
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "a").write_bytes(b"abc")
+    (tmp_path / "d" / "sub" / "b").write_bytes(b"")
+    found = {r.path[-1]: (r.size_bytes, r.md5, r.sha256) for r in artifacts.catalogue(spark, str(tmp_path / "d")).collect()}
+    assert found == {k: (len(c), hashlib.md5(c).hexdigest(), hashlib.sha256(c).hexdigest()) for k, c in (("a", b"abc"), ("b", b""))}
+    lines = view(spark, sf, "account_lines").limit(40)
+    table = artifacts.unify(accounts.passwd(lines), "account", "user")
+    artifacts.write_csv(table, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert back.columns == artifacts.COLUMNS and back.count() == table.count() > 0
+    e = view(spark, sf, "timeline").limit(30)
+    artifacts.write_timeline(e, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).filter("category = 'log'").count() == e.filter("category = 'log'").count()
+    artifacts.write_timeline(e, str(tmp_path / "j"), "json")
+    ids_back = [json.loads(x)["event_id"] for f in sorted((tmp_path / "j").glob("*.json")) for x in f.read_text().splitlines()]
+    assert ids_back == [r.event_id for r in timeline.order(e).collect()]
