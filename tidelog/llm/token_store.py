@@ -1,15 +1,21 @@
 """Token ids in binary shards, with a minimal perfect hash index for keyed access.
 
-File format: a Parquet table in the shared folder, one row a segment, segments in ascending doc_id
-order. `payload` holds the raw ids (little-endian unsigned 32 bit) of whole documents one after the
-other, about SEGMENT_IDS a segment (a longer document has a segment of its own). `seeds` and `slots`
-are the segment's index: a key's bucket gives a seed, seed and key give a slot, and the slot has the
-key's fingerprint, the offset and the number of ids. So a lookup costs two hashes and one comparison,
-whatever the number of documents; a foreign key is refused by the fingerprint (2**-32 pass).
-
-The key is the doc_id as text with the number of the copy (repeated doc_ids follow each other in the
-order of their text's hash). A null doc_id is the empty text and comes first; a null or empty text
-has the end id only. An empty table gives an empty store.
+File format: two Parquet tables in the shared folder.
+
+* `segments`: one row a segment, in ascending doc_id order. `payload` holds the raw ids (little-endian
+  unsigned 32 bit) of whole documents one after the other, about SEGMENT_IDS a segment (a longer document
+  has a segment of its own). `seeds` and `slots` are the segment's index: a key's bucket gives a seed, seed
+  and key give a slot, and the slot has the key's fingerprint, the offset and the number of ids.
+* `directory`: one row for each hash part of the doc_ids, with an index of the same kind from doc_id to
+  the segments that hold it.
+
+So a lookup costs two hashes and one comparison in the directory and as many in the segment, whatever the
+number of documents; a foreign key is refused by a fingerprint (2**-32 pass).
+
+The key in a segment is the doc_id (its kind and its text: a null differs from an empty string) with the
+number of the copy (repeated doc_ids follow each other in the order of their text's hash). Null doc_ids come
+first; a null or empty text has the end id only. An empty table gives an empty store. Columns beyond
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,18 @@ from tidelog.llm.text import rows
 
 SEGMENT_IDS = 1 << 18
 TEXTS = 512
+#: offset and count: of ids in a segment's payload, of places in the directory.
 SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("count", "<u4")])
+PLACE = np.dtype([("shard", "<i4"), ("seg", "<i8")])
 BUCKET = 4
+#: doc_ids of a part of the directory, about.
+PART_KEYS = 1 << 16
+#: Seeds tried for a bucket; keys that differ need a few hundred at most.
+SEEDS = 1 << 20
 
 
-def key_hash(doc_id, copy: int) -> int:
-    return xxhash.xxh3_128_intdigest(f"{'' if doc_id is None else doc_id}#{copy}".encode())
+def key_hash(doc_id, copy: int = 0) -> int:
+    return xxhash.xxh3_128_intdigest(f"{'null' if doc_id is None else type(doc_id).__name__}:{'' if doc_id is None else doc_id}#{copy}".encode("utf-8", "surrogatepass"))
 
 
 def slot_of(h: int, seed: int, n: int) -> int:
@@ -57,12 +69,12 @@ def build_index(hashes: list[int]) -> tuple[np.ndarray, list[int]]:
         if len(keys) == 1:
             singles.append((b, keys[0]))
             continue
-        seed = 0
-        while True:
+        for seed in range(SEEDS):
             at = [slot_of(hashes[i], seed, n) for i in keys]
             if len(set(at)) == len(at) and all(free[s] for s in at):
                 break
-            seed += 1
+        else:
+            raise ValueError("keys of an index must differ")
         seeds[b] = seed
         for i, s in zip(keys, at):
             slot[i], free[s] = s, False
@@ -74,7 +86,7 @@ def build_index(hashes: list[int]) -> tuple[np.ndarray, list[int]]:
 
 
 def find(seeds: np.ndarray, slots: np.ndarray, doc_id, copy: int = 0) -> tuple[int, int] | None:
-    """Offset and number of ids of a key of this segment; None for a foreign key."""
+    """Offset and count of a key of this index; None for a foreign key."""
     h = key_hash(doc_id, copy)
     s = slots[slot_of(h, int(seeds[(h >> 96) % len(seeds)]), len(slots))]
     return (int(s["offset"]), int(s["count"])) if int(s["fingerprint"]) == h & 0xFFFFFFFF else None
@@ -134,13 +146,40 @@ def write(docs: DataFrame, vocabulary_path: str, kind: str = "byte") -> str:
     schema = f"shard int, seg long, n_docs long, n_ids long, doc_ids array<{id_type.simpleString()}>, seeds binary, slots binary, payload binary"
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{path}/segments")
+    write_directory(spark, path)
     return path
 
 
-def directory(spark: SparkSession, path: str) -> DataFrame:
+def write_directory(spark: SparkSession, path: str) -> None:
+    """The index from doc_id to segments, in hash parts of about PART_KEYS documents."""
+    stored = spark.read.parquet(f"{path}/segments")
+    parts = max(1, -(-(stored.agg(F.sum("n_docs")).first()[0] or 0) // PART_KEYS))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, seg, ids in rows(batches, "shard", "seg", "doc_ids"):
+            h = [key_hash(k) for k in dict.fromkeys(ids)]
+            cols = [[(x >> 64) % parts for x in h], [x.to_bytes(16, "big") for x in h], [shard] * len(h), [seg] * len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.binary(), pa.int32(), pa.int64()])], ["part", "hash", "shard", "seg"])
+
+    def build(table: pa.Table) -> pa.Table:
+        found = sorted(zip(*(table[c].to_pylist() for c in ("hash", "shard", "seg"))))
+        places = np.array([x[1:] for x in found], PLACE)
+        first = [i for i, x in enumerate(found) if not i or x[0] != found[i - 1][0]]
+        hashes = [int.from_bytes(found[i][0], "big") for i in first]
+        seeds, slot = build_index(hashes)
+        slots = np.zeros(len(first), SLOT)
+        slots["fingerprint"][slot] = [h & 0xFFFFFFFF for h in hashes]
+        slots["offset"][slot], slots["count"][slot] = first, np.diff([*first, len(found)])
+        return pa.table({"part": table["part"][:1], "parts": pa.array([parts], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("seeds", seeds), ("slots", slots), ("places", places))}})
+
+    dealt = stored.select("shard", "seg", "doc_ids").mapInArrow(keys, "part long, hash binary, shard int, seg long")
+    dealt.groupBy("part").applyInArrow(build, "part long, parts long, seeds binary, slots binary, places binary").write.option("compression", "zstd").parquet(f"{path}/directory")
+
+
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
     """shard, seg, start: ids before each segment. Shards are summed first, so no window holds all segments."""
-    segs = spark.read.parquet(path).select("shard", "seg", "n_ids")
+    segs = spark.read.parquet(f"{path}/segments").select("shard", "seg", "n_ids")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = segs.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", before(Window.orderBy("shard")).alias("shard_start"))  # a row a shard
@@ -150,7 +189,7 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, each fetched by key through the index."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(f"{path}/segments")
     id_type = stored.schema["doc_ids"].dataType.elementType
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,31 +207,52 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     cols = stored.select("shard", "seg", "doc_ids", "seeds", "slots", "payload")
     docs = cols.mapInArrow(fetch, f"shard int, seg long, doc_id {id_type.simpleString()}, at long, n_tokens long, ids_crc32 long")
-    return docs.join(directory(spark, path), ["shard", "seg"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(segment_starts(spark, path), ["shard", "seg"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id, ids (array of long) of the keys (doc_id) that the store holds.
+    """doc_id, ids (array of long) of the keys (doc_id) that the store holds, a row for each copy.
 
-    A key goes to the segments whose first and last doc_id enclose it (shards are ranges, so that is
-    one segment, or several where a doc_id repeats), and there through the index.
+    A key goes to its hash part of the directory, from there to the segments that hold it (one, or several
+    where a doc_id repeats), and there through the segment's index to its ids.
     """
-    stored = spark.read.parquet(path)
-    ranges = stored.select("shard", "seg", F.element_at("doc_ids", 1).alias("lo"), F.element_at("doc_ids", -1).alias("hi"))
-    id_type = stored.schema["doc_ids"].dataType.elementType.simpleString()
-    routed = keys.select("doc_id").distinct().join(ranges, F.coalesce(F.col("lo") <= F.col("doc_id"), F.lit(True)) & (F.col("doc_id") <= F.col("hi"))).select("doc_id", "shard", "seg")
+    stored, table = spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/directory")
+    id_type = stored.schema["doc_ids"].dataType.elementType
+    arrow_id, parts = to_arrow_type(id_type), table.agg(F.max("parts")).first()[0] or 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [(key_hash(k) >> 64) % parts for k in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(part, pa.int64())], ["doc_id", "part"])
+
+    def route(asked: pa.Table, index: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for seeds, slots, places in zip(*(index[c].to_pylist() for c in ("seeds", "slots", "places"))):
+            seeds, slots, places = np.frombuffer(seeds, "<i4"), np.frombuffer(slots, SLOT), np.frombuffer(places, PLACE)
+            for k in asked["doc_id"].to_pylist():
+                if (at := find(seeds, slots, k)) is not None:
+                    out += [(k, int(p["shard"]), int(p["seg"])) for p in places[at[0] : at[0] + at[1]]]
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [arrow_id, pa.int32(), pa.int64()])], names=["doc_id", "shard", "seg"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, seeds, slots, payload in rows(batches, "doc_id", "seeds", "slots", "payload"):
-            seeds, slots, copy = np.frombuffer(seeds, "<i4"), np.frombuffer(slots, SLOT), 0
-            got = []
-            while (place := find(seeds, slots, k, copy)) is not None:
-                got.append(np.frombuffer(payload, "<u4", place[1], 4 * place[0]).astype(np.int64))
-                copy += 1
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(got)), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    return routed.join(stored, ["shard", "seg"]).select("doc_id", "seeds", "slots", "payload").mapInArrow(fetch, f"doc_id {id_type}, ids array<long>")
+        for wanted, seeds, slots, payload in rows(batches, "wanted", "seeds", "slots", "payload"):
+            seeds, slots = np.frombuffer(seeds, "<i4"), np.frombuffer(slots, SLOT)
+            for k in (w["doc_id"] for w in wanted):
+                got, copy = [], 0
+                while (place := find(seeds, slots, k, copy)) is not None:
+                    got.append(np.frombuffer(payload, "<u4", place[1], 4 * place[0]).astype(np.int64))
+                    copy += 1
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(got), arrow_id), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    name = id_type.simpleString()
+    dealt = keys.select(F.col("doc_id").cast(id_type).alias("doc_id")).distinct().mapInArrow(deal, f"doc_id {name}, part long")
+    routed = dealt.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(route, f"doc_id {name}, shard int, seg long")
+    # keys of a segment meet in one row, so its payload is read once; structs keep a null doc_id
+    wanted = routed.groupBy("shard", "seg").agg(F.collect_list(F.struct("doc_id")).alias("wanted"))
+    held = wanted.join(stored.select("shard", "seg", "seeds", "slots", "payload"), ["shard", "seg"])
+    return held.select("wanted", "seeds", "slots", "payload").mapInArrow(fetch, f"doc_id {name}, ids array<long>")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
