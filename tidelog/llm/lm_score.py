@@ -15,7 +15,7 @@ most, found from a histogram of counts) are broadcast; the others, rare by choic
 A hot word is therefore never shuffled for each document.
 
 Defined results: null or empty text has the end token only. Repeated rows count and are scored as
-they come. An empty training set has N = V = 0. Hashes have 56 bits; only the n-gram score uses them.
+they come. An empty training set has N = V = 0. Columns beyond doc_id and text are not read. Hashes have 56 bits; only the n-gram score uses them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import fold, materialize, read_table
-from tidelog.llm.text import WordHashes, join_hashes, mix, raw, rows
+from tidelog.llm.text import HashedWords, WordHashes, join_hashes, mix, raw, rows
 
 #: Bytes of the filters of eight parts, about, and the share of bits set in a filter: at 0.1, one in a hundred
 #: n-grams reads a level too high.
@@ -42,7 +42,8 @@ MU = 30.0
 #: n-grams of a part (4.75 bytes of filter each, or less where they repeat), and tokens of a chunk.
 PART, CHUNK = FILTER_BYTES >> 5, 1_000_000
 KEPT = np.uint64(2**64 - 256)  # bits of a hash; the lowest ones count the training texts
-END, START = b"\n", b"\n\n"  # no word holds a line end
+END = b"\n"  # no word holds a line end
+ENDS, STARTS = np.uint64(0xD1B54A32D192ED03), np.uint64(0x94D049BB133111EB)  # in place of hashes
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -64,13 +65,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def grams(cache: WordHashes, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(words: HashedWords, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then the end), of what stands before each, and tokens a text."""
-    size = np.array([len(w) + 1 for w in words])
-    flat = cache.of([t for w in words for t in (*w, END)])
+    found, size = words.of(texts)
+    flat = np.insert(found, np.cumsum(size), ENDS)
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
-    before[np.r_[0, np.cumsum(size)[:-1]]] = cache[START]
+    size = size + 1
+    before[np.cumsum(size) - size] = STARTS
     return flat, before, size
 
 
@@ -155,7 +157,7 @@ def answers(dealt: DataFrame, parts: int) -> DataFrame:
     shift = np.uint64(64 - parts.bit_length() + 1)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        flat, before, size = grams(WordHashes(), [raw(t).lower().split() for t in table["text"].to_pylist()])
+        flat, before, size = grams(HashedWords(), [raw(t).lower() for t in table["text"].to_pylist()])
         learn = np.repeat(np.array(table["learn"].to_pylist(), np.uint64), size)
         kinds, which, payload = [], [], []
         for kind, h in enumerate((mix(flat), join_hashes(before, flat))):
@@ -221,8 +223,8 @@ def score(docs: DataFrame, rows_to_learn: Column) -> DataFrame:
 
     def read(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         logs = shared_logs.value
-        words = [raw(t).lower().split() for t in left["text"].to_pylist()]
-        flat, before, size = grams(WordHashes(), words)
+        texts = [raw(t).lower() for t in left["text"].to_pylist()]
+        flat, before, size = grams(HashedWords(), texts)
         first = np.r_[0, np.cumsum(size)[:-1]]
         told = sorted(zip(*(right[c].to_pylist() for c in ("kind", "part", "payload"))))
 
@@ -238,7 +240,7 @@ def score(docs: DataFrame, rows_to_learn: Column) -> DataFrame:
         p = (pair + MU * (of_word + 0.1) / norm) / (history + MU)
         total = np.add.reduceat(np.log10(p), first)
         known, partial, ends, tokens, times = [], [], [0], [], []
-        for w in words:
+        for w in map(bytes.split, texts):
             found = [logs[t] for t in w if t in logs]
             found += [logs[END]] if END in logs else []
             rest = Counter(t for t in w if t not in logs)
@@ -251,9 +253,9 @@ def score(docs: DataFrame, rows_to_learn: Column) -> DataFrame:
             ends.append(len(tokens))
         counted = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "k"])
         rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counted)
-        once = lambda c: pa.array([sum(right[c].to_pylist())] + [0] * (len(words) - 1), pa.int64())
+        once = lambda c: pa.array([sum(right[c].to_pylist())] + [0] * (len(texts) - 1), pa.int64())
         return pa.table({
-            "row": pa.array((key[0].as_py() << 33) + np.arange(len(words)), pa.int64()), "doc_id": left["doc_id"], "n_tokens": pa.array(size, pa.int64()), "heavy": pa.array(known, pa.int64()),
+            "row": pa.array((key[0].as_py() << 33) + np.arange(len(texts)), pa.int64()), "doc_id": left["doc_id"], "n_tokens": pa.array(size, pa.int64()), "heavy": pa.array(known, pa.int64()),
             "partial": pa.array(partial, pa.float64()), "score": pa.array(total, pa.float64()), "rare": rare, "grams": once("grams"), "admitted": once("admitted"),
         })
 

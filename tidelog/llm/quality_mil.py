@@ -3,7 +3,8 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded (character-class pairs
 and word statistics through a dense layer), gated attention weighs the passages, and the weighted
 representation is scored. Only document labels are used. The fit is on a bounded sample of
-PER_CLASS labelled documents a class (texts up to MAX_CHARS there); scores cover whole texts.
+PER_CLASS labelled documents a class (of longer texts a stretch of MAX_CHARS characters there); scores cover
+whole texts.
 
 Defined results: a null or empty text is a bag of one empty passage and gets that bag's score.
 Repeated rows get equal scores. Null labels are left out. Without labels of both kinds the score is
