@@ -362,3 +362,32 @@ def test_forest_joins_what_all_pairs_join(seed):
 
         every, some = roots(pairs), roots([pairs[k] for k in kept])
         assert every == some and len(kept) == n - len(set(every))
+
+
+@pytest.mark.parametrize("seed, block", [(5, 2_000_000), (6, 60)])
+def test_number_of_links(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    rows = list(enumerate(near_copies(seed))) + [(900, None), (901, "  ")]
+    got = {r.doc_id: r.n_links for r in ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = {}
+    for k, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    want = {k: sum(j != k and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in sets.items() if a and b) for k, a in sets.items()}
+    assert got == want and max(want.values()) > 5
+    assert ngram_join.links(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline as cp
+
+    docs = [] if empty == "documents" else [(k, prose(k, 60, "aeioulmn" if k % 2 else "kzxwvqjp"), "aa" if k % 2 else "kk", "s", 1) for k in range(12)]
+    marks = [] if empty == "labels" else [(k, 1, 0) for k in range(12)]
+    items = [] if empty == "benchmark" else [(1, prose(99, 15))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, marks).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}
+    # without labels no document is known to be good enough
+    assert kept == (set(range(12)) if empty == "benchmark" else set())

@@ -21,6 +21,9 @@ A document's set is its distinct word shingles. Two sets of a and b shingles lin
    pairs of different components that are left. A list of near copies therefore gives rows by its length,
    not its square, and no link between components is missed.
 
+5. The links of a set are counted inside its component (`links`): exactly, block against block inside tasks,
+   with sums as their only rows.
+
 Shingles that very many documents hold (by the sketch) are known to be shared: they skip the dealing
 to lists, so no task gets a hot list whole.
 
@@ -55,6 +58,8 @@ HOT, HOT_SHARE = 4096, 8
 TREE = 256
 #: Entries of a part of the lists.
 PART = 1_500_000
+#: Shingles of a block of sets whose links are counted.
+LINK_BLOCK = 2_000_000
 #: Rounds of comparisons; all but the last take pairs that join components without a circle.
 TURNS = 3
 #: All pairs of a list of so many sets are looked at; longer ones are searched in tasks, in blocks of BLOCK sets.
@@ -569,8 +574,9 @@ def links_found(entries: DataFrame, texts: DataFrame, light: int) -> DataFrame |
     return labels
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, key (xxhash64 of the text), n, label (null without words), component_id of every row of docs."""
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Members (doc_id, key: xxhash64 of the text, n, set_id: null without words) of every row of docs; set_id, label of all
+    sets with a link to another (None where there is none); set_id, text of all sets that may have one."""
     surveyed = survey(docs)
     members = surveyed.filter(F.col("slice").isNull()).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
     level, list_length, shingles = frequency_sketch(surveyed)
@@ -582,12 +588,69 @@ def components(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     texts = source.join(first, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")))
     texts = materialize(texts.groupBy("set_id").agg(F.min("text").alias("text")), "texts")
-    labels = links_found(entries, texts, light)
+    return members, links_found(entries, texts, light), texts
+
 
+def with_component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     node = with_label(members, labels, "set_id", "label")
     smallest = node.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    node = node.join(smallest, "label", "left")
-    return node.select("doc_id", "key", "n", "label", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return node.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).drop("least")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), n, set_id, label (null without words), component_id of every row of docs."""
+    members, labels, _ = join(docs)
+    return with_component(members, labels)
+
+
+def link_sums(sets: DataFrame) -> DataFrame:
+    """set_id, linked: how many rows the sets linked with this one have; of label, set_id, n, copies, text of all sets with a link.
+
+    Links lie inside components, so the sets of a component are compared block against block inside tasks,
+    every pair of fitting sizes exactly and once, and only sums come out.
+    """
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "set_id"])
+        ids, n, part, copies = (pdf[c].to_numpy() for c in ("set_id", "n", "part", "copies"))
+        h, _ = doc_sets(HashedWords(), list(pdf["text"]))
+        number = np.unique(h, return_inverse=True)[1]
+        end = np.cumsum(n)
+        begin, linked, mine = end - n, np.zeros(len(ids), np.int64), np.zeros(len(h) + 1, bool)
+        for i in range(len(ids) - 1):
+            to = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
+            if to <= i + 1:
+                continue
+            own = number[begin[i] : end[i]]
+            mine[own] = True
+            both = np.add.reduceat(mine[number[end[i] : end[to - 1]]], begin[i + 1 : to] - end[i], dtype=np.int64)
+            mine[own] = False
+            mate = np.arange(i + 1, to)
+            hit = 9 * both >= 4 * (n[i] + n[mate])
+            if key[1] != key[2]:
+                hit &= part[mate] != part[i]
+            linked[i] += copies[mate[hit]].sum()
+            linked[mate[hit]] += copies[i]
+        return pd.DataFrame({"set_id": ids[linked > 0], "linked": linked[linked > 0]}).astype("int64")
+
+    blocks = sets.groupBy("label").agg(F.ceil(F.sum("n") / LINK_BLOCK).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "label").withColumn("part", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("b0", F.least("part", "_j")).withColumn("b1", F.greatest("part", "_j"))
+    found = dealt.select("label", "b0", "b1", "set_id", "n", "part", "copies", "text").groupBy("label", "b0", "b1").applyInPandas(search, "set_id long, linked long")
+    return found.groupBy("set_id").agg(F.sum("linked").alias("linked"))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """components with n_links: the number of other rows that each row is linked with, copies included."""
+    members, labels, texts = join(docs)
+    sets = members.filter("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    node = with_component(members, labels).join(sets.select("set_id", "copies"), "set_id", "left")
+    if labels is not None:
+        linked = materialize(link_sums(sets.join(labels, "set_id").join(texts, "set_id")), "linked")
+        node = node.join(linked, "set_id", "left")
+    else:
+        node = node.withColumn("linked", F.lit(0))
+    return node.withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).drop("copies", "linked")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -601,7 +664,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return components(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return links(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 SQL = r"""
@@ -614,6 +677,6 @@ WITH RECURSIVE d AS (
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS v, doc_id AS w FROM d UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.w)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(w) AS component_id FROM r GROUP BY v) c USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (doc_id) JOIN (SELECT v AS doc_id, min(w) AS component_id FROM r GROUP BY v) c USING (doc_id)
 """
