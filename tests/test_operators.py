@@ -347,9 +347,9 @@ def test_catalogue_and_sinks(spark, sf, tmp_path):
 
     (tmp_path / "d" / "sub").mkdir(parents=True)
     (tmp_path / "d" / "a").write_bytes(b"abc")
-    (tmp_path / "d" / "sub" / "b").write_bytes(b"")
+    (tmp_path / "d" / "sub" / "b").write_bytes(b"\0")
     found = {r.path[-1]: (r.size_bytes, r.md5, r.sha256) for r in artifacts.catalogue(spark, str(tmp_path / "d")).collect()}
-    assert found == {k: (len(c), hashlib.md5(c).hexdigest(), hashlib.sha256(c).hexdigest()) for k, c in (("a", b"abc"), ("b", b""))}
+    assert found == {k: (len(c), hashlib.md5(c).hexdigest(), hashlib.sha256(c).hexdigest()) for k, c in (("a", b"abc"), ("b", b"\0"))}
     lines = view(spark, sf, "account_lines").limit(40)
     table = artifacts.unify(accounts.passwd(lines), "account", "user")
     artifacts.write_csv(table, str(tmp_path / "csv"))
@@ -361,3 +361,14 @@ def test_catalogue_and_sinks(spark, sf, tmp_path):
     artifacts.write_timeline(e, str(tmp_path / "j"), "json")
     ids_back = [json.loads(x)["event_id"] for f in sorted((tmp_path / "j").glob("*.json")) for x in f.read_text().splitlines()]
     assert ids_back == [r.event_id for r in timeline.order(e).collect()]
+
+
+def test_one_timeline_of_all_sources(spark):
+    packets = spark.createDataFrame([("e1", 0, 5, "network", "tcp_packet", "1.2.3.4", 22), ("e0", 0, 5, "network", "tcp_packet", "1.2.3.4", 22), ("e2", 0, 5, "network", "tcp_packet", "1.2.3.4", 23)], "event_id string, ts_class int, ts_us long, category string, event_type string, src_ip string, dst_port int")
+    files = spark.createDataFrame([("f", 2, "filesystem", {"Owner": "root", "k": None}), ("g", 2, "filesystem", None)], "event_id string, ts_class int, category string, attributes map<string,string>")
+    out = timeline.unite(packets, files)
+    got = {r.event_id: dict(r.attributes) for r in out.collect()}
+    assert got == {"e0": {"src_ip": "1.2.3.4", "dst_port": "22"}, "e2": {"src_ip": "1.2.3.4", "dst_port": "23"}, "f": {"Owner": "root", "k": None}} | ({"g": {}} if "g" in got else {})
+    assert {r.event_id for r in timeline.query(out, text="OWNER").collect()} == {"f"} and {r.event_id for r in timeline.query(out, text="1.2.3", case=True).collect()} == {"e0", "e2"}
+    assert [r.s for r in out.filter("event_id = 'e0'").select(correlate.source_identity(out).alias("s")).collect()] == ["1.2.3.4"]
+    assert rules.single(out, [rules.Rule("port", conditions=(rules.Condition("dst_port", "=", "23"),))]).count() == 1

@@ -65,6 +65,6 @@ def write_timeline(events: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, modified, digests of all files below root; files beyond 2 GB have to come with their hash."""
+    """path, size, modified, digests of all files below root; files beyond 2 GB have to come with their hash, and empty files have no row (Spark's reader leaves them out)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("size_bytes"), F.unix_micros("modificationTime").alias("modified_us"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +92,21 @@ def events(processes: DataFrame) -> DataFrame:
 
 
 def triage(processes: DataFrame, sockets: DataFrame) -> DataFrame:
-    """Links by relation and evidence of a whole memory run."""
-    cols = ["relation", "evidence_id", "from_id", "to_id", "confidence"]
-    links = parent_child(processes).select(cols).unionByName(process_socket(processes, sockets).select(cols)).unionByName(same_pid(processes).select(cols)).unionByName(shared(processes, "execution_id", "SHARED_EXECUTION_PROVENANCE").select(cols))
-    return links.groupBy("evidence_id", "relation").agg(F.count("*").alias("n"))
+    """How many links of each relation each evidence has, from counts of equal keys: no pair is made."""
+    alive = processes.filter("evidence_id is not null")
+    by_pid = alive.filter("pid is not null").groupBy("evidence_id", "pid").agg(F.count("*").alias("n"))
+    children = alive.filter("ppid > 0").groupBy("evidence_id", F.col("ppid").alias("pid")).agg(F.count("*").alias("k"), F.count_if(F.col("pid") == F.col("ppid")).alias("own"))
+    ends = sockets.filter("evidence_id is not null and pid > 0").groupBy("evidence_id", "pid").agg(F.count("*").alias("k"))
+    runs = alive.filter("execution_id is not null").groupBy("evidence_id", "execution_id").agg(F.count("*").alias("n"))
+    pairs = F.expr("sum(n * (n - 1) DIV 2)")
+    parts = [
+        ("PARENT_CHILD_PROCESS", children.join(by_pid, ["evidence_id", "pid"]), F.sum(F.col("k") * F.col("n") - F.col("own"))),
+        ("PROCESS_NETWORK_SOCKET", ends.join(by_pid, ["evidence_id", "pid"]), F.sum(F.col("k") * F.col("n"))),
+        ("PROCESS_PID_MATCH", by_pid, pairs),
+        ("SHARED_EXECUTION_PROVENANCE", runs, pairs),
+    ]
+    every = [rows.groupBy("evidence_id").agg(total.alias("n")).select("evidence_id", F.lit(kind).alias("relation"), "n") for kind, rows, total in parts]
+    return reduce(lambda a, b: a.unionByName(b), every).filter("n > 0")
 
 
 def _observed(rows: DataFrame, kind: str, *fields: str) -> DataFrame:

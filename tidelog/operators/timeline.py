@@ -73,6 +73,29 @@ def build(lines: DataFrame, year: int | None = None) -> DataFrame:
     return deduplicate(_log_event(rows, category, F.coalesce("auth_type", "event_type")))
 
 
+def central(events: DataFrame) -> DataFrame:
+    """Events of any source with the columns of the timeline; columns beyond them, and an attributes map, as one map of texts without nulls."""
+    text = lambda c: F.col(c).cast("string")
+    typed = [c for c in COLUMNS if c in events.columns]
+    more = [c for c in events.columns if c not in COLUMNS and c != "attributes"]
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), text(c).alias("value")) for c in more)), lambda x: x["value"].isNotNull()) if more else None
+    maps = [F.map_from_entries(entries)] if more else []
+    maps += [F.coalesce(F.col("attributes"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))] if "attributes" in events.columns else []
+    whole = maps[0] if len(maps) == 1 else F.map_from_entries(F.concat(F.map_entries(maps[0]), F.filter(F.map_entries(maps[1]), lambda x: ~x["key"].isin(more)))) if maps else F.lit(None).cast("map<string,string>")
+    kinds = {"ts_class": "int", "ts_us": "long", "source_line": "long"}
+    columns = [F.col(c).cast(kinds.get(c, "string")).alias(c) if c in typed else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS]
+    return events.select(*columns, whole.cast("map<string,string>").alias("attributes"))
+
+
+def unite(*tables: DataFrame) -> DataFrame:
+    """One timeline of events of all sources (logs, files, packets, memory), without duplicates: fields beyond the columns are in `attributes`."""
+    every = reduce(lambda a, b: a.unionByName(b), map(central, tables))
+    # maps have no order of their own and cannot be grouped by; sorted entries can
+    every = every.withColumn("_entries", F.array_sort(F.map_entries(F.coalesce("attributes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))))
+    one = every.groupBy(*FINGERPRINT, "_entries").agg(F.min("event_id").alias("event_id"))
+    return one.select(*COLUMNS, F.map_from_entries("_entries").alias("attributes"))
+
+
 def resolve_parents(logs: DataFrame, catalogue: DataFrame, root: str = "") -> DataFrame:
     """source_artifact_id of each row's file: by the given id, else by path, else by the path below root."""
     files = catalogue.select(F.col("relative_path").alias("_path"), F.col("artifact_id").alias("_by_path")).dropDuplicates(["_path"])
@@ -101,7 +124,11 @@ def query(
         if value is not None:
             wanted.append(F.col(col) == value)
     if text is not None:
-        wanted.append(contains_text(["description", "raw_data", "event_type", "username", "source_ip", "session_id", "status"], text, case))
+        found = contains_text(["description", "raw_data", "event_type", "username", "source_ip", "session_id", "status"], text, case)
+        if "attributes" in events.columns:  # keys and values
+            part = lambda x: x.contains(text) if case else F.lower(x).contains(text.lower())
+            found = found | F.coalesce(F.exists(F.map_entries("attributes"), lambda x: part(x["key"]) | F.coalesce(part(x["value"]), F.lit(False))), F.lit(False))
+        wanted.append(found)
     return events.filter(reduce(lambda a, b: a & b, wanted)) if wanted else events
 
 

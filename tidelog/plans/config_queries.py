@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.operators import integrity, memory
-from tidelog.plans.evidence_queries import PROC, _chain, _processes
+from tidelog.operators import integrity, memory, timeline
+from tidelog.plans.evidence_queries import KIND, PROC, _chain, _packets, _processes
+from tidelog.plans.host_queries import LOGS, file_times
 from tidelog.plans.views import oracle, view
-from tidelog.sources import accounts, logs, persistence
+from tidelog.sources import accounts, logs, network, persistence
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,3 +161,31 @@ SELECT ledger_id, CASE max(CASE WHEN okey % 500 = 0 THEN 3 WHEN action_type = 'T
 )
 def custody_status(spark, sf):
     return integrity.audit_status(_chain(spark, sf))
+
+
+# one timeline of all sources
+
+
+def _all_sources(spark, sf):
+    return timeline.unite(timeline.build(view(spark, sf, "log_lines")), timeline.filesystem_events(file_times(spark, sf)), network.packet_events(_packets(spark, sf)), memory.events(_processes(spark, sf)))
+
+
+FILES = """SELECT 'filesystem' AS category, e.event_type, 0 AS ts_class, e.ts_us FROM orders, LATERAL (VALUES ('file_created', epoch_us(o_orderdate)), ('file_modified', CASE WHEN o_orderkey % 3 <> 0 THEN epoch_us(o_orderdate) + o_custkey * 1000000 END)) AS e(event_type, ts_us) WHERE e.ts_us IS NOT NULL"""
+
+
+@query(
+    "timeline_all_sources",
+    f"""WITH {LOGS}, {PROC.replace('p AS (SELECT', 'pr AS (SELECT', 1).replace('FROM p WHERE', 'FROM pr WHERE')} SELECT category, event_type, CAST(ts_class AS INT) AS ts_class, count(*) AS n FROM (
+SELECT 'authentication' AS category, auth_type AS event_type, CASE WHEN ok THEN 0 ELSE 2 END AS ts_class, 0 AS ts_us FROM a
+UNION ALL SELECT 'log', event_type, CASE WHEN ok THEN 0 ELSE 2 END, 0 FROM l WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_path = l.source_path AND a.line_number = l.line_number)
+UNION ALL {FILES} UNION ALL SELECT 'network', {KIND}, 0, 0 FROM packets UNION ALL SELECT 'memory', 'process_created', 0, 0 FROM k) AS u GROUP BY ALL""",
+    "log_lines", "packets", "mem_processes",
+)
+def timeline_all_sources(spark, sf):
+    return _all_sources(spark, sf).groupBy("category", "event_type", "ts_class").agg(F.count("*").alias("n"))
+
+
+@query("timeline_attribute_search", f"WITH {PROC} SELECT category, count(*) AS n FROM (SELECT 'network' AS category FROM packets WHERE query_name = 'h7.example.org' UNION ALL SELECT 'memory' FROM k WHERE name = 'h7.example.org') GROUP BY ALL", "packets", "mem_processes")
+def timeline_attribute_search(spark, sf):
+    """Only attributes hold the text: a packet's query name is no column of the timeline."""
+    return timeline.query(_all_sources(spark, sf), text="H7.example").groupBy("category").agg(F.count("*").alias("n"))

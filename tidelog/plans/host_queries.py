@@ -197,9 +197,12 @@ def timeline_coverage(spark, sf):
 
 @query("file_events", "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS path, e.event_type, e.ts_us FROM orders, LATERAL (VALUES ('file_created', epoch_us(o_orderdate)), ('file_modified', CASE WHEN o_orderkey % 3 <> 0 THEN epoch_us(o_orderdate) + o_custkey * 1000000 END)) AS e(event_type, ts_us) WHERE e.ts_us IS NOT NULL")
 def file_events(spark, sf):
+    return timeline.filesystem_events(file_times(spark, sf)).select(F.col("source_path").alias("path"), "event_type", "ts_us")
+
+
+def file_times(spark, sf) -> DataFrame:
     s = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000
-    files = view(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("path"), F.lit("x").alias("artifact_id"), s.alias("created_s"), F.when(F.col("o_orderkey") % 3 != 0, s + F.col("o_custkey")).alias("modified_s"))
-    return timeline.filesystem_events(files).select(F.col("source_path").alias("path"), "event_type", "ts_us")
+    return view(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("path"), F.lit("x").alias("artifact_id"), s.alias("created_s"), F.when(F.col("o_orderkey") % 3 != 0, s + F.col("o_custkey")).alias("modified_s"))
 
 
 @query("parents_resolved", "SELECT line_number, source_path, CASE WHEN source_path = 'var/log/auth.log' THEN 'F-auth' END AS source_artifact_id FROM log_lines", "log_lines")
