@@ -36,13 +36,57 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that pass between Spark and a Python worker at once while our tables are written: whole texts may be long.
+BATCH_ROWS = 1000
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write df to a folder of the shared one. Batches for Python workers are kept small in the meantime; the session's setting is put back."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(task):
+    """A function over batches that leaves its Python worker small: workers live on from stage to stage, next to a full heap.
+
+    What other operators remember in the worker is dropped before it (the encoder's units), and freed memory is
+    given back before and after.
+    """
+
+    def give_back() -> None:
+        import ctypes
+        import sys
+
+        import pyarrow as pa
+
+        if kept := sys.modules.get("_tidelog_worker"):
+            kept.__dict__.pop("encoders", None)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps what it keeps
+            pass
+
+    def run(batches):
+        give_back()
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import new_path, read_table
+from tidelog.llm.common import lean, new_path, read_table, write_table
 from tidelog.llm.text import ALNUM, raw, rows
 
 WINDOW = 10
@@ -87,7 +87,7 @@ def build_index(docs: DataFrame) -> str:
 
     schema = f"block long, term binary, n long, postings binary, docs array<struct<doc_id:{id_type.simpleString()},key:long,n_words:long>>"
     cols = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    cols.mapInArrow(index, schema).write.option("compression", "zstd").parquet(path)
+    write_table(cols.mapInArrow(lean(index), schema), path)
     return path
 
 

@@ -32,7 +32,7 @@ OTHER = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 ENDS = ".,;:!?"
 #: How the vocabularies write a blank in front of a piece, and the end of a word.
 BLANK, END_OF_WORD = "\u0120", "</w>"
-BOUND = 500_000
+BOUND = 350_000
 #: Units of letters that are encoded as one text.
 TOGETHER = 200
 
@@ -211,8 +211,8 @@ class Encoder:
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """The Python worker's encoder of this file, kept from task to task."""
-    kept = sys.modules.setdefault("_tidelog_worker", types.ModuleType("_tidelog_worker")).__dict__
+    """The Python worker's encoder of this file, kept from task to task until a task of another operator comes (`common.lean`)."""
+    kept = sys.modules.setdefault("_tidelog_worker", types.ModuleType("_tidelog_worker")).__dict__.setdefault("encoders", {})
     if (path, kind) not in kept:
         kept[(path, kind)] = Encoder(path, kind)
     return kept[(path, kind)]

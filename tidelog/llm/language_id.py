@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import class_sample, fold
+from tidelog.llm.common import class_sample, fold, lean
 from tidelog.llm.nets import KEEP, Adam, gru_backward, gru_forward, softmax
 
 SEGMENT = 64
@@ -160,6 +160,9 @@ def language(model: dict, text: str | Column = "text") -> Column:
 
     @F.pandas_udf(RESULT)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return lean(tagged)(batches)
+
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame(predict(model, [t if isinstance(t, str) else None for t in s]), columns=["lang_pred", "score"])
 

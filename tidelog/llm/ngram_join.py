@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import materialize, read_table
+from tidelog.llm.common import lean, materialize, read_table
 from tidelog.llm.text import HashedWords, mix, raw, rows
 
 WORDS = 5
@@ -178,7 +178,7 @@ def survey(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     cols = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return materialize(cols.mapInArrow(scan, f"doc_id {id_type.simpleString()}, key long, n long, set_id long, task int, slice int, counts binary"), "sets")
+    return materialize(cols.mapInArrow(lean(scan), f"doc_id {id_type.simpleString()}, key long, n long, set_id long, task int, slice int, counts binary"), "sets")
 
 
 def frequency_sketch(surveyed: DataFrame) -> tuple[np.ndarray, float, int]:
@@ -342,7 +342,7 @@ def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> D
             give(h[k].view(np.int64), ids[k], n[k], first[k], df[k], pos[k], 0)
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in zip(names, rows_out)})
 
-    emitted = docs.select("text").mapInArrow(emit, "part int, payload binary")
+    emitted = docs.select("text").mapInArrow(lean(emit), "part int, payload binary")
     return emitted.groupBy("part").applyInPandas(group, "key long, set_id long, n int, first int, df long, pos int, other int")
 
 
@@ -394,7 +394,7 @@ def bitmaps(texts: DataFrame) -> DataFrame:
                 odd = (np.bincount(place, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(len(n), BITS)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["set_id", "size", "bits"])
 
-    return texts.select("set_id", "text").mapInArrow(draw, "set_id long, size long, bits binary")
+    return texts.select("set_id", "text").mapInArrow(lean(draw), "set_id long, size long, bits binary")
 
 
 def forest(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

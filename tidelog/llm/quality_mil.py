@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fold, labelled_texts, read_table
+from tidelog.llm.common import fold, labelled_texts, lean, read_table
 from tidelog.llm.nets import Adam, sigmoid
 
 PASSAGE = 64
@@ -157,6 +157,9 @@ def quality(model: dict, text: str | Column = "text") -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(scored)(batches)
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(scores(model, [t if isinstance(t, str) else None for t in s]))
 

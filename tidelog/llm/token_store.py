@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import new_path, read_table
+from tidelog.llm.common import new_path, read_table, write_table
 from tidelog.llm.encode import encoder as kept_encoder
 from tidelog.llm.encode import vocabulary
 from tidelog.llm.text import rows
@@ -146,7 +146,7 @@ def write(docs: DataFrame, vocabulary_path: str, kind: str = "byte") -> str:
     schema = f"shard int, seg long, n_docs long, n_ids long, doc_ids array<{id_type.simpleString()}>, seeds binary, slots binary, payload binary"
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{path}/segments")
+    write_table(ranged.mapInArrow(pack, schema), f"{path}/segments")
     write_directory(spark, path)
     return path
 
