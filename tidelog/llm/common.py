@@ -58,6 +58,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        pass
+
+
 def lean(task):
     """A function over batches that leaves its Python worker small: workers live on from stage to stage, next to a full heap.
 
@@ -65,21 +78,11 @@ def lean(task):
     given back before and after.
     """
 
-    def give_back() -> None:
-        import ctypes
+    def run(batches):
         import sys
 
-        import pyarrow as pa
-
         if kept := sys.modules.get("_tidelog_worker"):
             kept.__dict__.pop("encoders", None)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps what it keeps
-            pass
-
-    def run(batches):
         give_back()
         yield from task(batches)
         give_back()

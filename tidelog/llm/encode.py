@@ -28,11 +28,11 @@ from tidelog.llm.text import HashedWords, spans
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blanks and line feeds.
-OTHER = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 ENDS = ".,;:!?"
 #: How the vocabularies write a blank in front of a piece, and the end of a word.
 BLANK, END_OF_WORD = "\u0120", "</w>"
-BOUND = 350_000
+BOUND = 500_000
 #: Units of letters that are encoded as one text.
 TOGETHER = 200
 
@@ -57,7 +57,7 @@ def vocabulary(name: str) -> str:
 
 def is_odd(text: str) -> bool:
     """Whether there is white space other than single blanks and line feeds between other characters."""
-    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or OTHER.search(text) is not None
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER)
 
 
 class Memory:

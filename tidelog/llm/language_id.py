@@ -28,6 +28,8 @@ HIDDEN = 8
 DOCS_PER_LANG, SEGMENTS_PER_DOC = 240, 6
 #: Documents a language on which a bound for clear predictions is set, and the share of right predictions that it keeps.
 CLEAR_DOCS, CLEAR_SHARE = 500, 0.999
+#: Fewer right predictions than these tell no bound.
+CLEAR_LEAST = 30
 #: Segments that run side by side.
 LANES = 2048
 RESULT = "lang_pred string, score double"
@@ -172,10 +174,10 @@ def language(model: dict, text: str | Column = "text") -> Column:
 def clear_bound(model: dict, docs: DataFrame, rows: Column) -> float:
     """The score below which a prediction is unclear, from labelled rows that the model has not learned from:
     CLEAR_SHARE of the right predictions reach it. Samples too small to tell such a share have a bound below their
-    lowest score, by a multiple of what the next sqrt(n) scores lie apart; without a right prediction it is 0."""
+    lowest score, by a multiple of what the next sqrt(n) scores lie apart; with fewer than CLEAR_LEAST it is 0."""
     tagged = labelled_rows(docs, rows, CLEAR_DOCS).select("lang", language(model).alias("tag"))
     right = sorted(r.score for r in tagged.filter(F.col("tag.lang_pred") == F.col("lang")).select("tag.score").collect())  # CLEAR_DOCS a language
-    if not right:
+    if len(right) < CLEAR_LEAST:
         return 0.0
     below = len(right) * (1 - CLEAR_SHARE)
     if below >= 1:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidelog.llm.common import lean, materialize, read_table
+from tidelog.llm.common import give_back, lean, materialize, read_table
 from tidelog.llm.text import HashedWords, mix, raw, rows
 
 WORDS = 5
@@ -57,7 +57,7 @@ HOT, HOT_SHARE = 4096, 8
 #: Sketches that are added in one group.
 TREE = 256
 #: Entries of a part of the lists.
-PART = 1_500_000
+PART = 600_000
 #: Shingles of a block of sets whose links are counted.
 LINK_BLOCK = 2_000_000
 #: Rounds of comparisons; all but the last take pairs that join components without a circle.
@@ -328,6 +328,7 @@ def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> D
             give(h.view(np.int64), ids, n, first, df, pos, 0)
         if cold[0]:
             h, ids, n, first, pos = (np.concatenate(c) for c in cold)
+            cold.clear()
             order = np.argsort(h, kind="stable")
             hs = h[order]
             near = hs[1:] == hs[:-1]
@@ -340,6 +341,9 @@ def reported(docs: DataFrame, level: np.ndarray, light: int, shingles: int) -> D
             df = np.bincount(run)[run] if len(h) else run
             k = df > 1
             give(h[k].view(np.int64), ids[k], n[k], first[k], df[k], pos[k], 0)
+        cold.clear()
+        hot.clear()
+        give_back()  # a part is large, its worker lives on
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in zip(names, rows_out)})
 
     emitted = docs.select("text").mapInArrow(lean(emit), "part int, payload binary")

@@ -36,11 +36,12 @@ from tidelog.llm.encode import vocabulary
 from tidelog.llm.text import rows
 
 SEGMENT_IDS = 1 << 18
-TEXTS = 512
+TEXTS = 1024
 #: offset and count: of ids in a segment's payload, of places in the directory.
 SLOT = np.dtype([("fingerprint", "<u4"), ("offset", "<u8"), ("count", "<u4")])
 PLACE = np.dtype([("shard", "<i4"), ("seg", "<i8")])
-BUCKET = 4
+#: Keys of a bucket, about: with fewer, more buckets hold one key, which takes any slot left, and few seeds are tried.
+BUCKET = 2
 #: doc_ids of a part of the directory, about.
 PART_KEYS = 1 << 16
 #: Seeds tried for a bucket; keys that differ need a few hundred at most.
