@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, decontaminate, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
+from tidelog.llm import chat_format, decontaminate, fill_in_middle, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8,
         "op9_language_id": language_id.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op11_fill_in_middle": fill_in_middle.op11,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_join": ngram_join.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op7_chat_format": chat_format.SQL,
+        "op11_fill_in_middle": fill_in_middle.SQL,
     }
