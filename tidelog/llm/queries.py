@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, decontaminate, fill_in_middle, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
+from tidelog.llm import chat_format, decontaminate, fill_in_middle, importance, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9,
         "op10_quality_rules": quality_rules.op10,
         "op11_fill_in_middle": fill_in_middle.op11,
+        "op12_importance_resampling": importance.op12,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.SQL,
         "op7_chat_format": chat_format.SQL,
         "op11_fill_in_middle": fill_in_middle.SQL,
+        "op12_importance_resampling": importance.SQL,
     }
