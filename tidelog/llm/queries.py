@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat_format, decontaminate, fill_in_middle, importance, language_id, lm_score, ngram_join, packing, quality_mil, quality_rules, token_store, toxicity
+from tidelog.llm import chat_format, decontaminate, fill_in_middle, importance, language_id, lm_score, ngram_join, packing, private_data, quality_mil, quality_rules, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality_rules.op10,
         "op11_fill_in_middle": fill_in_middle.op11,
         "op12_importance_resampling": importance.op12,
+        "op13_private_data": private_data.op13,
     }
 
 
