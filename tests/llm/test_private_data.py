@@ -133,7 +133,7 @@ def test_spans_that_patterns_swallow(spark):
 
 
 def test_odd_rows(spark):
-    docs = odd_docs(spark).unionByName(rows(spark, [f"{prose(k, 3)} 4111111111111111 x" for k in range(9)] * 2 + ["4111111111111111 4111111111111111"]), allowMissingColumns=True)
+    docs = odd_docs(spark).unionByName(rows(spark, [f"{prose(k, 3)} 4111111111111111 x" for k in range(9)] * 2 + ["a 4111111111111111 4111111111111111 b"]), allowMissingColumns=True)
     out = pd.find_private(docs)
     assert out.columns == ["doc_id", "base", "added"]
     got = Counter((x.doc_id, tuple((s.kind, s.start, s.stop) for s in x.base)) for x in out.collect())

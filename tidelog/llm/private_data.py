@@ -7,8 +7,8 @@ characters: a candidate runs over at most SPAN_ATOMS atoms (runs of digits, runs
 SPAN_GROUPS runs of digits and SPAN_DIGITS digits, and its features are those of the span as one: its shape, how many
 digits, checks that it passes, its first character, and what stands on both sides. Dynamic programming over the spans
 that end at each atom chooses boundaries and kinds of all spans of a place together; atoms in no span score 0. Only
-spans that pass their kind's check are added, and only where they score as high as all but a LEAST_SHARE of the spans
-learned from: what is unlike everything in the sample is left alone.
+spans that pass their kind's check are added, and only where they score LEAST_PART of what all but a LEAST_SHARE of the
+spans learned from reach: what is unlike everything in the sample is left alone.
 
 Training is by labels that the patterns give: places where their spans do not overlap and no match is longer than
 its kind allows, at most PLACES of each kind (and as many without a span), and pairs of these set side by side, whose
@@ -46,8 +46,8 @@ KINDS = ["email", "ip", "card", "phone"]
 SPAN_ATOMS, SPAN_GROUPS, SPAN_DIGITS, LEAST_DIGITS = 40, 8, 19, 4
 #: Characters on each side of an @ that belong to its place.
 REACH = 64
-#: Share of the sample's spans that may score below the least score of an added span of their kind.
-LEAST_SHARE = 0.02
+#: An added span scores at least so much of the score that all but this share of the sample's spans of its kind reach.
+LEAST_PART, LEAST_SHARE = 0.6, 0.02
 #: Places learned from, of each kind and without a span; longer ones are not learned from.
 PLACES, PLACE_CHARS = 400, 200
 JOINED = 400
@@ -243,7 +243,7 @@ class Field:
             if kinds := passed(place.text[at[i] : at[j]]):
                 s = self.scores(features(place, at[i], at[j]))
                 kind = max(kinds, key=lambda k: s[k])
-                if s[kind] > max(0.0, self.least[kind] - 1e-9):
+                if s[kind] > 0 and s[kind] >= self.least[kind]:
                     ends[j].append((float(s[kind]), i, kind))
         if not ends:
             return []
@@ -340,7 +340,7 @@ def fit(sample: list[tuple[Place, list[tuple[int, int, int]]]]) -> Field | None:
         field.weight -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     for kind in range(len(KINDS)):
         scores = sorted(float(field.scores(features(p, a, b))[kind]) for p, g in sample for k, a, b in g if k == kind)
-        field.least[kind] = scores[int(LEAST_SHARE * len(scores))] if scores else math.inf
+        field.least[kind] = LEAST_PART * scores[int(LEAST_SHARE * len(scores))] if scores else math.inf
     return field
 
 
@@ -424,5 +424,6 @@ def written(spans: str | F.Column) -> F.Column:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans as counts by kind and digest, all spans as text, and the number of those added."""
     found = find_private(read_table(spark, sf_dir, "documents"))
-    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = (count(k).alias(f"n_{name}") for k, name in enumerate(KINDS))
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
