@@ -103,7 +103,7 @@ ON s.us BETWEEN f.us AND f.us + 300000000 WHERE (s.us, s.source_path, s.line_num
 @query("failed_then_successful_login", f"WITH {LOGS} {FAIL_SUCCESS}", "log_lines")
 def failed_then_successful_login(spark, sf):
     """Which failed logins were followed by a successful one within 300 seconds (any user)."""
-    lines = view(spark, sf, "log_lines").filter(F.col("line").contains("Failed ") | F.col("line").contains("Accepted "))  # no other line is one of the two
+    lines = view(spark, sf, "log_lines").filter(F.col("line").contains("Failed") | F.col("line").contains("Accepted"))  # both patterns begin with these words
     rows = logs.authentication_rows(logs.parse_logs(lines)).select("auth_type", "ts_class", "ts_us", "source_path", "line_number", "username")
     left = rows.filter(F.col("auth_type") == "ssh_login_failure").select(*(F.col(c).alias(f"{c}_a") for c in rows.columns))
     right = rows.filter(F.col("auth_type") == "ssh_login_success").select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))

@@ -119,6 +119,15 @@ SELECT 'var/log/auth.log' AS source_path, event_id + 1 AS line_number, [iso:ts]
     "http_heads": """
 SELECT page_id, CASE WHEN page_id % 11 = 0 THEN chr(1) || chr(2) || 'binary' WHEN page_id % 7 = 0 THEN 'HTTP/1.1 404 Not Found' || chr(13) || chr(10) || 'Server: s' || CAST(page_id % 3 AS STRING) || chr(13) || chr(10) || 'Content-Length: ' || CAST(page_id AS STRING) || chr(13) || chr(10) || chr(13) || chr(10)
   ELSE 'GET /p/' || CAST(page_id AS STRING) || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: h' || CAST(page_id % 10 AS STRING) || '.example.org' || chr(13) || chr(10) || 'Cookie: s=' || CAST(page_id AS STRING) || chr(13) || chr(10) || chr(13) || chr(10) END AS payload FROM {pages}""",
+    "hostile_lines": """
+SELECT 'var/log/auth.log' AS source_path, event_id + 1 AS line_number, [iso:ts] || 'Z' || gap || 'host' || gap || CASE event_type
+    WHEN 'error' THEN 'sshd[9]:' || gap || 'Failed' || gap || 'password' || gap || 'for' || gap || CASE WHEN event_id % 4 = 0 THEN 'invalid' || gap || 'user' || gap ELSE '' END || who || gap || 'from' || gap || '10.0.0.1' || gap || 'port' || gap || '22'
+    WHEN 'signup' THEN 'sshd[9]:' || gap || 'Accepted' || gap || 'publickey' || gap || 'for' || gap || who || gap || 'from' || gap || '10.0.0.1' || gap || 'port' || gap || '22' || gap || 'ssh2'
+    WHEN 'purchase' THEN 'sudo:' || gap || who || ' :' || gap || 'TTY=pts/0 ;' || gap || 'PWD=/tmp ;' || gap || 'USER=root ;' || gap || 'COMMAND=/bin/c ' || who || chr(1) || ' -- ' || who
+    WHEN 'view' THEN 'cron[7]: pam_unix(cron:session): session opened for user' || gap || who
+    ELSE 'kernel: ' || who || chr(1) || 'click' || chr(1) || chr(1) || CAST(event_id AS STRING) END AS line
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN chr(9) ELSE ' ' || chr(9) END AS gap,
+  CASE event_id % 5 WHEN 0 THEN 'u' WHEN 1 THEN 'u' || chr(1) WHEN 2 THEN chr(1) || 'u' || chr(1) || '10.9.9.9' WHEN 3 THEN 'ü日' ELSE 'ü' || chr(1) || 'x' END || CAST(user_id AS STRING) AS who FROM {events}) AS e""",
 }
 
 

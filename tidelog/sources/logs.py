@@ -34,20 +34,25 @@ STATUS = {
 }
 
 
-#: Stands between fields taken from one text; no log line holds it.
+#: Stands between fields taken from one text that does not hold it.
 SEPARATOR = "\u0001"
 
 
 def take(text: Column, pattern: str, groups) -> Column:
-    """The groups of the first match (0: nothing), with separators, in one pass over the text; the text itself where nothing matches.
+    """The groups of the first match (0: an empty text) as an array; an array of the text alone where nothing matches.
 
-    On ASCII text the classes of the plain pattern are those of the Unicode one, and much faster.
+    All groups are taken in one pass over the text, with separators between them that are split at again. A text
+    that holds the separator itself (nobody but the writer of a line decides what is in it) has each group taken
+    by its own pass. On ASCII text the classes of the plain pattern are those of the Unicode one, and much faster.
     """
     body = pattern.removeprefix("(?U)").removesuffix("$")
     whole = (body if body.startswith("^") else "^.*?" + body) + ".*$"
     put = SEPARATOR.join(f"${g}" if g else "" for g in groups)
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, F.regexp_replace(text, "(?s)" + whole, put)).otherwise(F.regexp_replace(text, "(?sU)" + whole, put))
+    joined = F.when(ascii_only, F.regexp_replace(text, "(?s)" + whole, put)).otherwise(F.regexp_replace(text, "(?sU)" + whole, put))
+    apart = F.array(*(F.regexp_extract(text, "(?sU)" + whole, g) if g else F.lit("") for g in groups))
+    slow = F.when(text.rlike("(?sU)" + whole), apart).otherwise(F.array(text))
+    return F.when(text.contains(SEPARATOR), slow).otherwise(F.split(joined, SEPARATOR))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -72,7 +77,7 @@ def parse_header(lines: DataFrame, year: int | None = None) -> DataFrame:
     # an ISO header begins with a digit (of any script), one without a year with an ASCII capital
     capital = first.between("A", "Z")
     header = F.when(capital, take(line, BSD_HEADER, range(1, 6))).otherwise(take(line, ISO_HEADER, range(1, 6)))
-    out = once(lines, "_f", F.split(header, SEPARATOR))
+    out = once(lines, "_f", header)
     part = lambda n: F.nullif(F.get("_f", F.lit(n)), F.lit(""))
     held = F.size("_f") > 1
     out = out.withColumn("raw_timestamp", F.when(held, part(0))).withColumn("hostname", part(1)).withColumn("service", part(2)).withColumn("pid", part(3).try_cast("long"))
@@ -111,10 +116,10 @@ def classify(parsed: DataFrame, strip_uid: bool = False) -> DataFrame:
     named = ["user", "src_ip", "src_port", "auth_method", "tty", "pwd", "target_user", "command"]
     found = None
     for name, test, pattern, at in kinds:  # one match and one rewrite a row
-        text = F.concat(F.lit(name + SEPARATOR), take(m, pattern, [at.get(c, 0) for c in named]))
+        fields = F.concat(F.array(F.lit(name)), take(m, pattern, [at.get(c, 0) for c in named]))
         test = test & matches(m, pattern)
-        found = F.when(test, text) if found is None else found.when(test, text)
-    out = once(parsed, "_f", F.split(F.when(known, found), SEPARATOR))
+        found = F.when(test, fields) if found is None else found.when(test, fields)
+    out = once(parsed, "_f", F.when(known, found))
     out = out.withColumn("event_type", F.coalesce(F.col("_f")[0], F.when(known, F.lit("generic_syslog")).otherwise("unknown_format")))
     for k, col in enumerate(named):
         value = F.nullif(F.col("_f")[k + 1], F.lit(""))
