@@ -31,6 +31,8 @@ class WordHashes(dict):
 #: Bytes that separate words, and bytes hashed side by side.
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BLOCK = 1 << 19
+#: Longer words are hashed one by one: a polynomial mod 2**64 is the same for some pairs of long repetitive words, whatever its point and values.
+LONG = 64
 
 
 class HashedWords:
@@ -38,7 +40,7 @@ class HashedWords:
 
     A word's hash is the polynomial of its bytes' random values at a random odd point (mod 2**64),
     mixed: prefix sums over a block give every word's polynomial times the power at its begin, which
-    the inverse power takes off. Words longer than a block are hashed on their own.
+    the inverse power takes off. Words of more than LONG bytes get the hash of their bytes instead.
     """
 
     def __init__(self) -> None:
@@ -71,7 +73,10 @@ class HashedWords:
             np.cumsum(self.value[flat[begin:end]] * self.power[: end - begin], out=total[1:])
             out[at:to] = (total[last[at:to] - begin] - total[first[at:to] - begin]) * self.inverse[first[at:to] - begin]
             at = to
-        return mix(out)
+        out = mix(out)
+        for k in np.flatnonzero(last - first > LONG):
+            out[k] = xxhash.xxh64_intdigest(flat[first[k] : last[k]].tobytes())
+        return out
 
 
 def spans(raws: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
