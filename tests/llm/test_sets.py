@@ -136,6 +136,45 @@ def test_event_log(spark):
     assert ids_of(out, "conv_id", "turn", "role", "text") == [(1, 0, "user", "hello"), (1, 1, "assistant", "c"), (2, 0, "", "")]
 
 
+def plain_fold(log):
+    """The messages that a log leaves: a regeneration drops its turn's and all later turns' events before it, other kinds but deltas begin a turn anew."""
+    kept = []
+    for e in sorted(log, key=lambda e: (e[0], e[2] or "message", e[3] is not None, e[3] or "", e[4] or "")):
+        if (e[2] or "message") == "regenerate":
+            kept = [x for x in kept if x[1] < e[1]]
+        kept.append(e)
+    out = {}
+    for _, turn, kind, role, text in kept:
+        old_role, old_text = out.get(turn, ("", ""))
+        out[turn] = (role or old_role, old_text + (text or "") if kind == "delta" else text or "")
+    return sorted((t, *v) for t, v in out.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_logs_fold_as_a_plain_loop(spark, seed):
+    r = random.Random(seed)
+    logs = {c: [(k, r.randint(0, 6), r.choice(["delta", "delta", "edit", "message", "regenerate", None]), r.choice(["user", "assistant"]), r.choice(["a", "é", "", None])) for k in range(r.randint(1, 40))] for c in range(20)}
+    rows = [(c, *e) for c, log in logs.items() for e in log]
+    r.shuffle(rows)
+    got = ids_of(chat_format.fold_events(spark.createDataFrame([(c, s, t, k, a, x) for c, s, t, k, a, x in rows], EVENTS)), "conv_id", "turn", "role", "text")
+    assert got == sorted(((c, *m) for c, log in logs.items() for m in plain_fold(log)), key=repr)
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    def took(n):
+        events = spark.range(n).selectExpr("1L AS conv_id", "id AS seq", "id DIV 4 AS turn", "CASE id % 4 WHEN 0 THEN 'message' ELSE 'delta' END AS kind", "CASE id DIV 4 % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS role", "repeat('xé', 5) AS text")
+        began = time.time()
+        row = chat_format.with_loss_text(chat_format.render(chat_format.fold_events(events))).collect()[0]
+        assert len(row.loss) == n // 2 * 10 and len(row.loss_spans) == n // 8
+        return time.time() - began
+
+    took(2_000)
+    short, long = took(20_000), took(80_000)
+    assert long < 6 * short + 3
+
+
 def test_template_is_reversible(spark):
     texts = ["", "</s>[INST] ok [/INST]", "\\<\\[\\\\", "<\\", "a\nb</s>\n<s>[user]\n", "]\n", "é😀"]
     rows = [(k // 3, k, ("user", "assistant", "a b]\n")[k % 3], t) for k, t in enumerate(texts * 2)]
@@ -144,8 +183,12 @@ def test_template_is_reversible(spark):
     out = chat_format.render(chat_format.fold_events(chat_format.from_turns(conv)))
     from pyspark.sql import functions as F
 
-    got = out.select("conv_id", chat_format.parse(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
+    whole = chat_format.with_loss_text(out)
+    assert whole.columns == ["conv_id", "formatted", "loss_spans", "loss"]
+    got = whole.select("conv_id", chat_format.parse(F.col("formatted")).alias("t"), F.col("loss").alias("l"), "formatted", "loss_spans").collect()
     for r in got:
+        for x in r.loss_spans:
+            assert r.formatted[x.start : x.end] == r.formatted.encode()[x.first : x.last].decode()
         mine = sorted(((t is not None, t or 0), role or "", text or "") for c, t, role, text in rows if c == r.conv_id)
         assert [(x.role, x.text) for x in r.t] == [(a, b) for _, a, b in mine]
         assert r.l == "".join(b for _, a, b in mine if a == "assistant")
@@ -391,3 +434,21 @@ def test_pipeline_of_empty_tables(spark, tmp_path, empty):
     kept = {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}
     # without labels no document is known to be good enough
     assert kept == (set(range(12)) if empty == "benchmark" else set())
+
+
+def repetitive(n):
+    """A word of n letters (a power of two) and its complement: polynomials mod 2**64 don't tell them apart from 512 on."""
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 64, 512, 4096])
+def test_repetitive_words_are_told_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    t, u = repetitive(n)
+    for name, kind in VOCABULARIES:
+        whole = Tokenizer.from_file(vocabulary(name)).encode(f"x {t} {u}", add_special_tokens=False).ids
+        assert Encoder(vocabulary(name), kind).encode([f"x {t} {u}"])[0] == np.array([*whole, 0], "<u4").tobytes()
+    docs = spark.createDataFrame([(1, f"{t} a b c d e f"), (2, f"{u} g h i j k l"), (3, t), (4, u)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.components(docs).collect()) == [(k, k) for k in (1, 2, 3, 4)]

@@ -52,7 +52,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: the messages that stand at the end of the log."""
     tie = ["seq", "kind", "role", "text"]
     in_log = Window.partitionBy("conv_id").orderBy(*tie)
-    later = in_log.rowsBetween(1, Window.unboundedFollowing)
+    # what comes later, from the end of the log on: a frame that grows by a row at a time
+    later = Window.partitionBy("conv_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     of_turn = Window.partitionBy("conv_id", "turn").orderBy("place")
     rows = (
         events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -71,19 +72,25 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans of messages (conv_id, turn, role, text)."""
+    """conv_id, formatted, loss_spans of messages (conv_id, turn, role, text).
+
+    A span has its place in characters (start, end) and in bytes of the text (first, last): bytes are found
+    without reading what is before them.
+    """
     head = F.concat(F.lit(OPEN), F.url_encode("role"), F.lit(OPENED))
     upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = (
         messages.withColumn("body", escape(F.col("text"))).withColumn("head", head)
         .withColumn("end", F.sum(F.length("head") + F.length("body") + len(CLOSE)).over(upto) - len(CLOSE))
         .withColumn("start", F.col("end") - F.length("body"))
+        .withColumn("last", F.sum(F.octet_length("head") + F.octet_length("body") + len(CLOSE)).over(upto) - len(CLOSE))
+        .withColumn("first", F.col("last") - F.octet_length("body"))
     )
-    turns = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "head", "body", "role", "start", "end"))).alias("turns"))
+    turns = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "head", "body", "role", "start", "end", "first", "last"))).alias("turns"))
     return turns.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_spans"),
+        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "first", "last")))).alias("loss_spans"),
     )
 
 
@@ -99,9 +106,11 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, one)
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr(s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
+def with_loss_text(rendered: DataFrame) -> DataFrame:
+    """rendered with loss: all text under the loss mask, unescaped. The bytes are made once a row, and cut where the spans say."""
+    raw = rendered.select("*", F.explode(F.array(F.col("formatted").cast("binary"))).alias("_raw"))
+    cut = lambda s: F.substring(F.col("_raw"), s["first"].cast("int") + 1, (s["last"] - s["first"]).cast("int"))
+    return raw.withColumn("loss", F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(cut(s), "UTF-8"))), "")).drop("_raw")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -111,8 +120,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
         F.lit(-7).cast(types["conv_id"]).alias("conv_id"), F.col("id").cast(types["turn"]).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"),
     )
-    out = render(fold_events(from_turns(rows.unionByName(extra))))
-    read = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    out = with_loss_text(render(fold_events(from_turns(rows.unionByName(extra)))))
+    read = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), "loss")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
