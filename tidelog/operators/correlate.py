@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import ids, times
 from tidelog.functions.net import is_private_ip, normalize_ip
 from tidelog.functions.paths import normalize_path
+from tidelog.operators import timeline
 
 WINDOW = 300.0
 # Event types that count as privilege use, and as successful authentication.
@@ -56,7 +57,7 @@ def edges(pairs: DataFrame, kind: str, value: Column | None = None) -> DataFrame
         F.lit(kind).alias("relation"), F.least("event_id_a", "event_id_b").alias("event_a"), F.greatest("event_id_a", "event_id_b").alias("event_b"),
         (F.lit(None).cast("string") if value is None else value).alias("value"), delta().alias("delta_seconds"),
         F.when(same, F.least("ts_us_a", "ts_us_b")).alias("start_us"), F.when(same, F.greatest("ts_us_a", "ts_us_b")).alias("end_us"),
-        F.array_distinct(F.array_compact(F.array("source_artifact_id_a", "source_artifact_id_b"))).alias("sources"),
+        F.array_distinct(F.array_compact(F.when(F.col("event_id_a") <= F.col("event_id_b"), F.array("source_artifact_id_a", "source_artifact_id_b")).otherwise(F.array("source_artifact_id_b", "source_artifact_id_a")))).alias("sources"),
     )
 
 
@@ -158,7 +159,7 @@ def is_privilege(events: DataFrame) -> Column:
 
 
 def authentication_privilege(events: DataFrame, window: float = WINDOW) -> DataFrame:
-    """Authentication followed by privilege use, users equal or one absent, by comparable times.
+    """Authentication followed by privilege use, users equal or one absent, by comparable times (`privilege_without_time` has the others).
 
     The interval join has one branch for equal users and one for rows without a user, so that a
     busy user is joined inside its own buckets only.
@@ -175,6 +176,61 @@ def authentication_privilege(events: DataFrame, window: float = WINDOW) -> DataF
     return out.dropDuplicates(["event_a", "event_b"])  # two events may be both at one instant
 
 
+def privilege_without_time(events: DataFrame, block: int = timeline.BLOCK) -> DataFrame:
+    """The links of authentication to privilege use of which one event or both have no time: as membership and counts.
+
+    Where a time is missing the order of the timeline decides: events without a time stand behind all others, so such
+    a link leads from an authentication, timed or not, to a privilege use without a time at a later position, with
+    users equal or one absent. Given is a row for each event and role that has such links: event_id, role
+    (authentication or privilege), value (its user) and n_links. An event may have both roles, and is not linked to
+    itself. Pairs grow with the product of the two sides, these rows with the events; `linked_without_time` lists the
+    pairs of chosen events.
+
+    An authentication is counted under its user (or under absence) and once more under everybody; a privilege use
+    asks for its user and for absence, or for everybody where it has no user itself.
+    """
+    rows = roles(events)
+    untimed, timed = rows.filter(F.col("ts_class") == times.MISSING), rows.filter((F.col("ts_class") != times.MISSING) & F.col("auth"))
+    placed = timeline.with_position(untimed)
+    told = F.when(F.col("ident").isNull(), F.struct(F.lit("absent").alias("kind"), F.lit("").alias("user"))).otherwise(F.struct(F.lit("user").alias("kind"), F.col("ident").alias("user")))
+    anybody, nobody = (F.struct(F.lit(k).alias("kind"), F.lit("").alias("user")) for k in ("any", "absent"))
+    as_auth = F.explode(F.array(told, anybody)).alias("key")
+    as_privilege = F.explode(F.when(F.col("ident").isNull(), F.array(anybody)).otherwise(F.array(told, nobody))).alias("key")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    a = placed.filter("auth").select("event_id", F.lit("authentication").alias("role"), "ident", "position", as_auth, one.alias("a"), none.alias("b"))
+    b = placed.filter("privilege").select("event_id", F.lit("privilege").alias("role"), "ident", "position", as_privilege, none.alias("a"), one.alias("b"))
+    among = timeline.counts_around(a.unionByName(b), "key", block)
+    found = among.select("event_id", "role", F.col("ident").alias("value"), F.when(F.col("role") == "privilege", F.col("a_before")).otherwise(F.col("b_after")).alias("n"))
+    # timed authentications stand before every event without a time: totals are enough
+    early = timed.select("event_id", "ident", as_auth)
+    early_sums, late_sums = early.groupBy("key").agg(F.count("*").alias("n")), b.groupBy("key").agg(F.count("*").alias("n"))
+    found = found.unionByName(_by_key(b, early_sums).select("event_id", F.lit("privilege").alias("role"), F.col("ident").alias("value"), "n"))
+    found = found.unionByName(_by_key(early, late_sums).select("event_id", F.lit("authentication").alias("role"), F.col("ident").alias("value"), "n"))
+    return found.groupBy("event_id", "role", "value").agg(F.sum("n").alias("n_links")).filter("n_links > 0")
+
+
+def _by_key(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """rows with n of their key; the two keys that all rows may share are two rows, broadcast."""
+    shared = F.col("key.kind") != "user"
+    return rows.filter(~shared).join(sums.filter(~shared), "key").unionByName(rows.filter(shared).join(F.broadcast(sums.filter(shared)), "key"))
+
+
+def roles(events: DataFrame) -> DataFrame:
+    """Events of authentication or privilege use, with ident, auth and privilege."""
+    rows = events.withColumn("ident", user_identity(events)).withColumn("auth", F.coalesce(is_authentication(), F.lit(False))).withColumn("privilege", F.coalesce(is_privilege(events), F.lit(False)))
+    return rows.filter("auth or privilege")
+
+
+def linked_without_time(events: DataFrame, event_ids: list[str]) -> DataFrame:
+    """The pairs of `privilege_without_time` (event_a: authentication, event_b: privilege use) of the given events, in either role."""
+    rows = roles(events).withColumn("late", F.col("ts_class") == times.MISSING).select("event_id", "ident", "auth", "privilege", "late", F.struct(*timeline.sort_key()).alias("key"))
+    chosen = F.broadcast(rows.filter(F.col("event_id").isin(event_ids)))  # as many as are given
+    sided = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns))
+    fits = (F.col("auth_a") & F.col("privilege_b") & F.col("late_b")) & (F.col("key_a") < F.col("key_b")) & F.coalesce(F.col("ident_a") == F.col("ident_b"), F.lit(True))
+    pairs = sided(chosen, "a").join(sided(rows, "b"), fits).unionByName(sided(rows, "a").join(sided(chosen, "b"), fits))
+    return pairs.select(F.col("event_id_a").alias("event_a"), F.col("event_id_b").alias("event_b"), F.coalesce("ident_a", "ident_b", F.lit("unknown")).alias("value")).distinct()
+
+
 def host_network(host: DataFrame, network: DataFrame, window: float = WINDOW, known_ips: list[str] = ()) -> DataFrame:
     """Host events against network events by address, known host address, user or session; the first that holds wins.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids, times
+from tidelog.functions.shared import materialize
 from tidelog.sources import logs as log_rows
 
 COLUMNS = ["event_id", "ts_class", "ts_us", "category", "event_type", "description", "source_path", "source_line", "source_artifact_id", "source_event_id", "raw_data", "username", "source_ip", "session_id", "status"]
@@ -26,6 +27,50 @@ def order(events: DataFrame) -> DataFrame:
     return events.orderBy(*sort_key())
 
 
+#: Events of a block of positions, the most that one window task holds of a key.
+BLOCK = 1 << 16
+
+
+def with_position(events: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The events with position: 1, 2, 3... in the order of the timeline.
+
+    Range partitions are sorted, and written with each event's place in its partition; an event's position is its
+    place behind the counts of the partitions before. What is gathered is one count a partition. Events that are
+    alike in all of the order but are not one are told apart by nothing: remove duplicates first.
+    """
+    key = [k.alias(f"_k{i}") for i, k in enumerate(sort_key())]
+    names = [f"_k{i}" for i in range(len(key))]
+    keyed = events.select("*", *key)
+    ranged = keyed.repartitionByRange(partitions, *names) if partitions else keyed.repartitionByRange(*names)
+    place = F.monotonically_increasing_id()  # the partition in its upper bits, the row in it in the lower 33
+    sorted_rows = ranged.sortWithinPartitions(*names).withColumn("_id", place).drop(*names)
+    rows = materialize(sorted_rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"), "positions")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
+def counts_around(ticks: DataFrame, key: str = "key", block: int = BLOCK) -> DataFrame:
+    """ticks (key, position, two counts a and b) with a_before and b_after: a of the key's rows at smaller positions, b of those at larger.
+
+    Prefix sums on two levels: of blocks of positions, whose sums are a row a key and block, and inside a block.
+    No task holds more of a key than a block of positions, or a row for each of its blocks.
+    """
+    rows = ticks.withColumn("_block", F.floor(F.col("position") / block))
+    sums = rows.groupBy(key, "_block").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    over = Window.partitionBy(key).orderBy("_block")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key)
+    sums = sums.select(key, "_block", F.coalesce(F.sum("_a").over(earlier), F.lit(0)).alias("_a_before"), (F.sum("_b").over(whole) - F.sum("_b").over(upto)).alias("_b_after"))
+    inside = Window.partitionBy(key, "_block").orderBy("position")
+    strictly = inside.rangeBetween(Window.unboundedPreceding, -1)
+    with_own = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_a_in", F.coalesce(F.sum("a").over(strictly), F.lit(0))).withColumn("_b_in", F.sum("b").over(Window.partitionBy(key, "_block")) - F.sum("b").over(with_own))
+    out = local.join(sums, [key, "_block"])
+    return out.withColumn("a_before", F.col("_a_before") + F.col("_a_in")).withColumn("b_after", F.col("_b_after") + F.col("_b_in")).drop("_block", "_a_in", "_b_in", "_a_before", "_b_after")
+
+
 def deduplicate(events: DataFrame) -> DataFrame:
     """One row of each fingerprint: that with the smallest id. A hash aggregate, one shuffle, partial sums in each task."""
     cols = [c for c in COLUMNS if c in events.columns]
