@@ -1,8 +1,15 @@
 """What comes in: lines that try to hide, numbers of lines, late rows, documents of memory tools."""
 
+import gzip
+import os
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from tidelog.sources import logs
+from tidelog.operators import timeline
+from tidelog.sources import lines, logs
+from tidelog.streaming import lanes, streams
 
 AT = "2024-01-01T00:00:00Z h "
 S = "\u0001"
@@ -30,3 +37,84 @@ def test_control_characters_hide_nothing(spark, line, want):
 def test_a_line_of_no_form_keeps_its_text(spark):
     lines = spark.createDataFrame([("f", 1, f"a{S}b{S}c{S}d{S}e{S}f"), ("f", 2, S)], "source_path string, line_number long, line string")
     assert [(r.event_type, r.message, r.hostname) for r in logs.parse_logs(lines).orderBy("line_number").collect()] == [("unknown_format", f"a{S}b{S}c{S}d{S}e{S}f", None), ("unknown_format", S, None)]
+
+
+def test_numbers_of_files_in_many_blocks(spark, tmp_path, monkeypatch):
+    whole = b"".join(b"%d %s%s" % (k, b"x" * (k * 7919 % 90), (b"\n", b"\r\n", b"\r")[k % 3]) for k in range(3000)) + b"bad \xff\xfe\nlast"
+    (tmp_path / "a.log").write_bytes(whole)
+    (tmp_path / "b.log").write_bytes(b"\n\n")
+    (tmp_path / "none.log").write_bytes(b"")
+    with gzip.open(tmp_path / "c.log.gz", "wb") as f:
+        f.write(b"x\ny\n" * 500)
+    want = {("a.log", k + 1, t) for k, t in enumerate(re.split("\r\n|\r|\n", whole.decode("utf-8", "replace")))} | {("b.log", k, "") for k in (1, 2)} | {("c.log.gz", k + 1, "xy"[k % 2]) for k in range(1000)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for few in (lines.BROADCAST_BLOCKS, 0):
+            monkeypatch.setattr(lines, "BROADCAST_BLOCKS", few)
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+            got = [(os.path.basename(r.source_path), r.line_number, r.line) for r in lines.read_lines(spark, str(tmp_path)).collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def line(second, text="Failed password for u from 10.0.0.1 port 22", zone="+00:00"):
+    return f"2024-01-01T10:{second // 60:02d}:{second % 60:02d}{zone} h sshd[1]: {text}"
+
+
+def deliver(spark, tmp_path, name, *rows):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / name).write_text("\n".join(rows) + "\n")
+    lanes.ingest_logs(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 60)
+
+
+def lane(spark, tmp_path, name):
+    return sorted((r.batch, os.path.basename(r.source_path), r.line_number) for r in lanes.read_lane(spark, str(tmp_path / "out"), name).collect())
+
+
+def test_late_rows_have_a_lane(spark, tmp_path):
+    deliver(spark, tmp_path, "a.log", line(100), line(200), "no header", line(150, zone=""))
+    deliver(spark, tmp_path, "b.log", line(141), line(140), line(139), line(300))  # 200 s less 60 s is the bound: what is not after it is late
+    deliver(spark, tmp_path, "c.log", "nothing with a time")
+    deliver(spark, tmp_path, "d.log", line(240), line(241), line(500))
+    assert lane(spark, tmp_path, "on_time") == [(0, "a.log", 1), (0, "a.log", 2), (1, "b.log", 1), (1, "b.log", 4), (3, "d.log", 2), (3, "d.log", 3)]
+    assert lane(spark, tmp_path, "late") == [(1, "b.log", 2), (1, "b.log", 3), (3, "d.log", 1)]
+    assert lane(spark, tmp_path, "untimed") == [(0, "a.log", 3), (0, "a.log", 4), (2, "c.log", 1)]
+    marks = [tuple(r) for r in lanes.read_marks(spark, str(tmp_path / "out")).orderBy("batch").select("batch", "on_time", "late", "untimed").collect()]
+    assert marks == [(0, 2, 0, 2), (1, 2, 2, 0), (2, 0, 0, 1), (3, 2, 1, 0)]
+
+
+def test_a_batch_run_again_writes_the_same(spark, tmp_path):
+    deliver(spark, tmp_path, "a.log", line(100), line(200))
+    deliver(spark, tmp_path, "b.log", line(10), line(300))
+    before = {n: lane(spark, tmp_path, n) for n in ("on_time", "late", "untimed")}
+    raw = spark.read.text(str(tmp_path / "in" / "b.log")).select(*lines.place(), "value")
+    lanes.Lanes(str(tmp_path / "out"), 60, lanes.parsed_lines())(raw, 1)
+    assert {n: lane(spark, tmp_path, n) for n in before} == before and before["late"] == [(1, "b.log", 1)]
+
+
+def test_ids_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    deliver(spark, tmp_path, "a.log", line(1), line(1), line(2), "no header")
+    deliver(spark, tmp_path, "b.log", line(1), line(2))
+    live = spark.read.parquet(str(tmp_path / "out")).drop("batch", "lane")
+    ids = lambda rows: sorted(r.event_id for r in timeline.log_events(rows).collect())
+    batch = ids(logs.parse_logs(lines.read_lines(spark, str(tmp_path / "in"))))
+    assert ids(live) == batch and len(set(batch)) == 6
+
+
+def test_state_is_bounded_by_the_delay(spark, tmp_path):
+    """Twelve deliveries of a minute each, with repeats: what is on time loses nothing in a de-duplicating stream, which keeps the last minutes only."""
+    for k in range(12):
+        deliver(spark, tmp_path, f"{k:02d}.log", *(line(60 * k + s, f"Failed password for u{s % 2} from 10.0.0.1 port {s}") for s in range(0, 60, 2)), line(60 * k, "Failed password for u0 from 10.0.0.1 port 0"))
+    rows = lanes.stream_lane(spark, str(tmp_path / "out"))
+    kept = streams.deduplicate(rows, ["line"], 60)
+    query = kept.select("line").writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 12 * 30
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert dropped == 0 and lanes.read_lane(spark, str(tmp_path / "out"), "late").count() == 0
+    (tmp_path / "in" / "z.log").write_text(line(3599) + "\n")
+    lanes.ingest_logs(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 60)
+    query = kept.select("line").writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # all that was a delay behind is gone

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ids, net, paths, times
 from tidelog.operators import correlate, integrity, rules, timeline
-from tidelog.sources import accounts, logs, memory, network, persistence
+from tidelog.sources import accounts, lines, logs, memory, network, persistence
 from tidelog.streaming import streams
 
 EVENT = "event_id string, ts_class int, ts_us long, category string, event_type string, username string, source_ip string, source_path string, session_id string, status string, source_artifact_id string, source_line long, source_event_id string, description string, raw_data string"
@@ -251,7 +251,7 @@ def test_read_lines(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\r\ntwo\n\nthree\n")
     with gzip.open(tmp_path / "b.log.gz", "wb") as f:
         f.write(b"x\ny")
-    got = sorted((r.source_path[-4:], r.line_number, r.line) for r in logs.read_lines(spark, str(tmp_path / "*.log*")).collect())
+    got = sorted((r.source_path[-4:], r.line_number, r.line) for r in lines.read_lines(spark, str(tmp_path / "*.log*")).collect())
     assert got == [(".log", 1, "one"), (".log", 2, "two"), (".log", 3, ""), (".log", 4, "three"), ("g.gz", 1, "x"), ("g.gz", 2, "y")]
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.shared import new_path
 from tidelog.plans.registry import Registry
 from tidelog.plans.views import view
-from tidelog.sources import logs
+from tidelog.sources import lines, logs
+from tidelog.streaming import lanes
 
 REGISTRY = Registry()
 QUERIES, SQL = REGISTRY.queries, REGISTRY.sql
@@ -34,3 +36,39 @@ def hostile_lines(spark, sf):
     """Lines with control characters, tabs and letters beyond ASCII in users, commands and messages."""
     rows = logs.parse_logs(view(spark, sf, "hostile_lines"))
     return rows.select("line_number", "service", "message", "event_type", F.col("user").alias("username"), "src_ip", "command")
+
+
+@query("lines_numbered", "SELECT count(*) AS n_lines, count(DISTINCT line) AS n_distinct, CAST(0 AS BIGINT) AS misplaced, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM log_lines", "log_lines")
+def lines_numbered(spark, sf):
+    """Log lines written as text files and read back with numbers. A line begins with its number in the table; a file holds a run of them."""
+    path = new_path(spark, "text")
+    rows = view(spark, sf, "log_lines").select("line_number", F.concat_ws(" ", "line_number", "line").alias("value"))
+    rows.repartitionByRange("line_number").sortWithinPartitions("line_number").select("value").write.text(path)
+    read = lines.read_lines(spark, path).withColumn("own", F.split_part("line", F.lit(" "), F.lit(1)).cast("long"))
+    of_file = read.groupBy("source_path").agg(
+        F.count("*").alias("n"), F.count_distinct("line").alias("d"), F.sum(F.length("line") - F.length(F.col("own").cast("string")) - 1).alias("c"), F.min(F.col("own") - F.col("line_number")).alias("lo"), F.max(F.col("own") - F.col("line_number")).alias("hi")
+    )
+    totals = of_file.agg(F.sum("n").alias("n_lines"), F.sum("d").alias("_d"), F.count_if(F.col("lo") != F.col("hi")).alias("misplaced"), F.sum("c").alias("n_chars"))
+    distinct = read.select(F.expr("substr(line, instr(line, ' ') + 1)").alias("text")).agg(F.count_distinct("text").alias("n_distinct"))
+    return totals.drop("_d").crossJoin(distinct)  # a row each
+
+
+SLICES = 3
+DELAY_S = 3600
+#: Three deliveries: the first half of a month, the rest, and what both left out, most of it late.
+LANES = f"""WITH r AS (
+  SELECT line_number, line LIKE 'garbage%' AS bad, CASE WHEN line NOT LIKE 'garbage%' THEN epoch_us(CAST(substr(line, 1, 26) AS TIMESTAMP)) END AS us, CASE WHEN line_number % 20 = 0 THEN 2 WHEN line NOT LIKE 'garbage%' AND substr(line, 9, 2) < '15' THEN 0 ELSE 1 END AS slice FROM log_lines
+), m AS (SELECT slice, max(max(us)) OVER (ORDER BY slice) - {DELAY_S}000000 AS mark FROM r GROUP BY slice)
+SELECT r.slice AS batch, CASE WHEN bad THEN 'untimed' WHEN us <= mark THEN 'late' ELSE 'on_time' END AS lane, count(*) AS n, CAST(coalesce(sum(us // 1000000), 0) AS BIGINT) AS seconds FROM r LEFT JOIN m ON m.slice = r.slice - 1 GROUP BY ALL"""
+
+
+@query("log_stream_lanes", LANES, "log_lines")
+def log_stream_lanes(spark, sf):
+    """Three deliveries of log files to a stream: rows on time, late and untimed by batch."""
+    folder, out, checkpoint = (new_path(spark, k) for k in ("inbox", "lanes", "progress"))
+    rows = view(spark, sf, "log_lines").withColumn("slice", F.when(F.col("line_number") % 20 == 0, 2).when(~F.col("line").startswith("garbage") & (F.substring("line", 9, 2) < "15"), 0).otherwise(1))
+    for k in range(SLICES):
+        rows.filter(F.col("slice") == k).select(F.col("line").alias("value")).write.mode("append").text(folder)
+        lanes.ingest_logs(spark, folder, out, checkpoint, DELAY_S)
+    every = spark.read.parquet(out)
+    return every.groupBy(F.col("batch").cast("int").alias("batch"), "lane").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.floor(F.col("ts_us") / 1_000_000)), F.lit(0)).alias("seconds"))

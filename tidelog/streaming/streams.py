@@ -1,6 +1,6 @@
 """The operators on streams: ingest, de-duplication, failure then success, bursts, packets.
 
-Only aware times can live on a stream's event time: rows of the other classes go to a batch table.
+Only aware times can live on a stream's event time: rows of the other classes, and late ones, have lanes of their own (`lanes`).
 The watermark equals the window, so state is bounded by what arrives in one window.
 """
 
@@ -13,7 +13,7 @@ from tidelog.sources import logs, network
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines of a growing folder as parsed rows with an event time `ts`."""
+    """Log lines of a growing folder as parsed rows with an event time `ts`, without numbers: `lanes.ingest_logs` numbers them and keeps what is late or has no time."""
     lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.lit(None).cast("long").alias("line_number"), F.col("value").alias("line"))
     return timed(logs.parse_logs(lines))
 
