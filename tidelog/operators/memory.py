@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids
+from tidelog.functions.times import strip
 from tidelog.operators.correlate import band_join
 
-SUFFIX = 8
-
 
 def sided(df: DataFrame, s: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
@@ -41,17 +40,52 @@ def same_pid(processes: DataFrame) -> DataFrame:
     return edges(pairs, "PROCESS_PID_MATCH", "MEDIUM", F.col("pid_a").alias("pid"), (F.col("name_a") != F.col("name_b")).alias("reused"))
 
 
+def _parts(texts: DataFrame, wanted: DataFrame, ends_only: bool) -> DataFrame:
+    """evidence_id, text, part: the parts of each text that have the length of a wanted one of the same evidence; only its ends, or all."""
+    lengths = wanted.groupBy("evidence_id").agg(F.collect_set(F.length("part")).alias("_lengths"))  # as many as there are lengths
+    fits = F.filter("_lengths", lambda n: n <= F.length("text"))
+    at = lambda n: F.array(F.length("text") - n + 1) if ends_only else F.sequence(F.lit(1), F.length("text") - n + 1)
+    cut = F.flatten(F.transform(fits, lambda n: F.transform(at(n), lambda k: F.substring(F.col("text"), k, n))))
+    return texts.join(lengths, "evidence_id").select("evidence_id", "text", F.explode(F.array_distinct(cut)).alias("part"))
+
+
+def found_in(texts: DataFrame, wanted: DataFrame, ends_only: bool = False) -> DataFrame:
+    """evidence_id, text, part of all distinct texts (evidence_id, text) that hold, or end in, a wanted part (evidence_id, part).
+
+    An equi-join: each text is cut at the lengths that its evidence's wanted parts have, and cuts are compared whole. No
+    key is shorter than what is looked for, so a short common ending gathers nothing but its matches.
+    """
+    texts, wanted = texts.distinct(), wanted.distinct()
+    return _parts(texts, wanted, ends_only).join(wanted, ["evidence_id", "part"])
+
+
+def _folded(c: str) -> Column:
+    return F.nullif(F.lower(strip(F.col(c))), F.lit(""))
+
+
 def process_module(processes: DataFrame, modules: DataFrame) -> DataFrame:
-    """A module whose path equals the image path or ends in it, or the reverse. The key is the last characters of both paths."""
-    tail = lambda c: F.when(F.length(c) >= SUFFIX, F.expr(f"right({c}, {SUFFIX})"))
-    p, m = sided(processes.filter("image_path is not null"), "a"), sided(modules.filter("path is not null"), "b")
-    long = p.filter(F.length("image_path_a") >= SUFFIX).join(m.filter(F.length("path_b") >= SUFFIX), (F.col("evidence_id_a") == F.col("evidence_id_b")) & (tail("image_path_a") == tail("path_b")))
-    p_short, m_short = p.filter(F.length("image_path_a") < SUFFIX), m.filter(F.length("path_b") < SUFFIX)
-    same = F.col("evidence_id_a") == F.col("evidence_id_b")
-    last = lambda c: F.expr(f"right({c}, 1)")
-    short = p_short.join(m, same & (last("image_path_a") == last("path_b"))).unionByName(p.filter(F.length("image_path_a") >= SUFFIX).join(m_short, same & (last("image_path_a") == last("path_b"))))
-    pairs = long.unionByName(short).filter(F.col("image_path_a").endswith(F.col("path_b")) | F.col("path_b").endswith(F.col("image_path_a")))
-    return edges(pairs, "PROCESS_MODULE", "MEDIUM", (F.col("image_path_a") == F.col("path_b")).alias("exact"))
+    """A module whose path equals the image path or ends in it, or the reverse; else one whose base address a process's memory regions name.
+
+    Paths are compared without case and blanks around. binding is path_binding or base_address_binding.
+    """
+    p = processes.withColumn("image", _folded("image_path")).select("evidence_id", "artifact_id", "image", *(["memory_regions"] if "memory_regions" in processes.columns else []))
+    m = modules.withColumn("own", _folded("path")).select("evidence_id", "artifact_id", "own", *(["base_address"] if "base_address" in modules.columns else []))
+    images, owns = p.filter("image is not null").select("evidence_id", F.col("image").alias("text")).distinct(), m.filter("own is not null").select("evidence_id", F.col("own").alias("text")).distinct()
+    as_part = lambda d: d.withColumnRenamed("text", "part")
+    ends = found_in(images, as_part(owns), True).select("evidence_id", F.col("text").alias("image"), F.col("part").alias("own"))
+    starts = found_in(owns, as_part(images), True).select("evidence_id", F.col("part").alias("image"), F.col("text").alias("own"))
+    paths = ends.unionByName(starts).distinct()
+    sides = lambda d, s: d.withColumnRenamed("artifact_id", f"artifact_id_{s}")
+    by_path = sides(p, "a").join(paths, ["evidence_id", "image"]).join(sides(m, "b"), ["evidence_id", "own"])
+    pairs = by_path.select("evidence_id", "artifact_id_a", "artifact_id_b", (F.col("image") == F.col("own")).alias("exact"), F.lit("path_binding").alias("binding"))
+    if "memory_regions" in p.columns and "base_address" in m.columns:
+        held = found_in(p.filter("memory_regions <> ''").select("evidence_id", F.col("memory_regions").alias("text")), m.filter("base_address <> ''").select("evidence_id", F.col("base_address").alias("part")))
+        held = held.select("evidence_id", F.col("text").alias("memory_regions"), F.col("part").alias("base_address"))
+        by_base = sides(p, "a").join(held, ["evidence_id", "memory_regions"]).join(sides(m, "b"), ["evidence_id", "base_address"])
+        by_base = by_base.join(pairs.select("evidence_id", "artifact_id_a", "artifact_id_b"), ["evidence_id", "artifact_id_a", "artifact_id_b"], "left_anti")
+        pairs = pairs.unionByName(by_base.select("evidence_id", "artifact_id_a", "artifact_id_b", F.lit(False).alias("exact"), F.lit("base_address_binding").alias("binding")))
+    pairs = pairs.withColumnRenamed("evidence_id", "evidence_id_a")
+    return edges(pairs, "PROCESS_MODULE", "MEDIUM", F.col("exact"), F.col("binding"))
 
 
 def shared(artifacts: DataFrame, key: str, kind: str) -> DataFrame:

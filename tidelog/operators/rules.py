@@ -299,7 +299,7 @@ def memory_process_rule(name: str | list[str]) -> Rule:
 
 
 def memory_socket_rule(port: int | None = None, state: str | None = None, protocol: str | None = None) -> Rule:
-    return field_rule("Memory socket", "memory", ("socket_observed",), local_port=port, state=state, protocol=protocol)
+    return field_rule("Memory socket", "memory", (), event_type=["socket_created", "socket_observed"], local_port=port, state=state, protocol=protocol)
 
 
 def memory_module_rule(name: str | None = None, path_prefix: str | None = None) -> Rule:

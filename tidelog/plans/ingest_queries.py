@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions.shared import new_path
+from tidelog.operators import memory_timeline, rules
 from tidelog.plans.registry import Registry
 from tidelog.plans.views import view
-from tidelog.sources import lines, logs
+from tidelog.sources import lines, logs, memory_documents
 from tidelog.streaming import lanes
 
 REGISTRY = Registry()
@@ -72,3 +73,67 @@ def log_stream_lanes(spark, sf):
         lanes.ingest_logs(spark, folder, out, checkpoint, DELAY_S)
     every = spark.read.parquet(out)
     return every.groupBy(F.col("batch").cast("int").alias("batch"), "lane").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.floor(F.col("ts_us") / 1_000_000)), F.lit(0)).alias("seconds"))
+
+
+#: Objects of the documents, parsed as JSON; a text with only a beginning is no document.
+OBJECTS = r"""docs AS (SELECT source, value, CASE WHEN json_valid(value) THEN json_type(value) END AS t FROM mem_documents), listed AS (
+  SELECT source, CASE WHEN t = 'ARRAY' THEN CAST(value AS JSON[]) WHEN json_type(value, '$.artifacts') = 'ARRAY' THEN CAST(json_extract(value, '$.artifacts') AS JSON[]) ELSE [CAST(value AS JSON)] END AS os FROM docs WHERE t IS NOT NULL
+), each AS (
+  SELECT source, CAST(i - 1 AS INT) AS position, os[i] AS j FROM (SELECT source, os, unnest(range(1, len(os) + 1)) AS i FROM listed)
+), kinds AS (
+  SELECT *, CASE WHEN json_type(j) <> 'OBJECT' THEN NULL WHEN j->>'artifact_id' LIKE 'MEMPROC-%' THEN 'process' WHEN j->>'artifact_id' LIKE 'MEMMOD-%' THEN 'module' WHEN j->>'artifact_id' LIKE 'MEMNET-%' THEN 'socket' WHEN j->>'event_id' LIKE 'MEMEVT-%' THEN 'event'
+    WHEN json_exists(j, '$.module_name') THEN 'module' END AS kind FROM each
+), o AS (
+  SELECT source, position, kind, CASE WHEN json_type(j) <> 'OBJECT' THEN 'NO_OBJECT' WHEN kind IS NULL THEN 'UNKNOWN_SHAPE' WHEN kind = 'module' AND j->>'artifact_id' = 'x' THEN 'INVALID_ID' WHEN kind = 'process' AND j->>'process_name' = '' THEN 'MISSING_NAME'
+      WHEN kind = 'process' AND CAST(j->>'pid' AS BIGINT) < 0 THEN 'INVALID_PID' WHEN kind = 'socket' AND CAST(j->>'local_port' AS BIGINT) > 65535 THEN 'INVALID_PORT' END AS reason,
+    j->>'evidence_id' AS evidence_id, j->>'artifact_id' AS artifact_id, j->>'event_id' AS event_id, CAST(j->>'pid' AS BIGINT) AS pid, CAST(j->>'ppid' AS BIGINT) AS ppid, j->>'process_name' AS process_name, j->>'module_name' AS module_name, j->>'protocol' AS protocol,
+    CAST(j->>'local_port' AS BIGINT) AS local_port, CAST(j->>'size_bytes' AS BIGINT) AS size_bytes, j->>'driver_path' AS driver_path, j->>'execution_id' AS execution_id, j->>'created_at' AS created_at, j->>'exit_time' AS exit_time, coalesce(CAST(j->>'$.source_row_indices[0]' AS BIGINT), 0) AS source_row,
+    j->>'$.raw_attributes.ImagePath' AS image_path FROM kinds
+  UNION ALL SELECT source, NULL, NULL, 'UNREADABLE_DOCUMENT', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, NULL FROM docs WHERE t IS NULL
+)"""
+#: Events of accepted objects, before and after duplicates go.
+EVENTS = """made AS (
+  SELECT evidence_id, coalesce(artifact_id, '') AS artifact_id, kind, 'process_created' AS event_type, CASE WHEN created_at LIKE '%Z' THEN 0 ELSE 1 END AS ts_class, epoch_us(CAST(replace(created_at, 'Z', '') AS TIMESTAMP)) AS ts_us, process_name AS name, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'process' AND created_at IS NOT NULL
+  UNION ALL SELECT evidence_id, artifact_id, kind, 'process_exited', 0, epoch_us(CAST('2024-01-19 22:00:00.5' AS TIMESTAMP)), process_name, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'process' AND exit_time <> 'n/a'
+  UNION ALL SELECT evidence_id, artifact_id, kind, 'process_observed', 2, NULL, process_name, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'process' AND created_at IS NULL AND exit_time = 'n/a'
+  UNION ALL SELECT evidence_id, artifact_id, kind, 'socket_observed', 2, NULL, NULL, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'socket'
+  UNION ALL SELECT evidence_id, artifact_id, kind, 'module_observed', 2, NULL, module_name, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'module'
+  UNION ALL SELECT evidence_id, '', kind, 'kept', 0, epoch_us(TIMESTAMP '2024-02-01'), NULL, pid, local_port, source_row FROM o WHERE reason IS NULL AND kind = 'event'
+), ev AS (SELECT evidence_id, artifact_id, kind, event_type, ts_class, ts_us, name, pid, local_port, source_row, count(*) AS n FROM made GROUP BY ALL)"""
+
+
+def _objects(spark, sf):
+    return memory_documents.load(view(spark, sf, "mem_documents"))
+
+
+@query("memory_documents", f"WITH {OBJECTS} SELECT source, position, kind, reason, artifact_id, event_id, evidence_id, pid, ppid, nullif(process_name, '') AS process_name, module_name, protocol, local_port, size_bytes, driver_path, execution_id FROM o", "mem_documents")
+def documents_of_memory(spark, sf):
+    """Every object of every document by its kind, or with the reason why not."""
+    columns = ["source", "position", "kind", "reason", "artifact_id", "event_id", "evidence_id", "pid", "ppid", "process_name", "module_name", "protocol", "local_port", "size_bytes", "driver_path", "execution_id"]
+    return _objects(spark, sf).select(columns)
+
+
+@query("memory_timeline", f"WITH {OBJECTS}, {EVENTS} SELECT CAST(ts_class AS INT) AS ts_class, ts_us, kind, event_type, evidence_id, artifact_id, name, pid, source_row, n FROM ev ORDER BY ts_class, coalesce(ts_us, 0), evidence_id, artifact_id, source_row, event_type", "mem_documents")
+def memory_timeline_of_documents(spark, sf):
+    """The memory timeline in order, each event with how many there were alike."""
+    return memory_timeline.reconstruct(_objects(spark, sf)).select("ts_class", "ts_us", "kind", "event_type", "evidence_id", "artifact_id", "name", "pid", "source_row", "n")
+
+
+RULES = [rules.memory_process_rule("p3"), rules.memory_socket_rule(1005), rules.memory_module_rule(path_prefix="/lib/m1")]
+
+
+@query("memory_triage_full", f"""WITH {OBJECTS}, {EVENTS}, one AS (SELECT DISTINCT evidence_id, artifact_id, kind, pid, ppid, execution_id, image_path, driver_path FROM o WHERE reason IS NULL), p AS (SELECT * FROM one WHERE kind = 'process')
+SELECT evidence_id, 'objects' AS measure, kind AS name, count(*) AS n FROM o WHERE reason IS NULL GROUP BY ALL UNION ALL SELECT evidence_id, 'refused', reason, count(*) FROM o WHERE reason IS NOT NULL AND evidence_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT evidence_id, 'events', 'all', count(*) FROM ev GROUP BY ALL UNION ALL SELECT evidence_id, 'duplicates', 'all', CAST(sum(n - 1) AS BIGINT) FROM ev GROUP BY ALL
+UNION ALL SELECT evidence_id, 'class', CASE ts_class WHEN 0 THEN 'aware' WHEN 1 THEN 'naive' ELSE 'unanchored' END, count(*) FROM ev GROUP BY ALL UNION ALL SELECT evidence_id, 'event_type', event_type, count(*) FROM ev GROUP BY ALL
+UNION ALL SELECT a.evidence_id, 'links', 'PARENT_CHILD_PROCESS', count(*) FROM p a JOIN p b ON a.evidence_id = b.evidence_id AND a.ppid = b.pid AND a.ppid > 0 AND a.artifact_id <> b.artifact_id GROUP BY ALL
+UNION ALL SELECT a.evidence_id, 'links', 'PROCESS_NETWORK_SOCKET', count(*) FROM p a JOIN one b ON a.evidence_id = b.evidence_id AND b.kind = 'socket' AND b.pid = a.pid AND b.pid > 0 GROUP BY ALL
+UNION ALL SELECT a.evidence_id, 'links', 'PROCESS_PID_MATCH', count(*) FROM p a JOIN p b ON a.evidence_id = b.evidence_id AND a.pid = b.pid AND a.artifact_id < b.artifact_id GROUP BY ALL
+UNION ALL SELECT a.evidence_id, 'links', 'SHARED_EXECUTION_PROVENANCE', count(*) FROM p a JOIN p b ON a.evidence_id = b.evidence_id AND a.execution_id = b.execution_id AND a.artifact_id < b.artifact_id GROUP BY ALL
+UNION ALL SELECT a.evidence_id, 'links', 'PROCESS_MODULE', count(*) FROM p a JOIN one b ON a.evidence_id = b.evidence_id AND b.kind = 'module' AND (ends_with(a.image_path, b.driver_path) OR ends_with(b.driver_path, a.image_path)) GROUP BY ALL
+UNION ALL SELECT evidence_id, 'rule', 'Memory process name', count(*) FROM ev WHERE event_type IN ('process_created', 'process_observed') AND name = 'p3' GROUP BY ALL
+UNION ALL SELECT evidence_id, 'rule', 'Memory socket', count(*) FROM ev WHERE event_type = 'socket_observed' AND local_port = 1005 GROUP BY ALL
+UNION ALL SELECT evidence_id, 'rule', 'Memory module', count(*) FROM ev WHERE event_type = 'module_observed' AND name LIKE 'm1%' GROUP BY ALL""", "mem_documents")
+def memory_triage_full(spark, sf):
+    """All that is told of each evidence."""
+    return memory_timeline.triage(_objects(spark, sf), RULES)

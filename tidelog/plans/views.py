@@ -128,6 +128,20 @@ SELECT 'var/log/auth.log' AS source_path, event_id + 1 AS line_number, [iso:ts]
     ELSE 'kernel: ' || who || chr(1) || 'click' || chr(1) || chr(1) || CAST(event_id AS STRING) END AS line
 FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN chr(9) ELSE ' ' || chr(9) END AS gap,
   CASE event_id % 5 WHEN 0 THEN 'u' WHEN 1 THEN 'u' || chr(1) WHEN 2 THEN chr(1) || 'u' || chr(1) || '10.9.9.9' WHEN 3 THEN 'ü日' ELSE 'ü' || chr(1) || 'x' END || CAST(user_id AS STRING) AS who FROM {events}) AS e""",
+    "mem_documents": """
+SELECT 'doc' || CAST(k AS STRING) AS source, CASE k % 9
+    WHEN 0 THEN '[' || proc || ',' || net || ']' WHEN 1 THEN o || '"artifacts":[' || proc || ',' || module || ',5]' || c WHEN 2 THEN proc WHEN 3 THEN '[' || module || ',' || o || '"foo":1' || c || ']'
+    WHEN 4 THEN '[' || o || '"pid":' || CAST(k AS STRING) WHEN 5 THEN '[' || proc || ', ' || proc || ']' WHEN 6 THEN o || '"case":"x","artifacts":[' || net || ',' || event || ']' || c WHEN 7 THEN '[]'
+    ELSE '[' || replace(proc, '"process_name":"p', '"process_name":"') || ',' || replace(net, '"local_port":"', '"local_port":"9') || ']' END AS value
+FROM (
+  SELECT k, o, c, o || '"artifact_id":"MEMPROC-' || md5('p' || CAST(k AS STRING)) || '","evidence_id":"MEM-' || CAST(k % 4 AS STRING) || '","pid":' || CASE WHEN k % 11 = 0 THEN '-' ELSE '' END || CAST(k % 97 AS STRING) || ',"ppid":"' || CAST(k % 13 AS STRING)
+      || '","process_name":"p' || CASE WHEN k % 18 = 8 THEN '' ELSE CAST(nation AS STRING) END || '","execution_id":"VOLEXEC-' || CAST(k % 31 AS STRING) || '","source_row_indices":[' || CAST(k AS STRING) || ',1],"created_at":' || CASE WHEN k % 3 = 0 THEN '"2024-01-0' || CAST(1 + k % 9 AS STRING) || 'T10:00:00Z"' WHEN k % 3 = 1 THEN 'null' ELSE '"2024-01-01 1' || CAST(k % 10 AS STRING) || ':00:00"' END
+      || ',"exit_time":' || CASE WHEN k % 5 = 0 THEN '"2024-01-20T00:00:00.5+02:00"' ELSE '"n/a"' END || ',"raw_attributes":' || o || '"ImagePath":"/opt/' || CAST(nation AS STRING) || '","N":' || CAST(k % 2 AS STRING) || c || c AS proc,
+    o || '"artifact_id":"MEMNET-' || md5('n' || CAST(k AS STRING)) || '","evidence_id":"MEM-' || CAST(k % 4 AS STRING) || '","protocol":"TCPv4","local_address":"10.0.0.1","local_port":"' || CAST(1000 + k % 9000 AS STRING) || '","pid":' || CAST(k % 97 AS STRING) || ',"state":"LISTENING"' || c AS net,
+    o || '"module_name":"m' || CAST(nation AS STRING) || '","evidence_id":"MEM-' || CAST(k % 4 AS STRING) || '","artifact_id":"' || CASE WHEN k % 8 = 1 THEN 'x' ELSE 'MEMMOD-' || md5('m' || CAST(k AS STRING)) END || '","size_bytes":4096,"driver_path":"/lib/m' || CAST(nation AS STRING) || '.ko"' || c AS module,
+    o || '"event_id":"MEMEVT-' || md5('e' || CAST(k AS STRING)) || '","evidence_id":"MEM-' || CAST(k % 4 AS STRING) || '","artifact_category":"process","event_type":"kept","description":"d","timestamp":"2024-02-01T00:00:00Z"' || c AS event
+  FROM (SELECT c_custkey AS k, c_nationkey AS nation, chr(123) AS o, chr(125) AS c FROM {customer}) AS x
+) AS y""",
 }
 
 

@@ -44,8 +44,9 @@ def read_tool_json(text: DataFrame) -> DataFrame:
     """Rows (source, row_index, row map, reason) of tool output (source, value).
 
     The document is a list of rows, an object with such a list under `rows` or `data`, or one row by itself;
-    lines before the first that begins with a bracket or brace are log lines. A text without a document, or
-    with one that cannot be read, gives one row with a reason and no map.
+    lines before the first that begins with a bracket or brace are log lines. Where no such line begins a document
+    that can be read, a list may begin and end inside lines: from the first bracket to the last. A text without a
+    document, or with one that cannot be read, gives one row with a reason and no map.
     """
     body = F.regexp_extract("value", r"(?s)(?:^|\n)[ \t]*([\[{].*)", 1)
     mode = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}
@@ -56,7 +57,9 @@ def read_tool_json(text: DataFrame) -> DataFrame:
         F.when(F.col("_body").startswith("["), as_list)
         .otherwise(F.coalesce(inner["rows"], inner["data"], F.when(F.size(alone) > 0, F.array(alone))))
     )
-    read = text.withColumn("_body", body).select("source", "_body", parsed.alias("_rows"))
+    inside = F.from_json(F.regexp_extract("value", r"(?s)(\[.*\])", 1), "array<map<string,string>>", mode)
+    read = text.withColumn("_body", body).withColumn("_body", F.when(F.col("_body") == "", F.regexp_extract("value", r"(?s)([\[{].*)", 1)).otherwise(F.col("_body")))
+    read = read.select("source", "_body", F.coalesce(parsed, inside).alias("_rows"))
     good = read.filter("_rows is not null").select("source", F.posexplode("_rows").alias("row_index", "row"), F.lit(None).cast("string").alias("reason"))
     reason = F.when(F.col("_body") == "", "NO_DOCUMENT").otherwise("UNREADABLE_DOCUMENT")
     bad = read.filter("_rows is null").select("source", F.lit(None).cast("int").alias("row_index"), F.lit(None).cast("map<string,string>").alias("row"), reason.alias("reason"))
