@@ -142,6 +142,17 @@ FROM (
     o || '"event_id":"MEMEVT-' || md5('e' || CAST(k AS STRING)) || '","evidence_id":"MEM-' || CAST(k % 4 AS STRING) || '","artifact_category":"process","event_type":"kept","description":"d","timestamp":"2024-02-01T00:00:00Z"' || c AS event
   FROM (SELECT c_custkey AS k, c_nationkey AS nation, chr(123) AS o, chr(125) AS c FROM {customer}) AS x
 ) AS y""",
+    "custody_events": """
+SELECT 'L' || CAST(o_custkey % 60 AS STRING) AS ledger_id, row_number() OVER (PARTITION BY o_custkey % 60 ORDER BY o_orderkey) - 1 AS sequence_number, o_orderkey AS k,
+  'COCEVT-' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-4' || substr(m, 14, 3) || '-a' || substr(m, 18, 3) || '-' || substr(m, 21, 12) AS event_id,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'no time' WHEN o_orderkey % 10 = 0 THEN [iso:o_orderdate] WHEN o_orderkey % 2 = 0 THEN [iso:o_orderdate] || '+02:00' ELSE [iso:o_orderdate] || 'Z' END AS timestamp,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'MANUAL_ENTRY' ELSE 'HOST_SYSTEM_CLOCK' END AS timestamp_source,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'EVIDENCE_RECEIVED' WHEN o_orderkey % 6 IN (1, 2, 4) THEN 'CUSTODY_TRANSFERRED' ELSE 'ANALYSIS_STARTED' END AS action_type, 'I' || CAST(o_custkey % 7 AS STRING) AS evidence_id,
+  'a' || CAST(o_orderkey % 3 AS STRING) AS actor_name, CASE WHEN o_orderkey % 7 = 0 THEN 'room ' || CAST(o_orderkey % 5 AS STRING) END AS source_location, CASE WHEN o_orderkey % 5 = 0 THEN 'shelf ü' || CAST(o_orderkey % 11 AS STRING) END AS destination_location,
+  CASE WHEN o_orderkey % 3 = 0 THEN [sha256:'I' || CAST(o_custkey % 7 AS STRING) || CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END] END AS digest, 'a' || CAST(o_orderkey % 4 AS STRING) AS releasing, 'a' || CAST(o_orderkey % 3 AS STRING) AS receiving,
+  CASE WHEN o_orderkey % 6 IN (1, 2) THEN chr(123) || '"transfer_id":"COCTRAN-' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-4' || substr(m, 14, 3) || '-b' || substr(m, 18, 3) || '-' || substr(m, 21, 12) || '","releasing_actor":' || chr(123) || '"declared_identity":"a' || CAST(o_orderkey % 4 AS STRING) || '"' || chr(125)
+    || ',"receiving_actor":' || chr(123) || '"declared_identity":"a' || CAST(o_orderkey % 3 AS STRING) || '","role":"r"' || chr(125) || ',"destination_location":"lab ' || CAST(o_orderkey % 2 AS STRING) || '"' || chr(125) WHEN o_orderkey % 6 = 4 THEN 'by hand' END AS notes
+FROM (SELECT *, md5('c' || CAST(o_orderkey AS STRING)) AS m FROM {orders}) AS o""",
 }
 
 
