@@ -31,14 +31,14 @@ def order(events: DataFrame) -> DataFrame:
 BLOCK = 1 << 16
 
 
-def with_position(events: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The events with position: 1, 2, 3... in the order of the timeline.
+def with_position(events: DataFrame, partitions: int | None = None, key: list[Column] | None = None) -> DataFrame:
+    """The events with position: 1, 2, 3... in the order of the timeline, or of another key.
 
     Range partitions are sorted, and written with each event's place in its partition; an event's position is its
     place behind the counts of the partitions before. What is gathered is one count a partition. Events that are
     alike in all of the order but are not one are told apart by nothing: remove duplicates first.
     """
-    key = [k.alias(f"_k{i}") for i, k in enumerate(sort_key())]
+    key = [k.alias(f"_k{i}") for i, k in enumerate(sort_key() if key is None else key)]
     names = [f"_k{i}" for i in range(len(key))]
     keyed = events.select("*", *key)
     ranged = keyed.repartitionByRange(partitions, *names) if partitions else keyed.repartitionByRange(*names)

@@ -322,7 +322,7 @@ def pivot_counts(spark, sf):
 
 @query("pivot_of_address", f"WITH {EV} SELECT 'ip' AS field, source_ip AS value, 'event' AS kind, event_id AS ref FROM e WHERE source_ip = '10.0.0.7' ORDER BY ref LIMIT 1001", "timeline")
 def pivot_of_address(spark, sf):
-    return pivots.find(pivots.of_events(_events(spark, sf)), "ip", "10.0.0.7", "event")
+    return pivots.find(pivots.of_events(_events(spark, sf)), "ip", "10.0.0.7", "event", 1001).select("field", "value", "kind", "ref")
 
 
 @query("custody_digests", "SELECT m.relative_path, algorithm, CASE WHEN f.relative_path IS NULL OR algorithm = 'sha9' THEN 'NO_BASELINE' WHEN digest = f.sha256 THEN 'EQUAL' ELSE 'DIFFERENT' END AS outcome FROM manifest m LEFT JOIN files f ON f.relative_path = m.relative_path", "manifest", "files")
