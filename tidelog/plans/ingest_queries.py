@@ -8,7 +8,7 @@ from tidelog.functions.shared import new_path
 from tidelog.operators import memory_timeline, rules
 from tidelog.plans.registry import Registry
 from tidelog.plans.views import view
-from tidelog.sources import lines, logs, memory_documents
+from tidelog.sources import files, lines, logs, memory_documents
 from tidelog.streaming import lanes
 
 REGISTRY = Registry()
@@ -137,3 +137,17 @@ UNION ALL SELECT evidence_id, 'rule', 'Memory module', count(*) FROM ev WHERE ev
 def memory_triage_full(spark, sf):
     """All that is told of each evidence."""
     return memory_timeline.triage(_objects(spark, sf), RULES)
+
+
+DOCS_A_FILE = 100
+
+
+@query("files_catalogued", f"SELECT doc_id // {DOCS_A_FILE} AS part, 'collected' AS status, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS md5, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY ALL")
+def files_catalogued(spark, sf):
+    """Texts of documents written as files of a hundred each, catalogued with their digests."""
+    root = new_path(spark, "evidence")
+    docs = view(spark, sf, "documents").select(F.floor(F.col("doc_id") / DOCS_A_FILE).alias("part"), "doc_id", F.col("text").alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(root)
+    found = files.catalogue(spark, root).filter(F.col("relative_path").endswith(".txt"))
+    part = F.regexp_extract("relative_path", r"part=(\d+)/", 1).cast("long")
+    return found.select(part.alias("part"), "status", "size_bytes", "md5", "sha256")
