@@ -231,40 +231,79 @@ def linked_without_time(events: DataFrame, event_ids: list[str]) -> DataFrame:
     return pairs.select(F.col("event_id_a").alias("event_a"), F.col("event_id_b").alias("event_b"), F.coalesce("ident_a", "ident_b", F.lit("unknown")).alias("value")).distinct()
 
 
+# Fields of a host event that hold an address, and those that hold a port.
+HOST_ADDRESSES = ["source_ip", "src_ip", "client_ip", "remote_ip", "target_ip", "destination_ip", "dst_ip", "ip_address", "host_ip"]
+HOST_PORTS = ["source_port", "src_port", "port", "target_port", "dst_port"]
+NOTES = {
+    "private": "the address is private, loopback or reserved: it may be translated, assigned anew or used twice",
+    "shared": "an address is not a machine: proxies, translation or dynamic assignment may stand between",
+    "ports": "the ports of the host event are not those of the packet",
+}
+
+
+def fields_of(events: DataFrame, names: list[str]) -> Column:
+    """The values of all these fields that an event has, as columns or as keys of its attributes, as texts."""
+    have = []
+    for c in names:
+        have += [F.col(c).cast("string")] if c in events.columns else []
+        have += [F.try_element_at("attributes", F.lit(c))] if "attributes" in events.columns else []
+    return F.array_compact(F.array(*have)) if have else F.array().cast("array<string>")
+
+
+def addresses(events: DataFrame, names: list[str]) -> DataFrame:
+    """event_id, address: the distinct addresses of each event in canonical form, of both versions. Only rows with a colon go through Python."""
+    raw = events.select("event_id", F.explode(fields_of(events, names)).alias("raw"))
+    four = raw.select("event_id", normalize_ip(F.col("raw")).alias("address"))
+    six = raw.filter(F.col("raw").contains(":")).select("event_id", normalize_ip(F.col("raw"), ipv6=True).alias("address"))
+    return four.unionByName(six).filter("address is not null").distinct()
+
+
+def ports(events: DataFrame, names: list[str]) -> Column:
+    """The distinct ports of an event, in order."""
+    valid = F.filter(F.transform(fields_of(events, names), lambda p: F.when(F.trim(p).rlike("^[0-9]{1,5}$"), F.trim(p).try_cast("int"))), lambda p: p.between(1, 65535))
+    return F.array_sort(F.array_distinct(valid))
+
+
 def host_network(host: DataFrame, network: DataFrame, window: float = WINDOW, known_ips: list[str] = ()) -> DataFrame:
     """Host events against network events by address, known host address, user or session; the first that holds wins.
 
-    network has src_ip, dst_ip, src_port, dst_port beside the timeline columns. Times must compare.
-    A different user or session on both sides rejects the pair. The smallest common address is reported.
+    A host event has the set of all addresses and ports that its fields name (columns or attributes, both versions of
+    addresses), a network event its two ends. Times must compare. A different user or session on both sides rejects the
+    pair. The smallest common address is reported, with notes on what it does not tell. known_ips are the host's own.
+
+    The ways are joined on ids, times and keys alone, and the best way of a pair is an aggregate on them; what is
+    reported of both events is fetched for the pairs that remain.
     """
-    net_cols = ["src_ip", "dst_ip", "src_port", "dst_port"]
-    network = reduce(lambda d, c: d if c in d.columns else d.withColumn(c, F.lit(None).cast("string")), ["username", "session_id", "source_artifact_id", *net_cols], network)
-    h = host.filter(F.lower("category") != "network").withColumn("port", F.col("source_port") if "source_port" in host.columns else F.lit(None).cast("int")).withColumn("ip", normalize_ip(F.col("source_ip")))
-    ends = F.array_compact(F.array_distinct(F.array(normalize_ip(F.col("src_ip")), normalize_ip(F.col("dst_ip")))))
-    n = network.filter(F.lower("category") == "network").withColumn("ends", ends)
-    extra = ["port", "ip"]
-    a = side(h, "a", extra)
-    b = side(n, "b", [*net_cols, "ends"])
-    user = lambda s: F.lower(F.nullif(times.strip(F.col(f"username_{s}")), F.lit("")))
-    session = lambda s: F.nullif(times.strip(F.col(f"session_id_{s}")), F.lit(""))
-    by_end = b.withColumn("k_b", F.explode("ends_b"))
-    ways = [
-        (1, "ip_match", a.withColumn("k_a", F.col("ip_a")), by_end),
-        (2, "host_endpoint_ip_match", a.withColumn("k_a", F.explode(F.array(*map(F.lit, known_ips)))) if known_ips else None, by_end),
-        (3, "user_match", a.withColumn("k_a", user("a")), b.withColumn("k_b", user("b"))),
-        (4, "session_match", a.withColumn("k_a", session("a")), b.withColumn("k_b", session("b"))),
-    ]
-    found = [band_join(left.filter("k_a is not null"), right.filter("k_b is not null"), ["k"], window).withColumn("rank", F.lit(rank)).withColumn("dimension", F.lit(way)) for rank, way, left, right in ways if left is not None]
+    columns = {"username": "string", "session_id": "string", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int"}
+    network = reduce(lambda d, c: d if c in d.columns else d.withColumn(c, F.lit(None).cast(columns[c])), columns, network)
+    told = lambda d: d.withColumn("user", F.lower(user_identity(d))).withColumn("session", session_identity(d))
+    h = told(host.filter(F.lower("category") != "network")).withColumn("ports", ports(host, HOST_PORTS))
+    n = told(network.filter(F.lower("category") == "network"))
+    at, ends = ["event_id", "ts_class", "ts_us", "user", "session"], addresses(n, ["src_ip", "dst_ip"])
+    sided = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in [*at, "k"]))
+    keyed = lambda d, by: d.select(at).join(by.withColumnRenamed("address", "k"), "event_id")
+    ways = [(1, keyed(h, addresses(h, HOST_ADDRESSES)), keyed(n, ends))]
+    if known_ips:
+        own = F.array(*(F.lit(k) for k in known_ips))
+        ways.append((2, h.select(at).withColumn("k", F.explode(own)), keyed(n, ends.filter(F.array_contains(own, F.col("address"))))))
+    ways += [(rank, h.filter(f"{c} is not null").select(*at, F.col(c).alias("k")), n.filter(f"{c} is not null").select(*at, F.col(c).alias("k"))) for rank, c in ((3, "user"), (4, "session"))]
+    conflict = F.coalesce(F.col("user_a") != F.col("user_b"), F.lit(False)) | F.coalesce(F.col("session_a") != F.col("session_b"), F.lit(False))
+    found = [band_join(sided(a, "a"), sided(b, "b"), ["k"], window).filter(~conflict).select("event_id_a", "event_id_b", F.lit(rank).alias("rank"), F.col("k_a").alias("value")) for rank, a, b in ways]
     pairs = reduce(lambda x, y: x.unionByName(y), found)
-    conflict = F.coalesce(user("a") != user("b"), F.lit(False)) | F.coalesce(session("a") != session("b"), F.lit(False))
-    best = pairs.filter(~conflict).groupBy("event_id_a", "event_id_b").agg(F.min(F.struct("rank", F.col("k_a").alias("value"), "dimension", delta().alias("delta_seconds"), F.least("ts_us_a", "ts_us_b").alias("start_us"), F.greatest("ts_us_a", "ts_us_b").alias("end_us"), "src_ip_b", "dst_ip_b", "src_port_b", "dst_port_b", "port_a", user("a").alias("user_a"), user("b").alias("user_b"))).alias("m"))
-    m = best.select(F.col("event_id_a").alias("host_event"), F.col("event_id_b").alias("network_event"), "m.*")
+    best = pairs.groupBy("event_id_a", "event_id_b").agg(F.min(F.struct("rank", "value")).alias("m"))
+    ipv6 = lambda c: F.coalesce(normalize_ip(F.col(c)), F.when(F.col(c).contains(":"), normalize_ip(F.col(c), ipv6=True)))
+    of_host = h.select(F.col("event_id").alias("event_id_a"), F.col("ts_us").alias("us_a"), "ports", F.col("user").alias("user_a"))
+    of_net = n.select(F.col("event_id").alias("event_id_b"), F.col("ts_us").alias("us_b"), ipv6("src_ip").alias("src"), ipv6("dst_ip").alias("dst"), ports(n, ["src_port", "dst_port"]).alias("net_ports"), F.col("user").alias("user_b"))
+    m = best.join(of_host, "event_id_a").join(of_net, "event_id_b").withColumns({"rank": F.col("m.rank"), "value": F.col("m.value")})
+    names = F.array(*map(F.lit, ["ip_match", "host_endpoint_ip_match", "user_match", "session_match"]))
+    by_address = F.col("rank") <= 2
+    private = F.coalesce(by_address & is_private_ip(F.col("value"), ipv6=True), F.lit(False))
+    aligned = F.arrays_overlap("ports", "net_ports")
+    notes = F.array_compact(F.array(F.when(by_address, F.when(private, NOTES["private"]).otherwise(NOTES["shared"])), F.when((F.size("ports") > 0) & ~aligned, NOTES["ports"])))
     return m.select(
-        "host_event", "network_event", "dimension", "value", "delta_seconds",
-        F.when(F.col("value") == F.col("src_ip_b"), "outbound").when(F.col("value") == F.col("dst_ip_b"), "inbound").alias("direction"),
-        F.coalesce((F.col("port_a") == F.col("src_port_b")) | (F.col("port_a") == F.col("dst_port_b")), F.lit(False)).alias("port_aligned"),
-        F.coalesce(F.col("user_a") == F.col("user_b"), F.lit(False)).alias("user_aligned"),
-        is_private_ip(F.col("value")).alias("private_address"), "start_us", "end_us",
+        F.col("event_id_a").alias("host_event"), F.col("event_id_b").alias("network_event"), F.element_at(names, F.col("rank")).alias("dimension"), "value", (F.abs(F.col("us_a") - F.col("us_b")) / F.lit(1_000_000.0)).alias("delta_seconds"),
+        F.when(by_address & (F.col("value") == F.col("src")), "outbound").when(by_address & (F.col("value") == F.col("dst")), "inbound").alias("direction"), F.coalesce(aligned, F.lit(False)).alias("port_aligned"),
+        F.coalesce(F.col("user_a") == F.col("user_b"), F.lit(False)).alias("user_aligned"), private.alias("private_address"), F.least("us_a", "us_b").alias("start_us"), F.greatest("us_a", "us_b").alias("end_us"), notes.alias("notes"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 from typing import Any
@@ -56,7 +56,9 @@ class Rule:
 
     @property
     def rule_id(self) -> str:
-        return f"RULE-{ids.uuid.uuid5(ids.namespace('rule'), self.name)}"
+        """Of all that tells one rule from another: rules of one name with other types or conditions are other rules."""
+        asked = [",".join(sorted(set(self.event_types))), ",".join(sorted(set(self.relations))), ";".join(sorted(f"{c.field} {ALIASES.get(c.operator, c.operator)} {c.value!r}" for c in self.conditions))]
+        return f"RULE-{ids.uuid.uuid5(ids.namespace('rule'), ':'.join([self.name.strip(), *(a for a in asked if a)]))}"
 
 
 def type_of(value: Any) -> T.DataType:
@@ -120,7 +122,7 @@ def compare(actual: Column, operator: str, value: Any = None, kind: T.DataType |
 
 
 def look_up(schema: T.StructType, name: str, suffix: str = "") -> tuple[Column, T.DataType]:
-    """A field by its dotted path: columns, fields of structs, keys of maps; else a key of the attributes map. With its type."""
+    """A field by its dotted path: columns, fields of structs (of an array of structs: that field of every element), keys of maps; else a key of the attributes map. With its type."""
     missing = F.lit(None).cast("string"), T.StringType()
     head, _, rest = name.partition(".")
     if head in schema.fieldNames():
@@ -133,6 +135,9 @@ def look_up(schema: T.StructType, name: str, suffix: str = "") -> tuple[Column,
         if isinstance(kind, T.MapType):  # a key may hold dots itself
             return F.try_element_at(col, F.lit(rest)), kind.valueType
         head, _, rest = rest.partition(".")
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and head in kind.elementType.fieldNames():  # of every element
+            col, kind = col[head], T.ArrayType(kind.elementType[head].dataType)
+            continue
         if not isinstance(kind, T.StructType) or head not in kind.fieldNames():
             return missing
         col, kind = col[head], kind[head].dataType
@@ -270,16 +275,20 @@ def field_rule(name: str, category: str, event_types: tuple[str, ...] = (), /, *
     return Rule(name, f"Observed {name}.", (category,), event_types, conditions=conditions)
 
 
-def dns_rule(query_name: str | None = None, **more: Any) -> Rule:
-    return field_rule("DNS query", "network", ("dns_query",), query_name=query_name, **more)
+def dns_rule(query_name: str | None = None, answer: str | None = None, query_type: str | None = None, **more: Any) -> Rule:
+    """A query by name or type, or one whose answers hold a value."""
+    rule = field_rule("DNS query", "network", ("dns_query",), query_name=query_name, query_type=query_type, **more)
+    return rule if answer is None else replace(rule, conditions=(*rule.conditions, Condition("answers.data", "contains", answer)))
 
 
 def http_rule(host: str | None = None, method: str | None = None, status: int | None = None, target: str | None = None) -> Rule:
     return field_rule("HTTP message", "network", ("http_message",), host=host, method=method, status_code=status, target=target)
 
 
-def tls_rule(server_name: str | None = None, **more: Any) -> Rule:
-    return field_rule("TLS server name", "network", ("tls_hello",), server_name=server_name, **more)
+def tls_rule(server_name: str | None = None, alpn: str | None = None, **more: Any) -> Rule:
+    """A hello by server name, or one that offers a protocol."""
+    rule = field_rule("TLS server name", "network", ("tls_hello",), server_name=server_name, **more)
+    return rule if alpn is None else replace(rule, conditions=(*rule.conditions, Condition("alpn_protocols", "contains", alpn)))
 
 
 def protocol_rule(transport: str | None = None, dst_port: int | None = None, src_ip: str | None = None, dst_ip: str | None = None) -> Rule:

@@ -58,17 +58,19 @@ def packet_events(packets: DataFrame) -> DataFrame:
     )
 
 
-APPLICATION = ["query_name", "server_name", "response_code", "tls_version", "host", "method", "target", "status_code"]
+APPLICATION = ["query_name", "server_name", "response_code", "tls_version", "host", "method", "target", "status_code", "query_type", "answers", "alpn_protocols"]
+ANSWERS = "array<struct<name:string,type:string,data:string>>"
 
 
 def application_events(packets: DataFrame) -> DataFrame:
     """One event a packet with application content: TLS, else HTTP, else DNS.
 
     The columns server_name and tls_version, payload (the start of an HTTP message), query_name and
-    response_code are looked at where the table has them; codes come out as names, a status as a number.
+    response_code are looked at where the table has them; codes come out as names, a status as a number. So are
+    answers (an array of structs with name, type and data) and query_type of DNS, and alpn_protocols (an array) of TLS.
     """
     have = lambda c, kind="string": F.col(c) if c in packets.columns else F.lit(None).cast(kind)
-    rows = packets.withColumns({"server_name": have("server_name"), "query_name": have("query_name"), "payload": have("payload"), "_rcode": have("response_code", "int"), "_tls": have("tls_version", "int")})
+    rows = packets.withColumns({"server_name": have("server_name"), "query_name": have("query_name"), "payload": have("payload"), "_rcode": have("response_code", "int"), "_tls": have("tls_version", "int"), "query_type": have("query_type"), "answers": have("answers", ANSWERS), "alpn_protocols": have("alpn_protocols", "array<string>")})
     tls, http = F.col("server_name").isNotNull(), F.coalesce(is_http_head(F.col("payload")), F.lit(False))
     kind = F.when(tls, "tls_hello").when(http, "http_message").when(F.col("query_name").isNotNull(), "dns_query")
     rows = once(rows.withColumn("packet_id", packet_id()), "kind", kind).filter("kind is not null")
@@ -83,6 +85,7 @@ def application_events(packets: DataFrame) -> DataFrame:
     return plain.unionByName(heads).select(
         ids.uuid5(ids.namespace("event"), ids.joined(F.col("packet_id"), F.col("kind"))).alias("event_id"), F.lit(0).alias("ts_class"), "ts_us", F.lit("network").alias("category"), F.col("kind").alias("event_type"), text.alias("description"),
         F.col("capture").alias("source_path"), F.col("frame_number").alias("source_line"), F.col("packet_id").alias("source_event_id"), "src_ip", "dst_ip", "src_port", "dst_port", "transport_protocol", "query_name", "server_name",
+        of("dns_query", F.col("query_type")).alias("query_type"), of("dns_query", F.col("answers")).alias("answers"), of("tls_hello", F.col("alpn_protocols")).alias("alpn_protocols"),
         of("dns_query", names_of(DNS_STATUS, F.col("_rcode"))).alias("response_code"), of("tls_hello", names_of(TLS_VERSION, F.col("_tls"))).alias("tls_version"), "host", "method", "target", "status_code",
     )
 
