@@ -94,6 +94,12 @@ def shared(artifacts: DataFrame, key: str, kind: str) -> DataFrame:
     return edges(pairs, kind, "LOW", F.col(f"{key}_a").alias("value"))
 
 
+def shared_counts(artifacts: DataFrame, key: str, kind: str) -> DataFrame:
+    """relation, evidence_id, value, n: how many pairs of artifacts share a key, from the number that has it. No pair is made."""
+    held = artifacts.filter(F.col(key).isNotNull()).groupBy("evidence_id", F.col(key).alias("value")).agg(F.count("*").alias("k"))
+    return held.filter("k > 1").select(F.lit(kind).alias("relation"), "evidence_id", "value", F.expr("k * (k - 1) DIV 2").alias("n"))
+
+
 def same_evidence(processes: DataFrame, modules: DataFrame) -> DataFrame:
     """Every process with every module of an evidence: off unless asked for, as its size is their product."""
     return edges(pairs_on(processes, modules, F.lit(True)), "SAME_EVIDENCE", "LOW")

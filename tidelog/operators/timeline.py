@@ -142,8 +142,8 @@ def unite(*tables: DataFrame) -> DataFrame:
 
 
 def resolve_parents(logs: DataFrame, catalogue: DataFrame, root: str = "") -> DataFrame:
-    """source_artifact_id of each row's file: by the given id, else by path, else by the path below root."""
-    files = catalogue.select(F.col("relative_path").alias("_path"), F.col("artifact_id").alias("_by_path")).dropDuplicates(["_path"])
+    """source_artifact_id of each row's file: by the given id, else by path, else by the path below root. Of several files of one path, the smallest id."""
+    files = catalogue.groupBy(F.col("relative_path").alias("_path")).agg(F.min("artifact_id").alias("_by_path"))
     path = F.when(F.col("source_path").startswith(root), F.expr(f"substring(source_path, {len(root) + 1})")).otherwise(F.col("source_path")) if root else F.col("source_path")
     out = logs.withColumn("_rel", F.regexp_replace(path, "^/+", ""))
     given = F.col("source_artifact_id") if "source_artifact_id" in logs.columns else F.lit(None).cast("string")
@@ -189,6 +189,12 @@ def summary(events: DataFrame, deduplicated: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("total")).crossJoin(after).withColumn("removed", F.col("total") - F.col("kept"))  # one row each
 
 
+def summary_by(events: DataFrame, column: str = "category") -> DataFrame:
+    """Per category (or another column): events before, kept and removed by de-duplication, in one pass."""
+    alike = events.groupBy(*[c for c in COLUMNS if c in events.columns and c != "event_id"]).agg(F.count("*").alias("_n"))
+    return alike.groupBy(column).agg(F.sum("_n").alias("total"), F.count("*").alias("kept"), (F.sum("_n") - F.count("*")).alias("removed"))
+
+
 def coverage(events: DataFrame) -> DataFrame:
     """Per category and type: events, with a time, by class."""
     return events.groupBy("category", "event_type").agg(

@@ -125,7 +125,7 @@ def pam_details(spark, sf):
 
 @query("memory_shared_plugin", f"WITH {PROC} SELECT a.evidence_id, a.plugin AS value, count(*) AS n FROM k a JOIN k b ON a.evidence_id = b.evidence_id AND a.plugin = b.plugin AND (a.pid, a.name) < (b.pid, b.name) GROUP BY ALL", "mem_processes")
 def memory_shared_plugin(spark, sf):
-    return memory.shared(_processes(spark, sf), "plugin", "SHARED_PLUGIN_PROVENANCE").groupBy("evidence_id", "value").agg(F.count("*").alias("n"))
+    return memory.shared_counts(_processes(spark, sf), "plugin", "SHARED_PLUGIN_PROVENANCE").select("evidence_id", "value", "n")
 
 
 @query("memory_links_filtered", f"WITH {PROC} SELECT c.pid AS child_pid, d.pid AS parent_pid FROM k c JOIN k d ON c.evidence_id = d.evidence_id AND c.ppid = d.pid AND c.ppid > 0 WHERE (c.pid, c.plugin, c.name) <> (d.pid, d.plugin, d.name) AND c.evidence_id = 'MEM-1'", "mem_processes")

@@ -222,7 +222,7 @@ def memory_process_module(spark, sf):
 
 @query("memory_shared_execution", f"WITH {PROC} SELECT a.evidence_id, a.execution_id AS value, count(*) AS n FROM k a JOIN k b ON a.evidence_id = b.evidence_id AND a.execution_id = b.execution_id AND (a.pid, a.plugin, a.name) < (b.pid, b.plugin, b.name) GROUP BY ALL", "mem_processes")
 def memory_shared_execution(spark, sf):
-    return memory.shared(_processes(spark, sf), "execution_id", "SHARED_EXECUTION_PROVENANCE").groupBy("evidence_id", "value").agg(F.count("*").alias("n"))
+    return memory.shared_counts(_processes(spark, sf), "execution_id", "SHARED_EXECUTION_PROVENANCE").select("evidence_id", "value", "n")
 
 
 @query("memory_near_in_time", f"WITH {PROC} SELECT a.evidence_id, abs(a.created_us - b.created_us) / 1000000.0 AS delta_seconds, count(*) AS n FROM k a JOIN k b ON a.evidence_id = b.evidence_id AND (a.pid, a.plugin, a.name) < (b.pid, b.plugin, b.name) AND abs(a.created_us - b.created_us) <= 60000000 GROUP BY ALL", "mem_processes")

@@ -86,8 +86,7 @@ def authentication_summary(spark, sf):
 
 @query("uncovered_logs", f"WITH {LOGS} SELECT source_path, line_number, event_type FROM l WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_path = l.source_path AND a.line_number = l.line_number)", "log_lines")
 def uncovered_logs(spark, sf):
-    parsed = _logs(spark, sf)
-    return logs.without_covered_logs(parsed, logs.authentication_rows(parsed)).select("source_path", "line_number", "event_type")
+    return logs.uncovered(_logs(spark, sf)).select("source_path", "line_number", "event_type")
 
 
 @query("log_timeline", f"WITH {LOGS} SELECT category, event_type, CAST(CASE WHEN ok THEN 0 ELSE 2 END AS INT) AS ts_class, count(*) AS n, CAST(sum(line_number) AS BIGINT) AS lines FROM (SELECT 'authentication' AS category, auth_type AS event_type, ok, line_number FROM a UNION ALL SELECT 'log', event_type, ok, line_number FROM l WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source_path = l.source_path AND a.line_number = l.line_number)) AS u GROUP BY ALL", "log_lines")
@@ -170,6 +169,11 @@ def timeline_summary(spark, sf):
     return timeline.summary(t, timeline.deduplicate(t))
 
 
+@query("timeline_summary_by_category", "SELECT category, CAST(sum(n) AS BIGINT) AS total, count(*) AS kept, CAST(sum(n) - count(*) AS BIGINT) AS removed FROM (SELECT * EXCLUDE (event_id), count(*) AS n FROM timeline GROUP BY ALL) GROUP BY category", "timeline")
+def timeline_summary_by_category(spark, sf):
+    return timeline.summary_by(view(spark, sf, "timeline"))
+
+
 @query("timeline_query", "SELECT event_id, ts_us, category, event_type FROM timeline WHERE ts_class = 0 AND ts_us BETWEEN 1704499200000000 AND 1705104000000000 AND category IN ('authentication', 'log') AND event_type IN ('sudo_command', 'session_open')", "timeline")
 def timeline_query(spark, sf):
     return timeline.query(view(spark, sf, "timeline"), 1704499200000000, 1705104000000000, True, ["authentication", "log"], ["sudo_command", "session_open"]).select("event_id", "ts_us", "category", "event_type")
@@ -251,9 +255,9 @@ def links_temporal(spark, sf):
     return correlate.temporal(_events(spark, sf)).select("relation", "event_a", "event_b", "delta_seconds")
 
 
-@query("links_same_user", f"WITH {EV}, {PAIRS} AND a.username = b.username) SELECT event_a, event_b, ua AS value, delta_seconds FROM p WHERE delta_seconds IS NULL OR delta_seconds <= 300", "timeline")
+@query("links_same_user", f"WITH {EV}, {PAIRS} AND a.username = b.username) SELECT event_a, event_b, ua AS value, delta_seconds FROM p WHERE delta_seconds <= 300", "timeline")
 def links_same_user(spark, sf):
-    return correlate.same_user(_events(spark, sf)).select("event_a", "event_b", "value", "delta_seconds")
+    return correlate.same_user(_events(spark, sf), untimed=False).select("event_a", "event_b", "value", "delta_seconds")
 
 
 @query("links_same_source", f"WITH {EV}, {PAIRS} AND a.source_ip = b.source_ip) SELECT event_a, event_b, ia AS value, delta_seconds FROM p WHERE delta_seconds <= 300", "timeline")
@@ -275,14 +279,24 @@ def links_same_source_untimed(spark, sf):
     return correlate.untimed_links(_events(spark, sf), correlate.source_identity())
 
 
+@query("links_same_user_untimed", _untimed_sql("username"), "timeline")
+def links_same_user_untimed(spark, sf):
+    return correlate.untimed_links(_events(spark, sf), correlate.user_identity())
+
+
+@query("links_same_session_untimed", _untimed_sql("session_id"), "timeline")
+def links_same_session_untimed(spark, sf):
+    return correlate.untimed_links(_events(spark, sf), correlate.session_identity())
+
+
 @query("links_same_path_untimed", _untimed_sql("source_path"), "timeline")
 def links_same_path_untimed(spark, sf):
     return correlate.untimed_links(_events(spark, sf), correlate.path_identity())
 
 
-@query("links_same_session", f"WITH {EV}, {PAIRS} AND a.session_id = b.session_id) SELECT event_a, event_b, sa AS value, delta_seconds FROM p WHERE delta_seconds IS NULL OR delta_seconds <= 300", "timeline")
+@query("links_same_session", f"WITH {EV}, {PAIRS} AND a.session_id = b.session_id) SELECT event_a, event_b, sa AS value, delta_seconds FROM p WHERE delta_seconds <= 300", "timeline")
 def links_same_session(spark, sf):
-    return correlate.same_session(_events(spark, sf)).select("event_a", "event_b", "value", "delta_seconds")
+    return correlate.same_session(_events(spark, sf), untimed=False).select("event_a", "event_b", "value", "delta_seconds")
 
 
 AUTH_PRIV = f"""WITH {EV} SELECT DISTINCT least(a.event_id, b.event_id) AS event_a, greatest(a.event_id, b.event_id) AS event_b, (b.ts_us - a.ts_us) / 1000000.0 AS delta_seconds FROM e a JOIN e b ON a.username = b.username AND a.event_id <> b.event_id AND a.ts_class = b.ts_class AND a.ts_class <> 2

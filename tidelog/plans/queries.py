@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans import config_queries, custody_queries, evidence_queries, host_queries, ingest_queries, link_queries, report_queries
+from tidelog.plans import collection_queries, config_queries, custody_queries, evidence_queries, host_queries, ingest_queries, link_queries, report_queries
 
-MODULES = [host_queries, evidence_queries, config_queries, ingest_queries, link_queries, custody_queries, report_queries]
+MODULES = [host_queries, evidence_queries, config_queries, ingest_queries, link_queries, custody_queries, report_queries, collection_queries]
 
 
 def queries() -> dict:

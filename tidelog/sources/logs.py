@@ -178,6 +178,11 @@ def authentication_summary(auth: DataFrame) -> DataFrame:
     return auth.groupBy("auth_type", "status").agg(F.count("*").alias("n"), F.count("username").alias("with_user"), F.count("source_ip").alias("with_source"))
 
 
+def uncovered(logs: DataFrame) -> DataFrame:
+    """Rows that are no authentication activity, told in the pass that reads them."""
+    return with_authentication(logs).filter(F.col("auth_type").isNull())
+
+
 def without_covered_logs(logs: DataFrame, auth: DataFrame) -> DataFrame:
     """logs whose path and line no authentication row has."""
     return logs.join(auth.select("source_path", "line_number").distinct(), ["source_path", "line_number"], "left_anti")
