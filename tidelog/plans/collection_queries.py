@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import paths
+from tidelog.functions.shared import materialize
 from tidelog.operators import artifacts, host_artifacts
 from tidelog.plans.host_queries import LOGS
 from tidelog.plans.registry import Registry
@@ -26,7 +27,8 @@ USERS = "u AS (SELECT * FROM account_lines WHERE source_path = 'etc/passwd' AND
 
 
 def _lines(spark, sf) -> DataFrame:
-    return view(spark, sf, "account_lines").select("source_path", "line_number", "line").unionByName(view(spark, sf, "config_lines"))
+    """Written once: each kind of row reads them."""
+    return materialize(view(spark, sf, "account_lines").select("source_path", "line_number", "line").unionByName(view(spark, sf, "config_lines")), "lines")
 
 
 @query("startup_scopes", f"WITH {STARTUP} SELECT mechanism, scope, count(*) AS n, count(*) FILTER (status = 'MALFORMED') AS malformed FROM s GROUP BY ALL", "unit_links")
