@@ -13,3 +13,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     ones (patterns over a text); it does not push them through this one-row explode.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def once_each(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with several such columns, all evaluated once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))

@@ -8,7 +8,7 @@ from tidelog.functions.shared import new_path
 from tidelog.operators import memory_timeline, rules
 from tidelog.plans.registry import Registry
 from tidelog.plans.views import view
-from tidelog.sources import files, lines, logs, memory_documents
+from tidelog.sources import files, lines, logs, memory_documents, memory_sockets
 from tidelog.streaming import lanes
 
 REGISTRY = Registry()
@@ -151,3 +151,33 @@ def files_catalogued(spark, sf):
     found = files.catalogue(spark, root).filter(F.col("relative_path").endswith(".txt"))
     part = F.regexp_extract("relative_path", r"part=(\d+)/", 1).cast("long")
     return found.select(part.alias("part"), "status", "size_bytes", "md5", "sha256")
+
+
+#: Sockets under the column names of two tools: ports inside addresses, brackets, stars, columns that disagree.
+TOOL = """s AS (
+  SELECT evidence_id, row_index AS k, row_index % 2 = 0 AS linux, local_addr, local_port, foreign_addr, state, pid_text, row_index % 5 AS form, row_index % 30 = 3 AS twice, row_index % 17 = 0 AS nameless FROM mem_sockets
+), r AS (
+  SELECT evidence_id, CASE WHEN linux THEN 'linux.sockstat' ELSE 'windows.netscan' END AS plugin, k AS row_index, CASE WHEN k % 19 <> 0 THEN 'TCPV4' END AS protocol, CASE form WHEN 1 THEN 'fe80::1' ELSE local_addr END AS local_address,
+    CASE WHEN form <> 4 THEN CAST(local_port AS BIGINT) END AS port, foreign_addr AS remote_address, CASE WHEN k % 3 = 0 THEN 443 END AS remote_port, upper(state) AS state,
+    CASE WHEN k % 23 <> 0 THEN CAST(pid_text AS BIGINT) END AS pid, CASE WHEN NOT nameless THEN 'p' || k % 4 END AS process_name, twice, k FROM s
+)"""
+
+
+@query("memory_tool_sockets", f"""WITH {TOOL} SELECT evidence_id, plugin, row_index, protocol, local_address, CASE WHEN port <= 65535 THEN port END AS local_port, remote_address, remote_port, state, pid, process_name,
+  CASE WHEN protocol IS NULL THEN 'MISSING_PROTOCOL' WHEN twice THEN 'CONFLICTING_ALIASES' WHEN port > 65535 THEN 'INVALID_PORT' WHEN k % 23 = 0 THEN 'INVALID_PID' END AS reason FROM r""", "mem_sockets")
+def memory_tool_sockets(spark, sf):
+    """Rows of two tools as sockets, accepted or refused."""
+    k, text = F.col("row_index"), lambda v: F.lit(v)
+    rows = view(spark, sf, "mem_sockets").withColumn("linux", k % 2 == 0)
+    form = k % 5
+    at = F.when(form == 0, F.concat("local_addr", F.lit(":"), "local_port")).when(form == 1, F.concat(F.lit("[FE80::1]:"), "local_port")).otherwise(F.col("local_addr"))
+    port = F.when(form == 4, "*").when(form.isin(2, 3), F.col("local_port"))
+    name = lambda linux, other: F.when(F.col("linux"), text(linux)).otherwise(text(other))
+    cells = [
+        (name("Proto", "Protocol"), F.when(k % 19 != 0, F.col("proto")).otherwise("n/a")), (name("Local Address", "LocalAddr"), at), (name("Local Port", "LocalPort"), port), (text("LPort"), F.when(k % 30 == 3, "1")),
+        (name("Foreign Address", "ForeignAddr"), F.concat(F.lit(" "), "foreign_addr")), (name("RPort", "ForeignPort"), F.when(k % 3 == 0, "0x1BB")), (text("State"), F.col("state")),
+        (name("PID", "OwnerPID"), F.when(k % 23 == 0, "none of them").otherwise(F.col("pid_text"))), (name("COMM", "Owner"), F.when(k % 17 != 0, F.concat(F.lit("p"), (k % 4).cast("string"))).otherwise("-")),
+    ]
+    rows = rows.withColumn("row", F.map_from_entries(F.array(*(F.struct(a.alias("k"), b.cast("string").alias("v")) for a, b in cells)))).withColumn("plugin", name("linux.sockstat", "windows.netscan")).withColumn("execution_id", F.lit("X"))
+    found = memory_sockets.sockets(rows)
+    return found.select("evidence_id", "plugin", "row_index", "protocol", "local_address", "local_port", "remote_address", "remote_port", "state", "pid", "process_name", "reason")
