@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import ids, times
 from tidelog.functions.net import is_private_ip, normalize_ip
 from tidelog.functions.paths import normalize_path
+from tidelog.functions.shared import materialize
 from tidelog.operators import timeline
 
 WINDOW = 300.0
@@ -250,12 +251,12 @@ def fields_of(events: DataFrame, names: list[str]) -> Column:
     return F.array_compact(F.array(*have)) if have else F.array().cast("array<string>")
 
 
-def addresses(events: DataFrame, names: list[str]) -> DataFrame:
-    """event_id, address: the distinct addresses of each event in canonical form, of both versions. Only rows with a colon go through Python."""
-    raw = events.select("event_id", F.explode(fields_of(events, names)).alias("raw"))
-    four = raw.select("event_id", normalize_ip(F.col("raw")).alias("address"))
-    six = raw.filter(F.col("raw").contains(":")).select("event_id", normalize_ip(F.col("raw"), ipv6=True).alias("address"))
-    return four.unionByName(six).filter("address is not null").distinct()
+def by_address(rows: DataFrame, raw: str, keep: list[str]) -> DataFrame:
+    """A row for each distinct address (k, in canonical form, of both versions) of an array of texts, with the columns to keep. Only texts with a colon go through Python."""
+    each = rows.select(*keep, F.explode(raw).alias("_raw"))
+    four = each.select(*keep, normalize_ip(F.col("_raw")).alias("k"))
+    six = each.filter(F.col("_raw").contains(":")).select(*keep, normalize_ip(F.col("_raw"), ipv6=True).alias("k"))
+    return four.unionByName(six).filter("k is not null").distinct()
 
 
 def ports(events: DataFrame, names: list[str]) -> Column:
@@ -277,15 +278,17 @@ def host_network(host: DataFrame, network: DataFrame, window: float = WINDOW, kn
     columns = {"username": "string", "session_id": "string", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int"}
     network = reduce(lambda d, c: d if c in d.columns else d.withColumn(c, F.lit(None).cast(columns[c])), columns, network)
     told = lambda d: d.withColumn("user", F.lower(user_identity(d))).withColumn("session", session_identity(d))
-    h = told(host.filter(F.lower("category") != "network")).withColumn("ports", ports(host, HOST_PORTS))
-    n = told(network.filter(F.lower("category") == "network"))
-    at, ends = ["event_id", "ts_class", "ts_us", "user", "session"], addresses(n, ["src_ip", "dst_ip"])
+    at = ["event_id", "ts_class", "ts_us", "user", "session"]
+    h, n = host.filter(F.lower("category") != "network"), network.filter(F.lower("category") == "network")
+    # what is needed of both sides, written once: several joins read it
+    h = materialize(told(h).select(*at, ports(h, HOST_PORTS).alias("ports"), fields_of(h, HOST_ADDRESSES).alias("raw")), "host")
+    n = materialize(told(n).select(*at, ports(n, ["src_port", "dst_port"]).alias("net_ports"), fields_of(n, ["src_ip", "dst_ip"]).alias("raw"), "src_ip", "dst_ip"), "network")
     sided = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in [*at, "k"]))
-    keyed = lambda d, by: d.select(at).join(by.withColumnRenamed("address", "k"), "event_id")
-    ways = [(1, keyed(h, addresses(h, HOST_ADDRESSES)), keyed(n, ends))]
+    ends = by_address(n, "raw", at)
+    ways = [(1, by_address(h, "raw", at), ends)]
     if known_ips:
         own = F.array(*(F.lit(k) for k in known_ips))
-        ways.append((2, h.select(at).withColumn("k", F.explode(own)), keyed(n, ends.filter(F.array_contains(own, F.col("address"))))))
+        ways.append((2, h.select(at).withColumn("k", F.explode(own)), ends.filter(F.array_contains(own, F.col("k")))))
     ways += [(rank, h.filter(f"{c} is not null").select(*at, F.col(c).alias("k")), n.filter(f"{c} is not null").select(*at, F.col(c).alias("k"))) for rank, c in ((3, "user"), (4, "session"))]
     conflict = F.coalesce(F.col("user_a") != F.col("user_b"), F.lit(False)) | F.coalesce(F.col("session_a") != F.col("session_b"), F.lit(False))
     found = [band_join(sided(a, "a"), sided(b, "b"), ["k"], window).filter(~conflict).select("event_id_a", "event_id_b", F.lit(rank).alias("rank"), F.col("k_a").alias("value")) for rank, a, b in ways]
@@ -293,16 +296,16 @@ def host_network(host: DataFrame, network: DataFrame, window: float = WINDOW, kn
     best = pairs.groupBy("event_id_a", "event_id_b").agg(F.min(F.struct("rank", "value")).alias("m"))
     ipv6 = lambda c: F.coalesce(normalize_ip(F.col(c)), F.when(F.col(c).contains(":"), normalize_ip(F.col(c), ipv6=True)))
     of_host = h.select(F.col("event_id").alias("event_id_a"), F.col("ts_us").alias("us_a"), "ports", F.col("user").alias("user_a"))
-    of_net = n.select(F.col("event_id").alias("event_id_b"), F.col("ts_us").alias("us_b"), ipv6("src_ip").alias("src"), ipv6("dst_ip").alias("dst"), ports(n, ["src_port", "dst_port"]).alias("net_ports"), F.col("user").alias("user_b"))
+    of_net = n.select(F.col("event_id").alias("event_id_b"), F.col("ts_us").alias("us_b"), ipv6("src_ip").alias("src"), ipv6("dst_ip").alias("dst"), "net_ports", F.col("user").alias("user_b"))
     m = best.join(of_host, "event_id_a").join(of_net, "event_id_b").withColumns({"rank": F.col("m.rank"), "value": F.col("m.value")})
     names = F.array(*map(F.lit, ["ip_match", "host_endpoint_ip_match", "user_match", "session_match"]))
-    by_address = F.col("rank") <= 2
-    private = F.coalesce(by_address & is_private_ip(F.col("value"), ipv6=True), F.lit(False))
+    addressed = F.col("rank") <= 2
+    private = F.coalesce(addressed & is_private_ip(F.col("value"), ipv6=True), F.lit(False))
     aligned = F.arrays_overlap("ports", "net_ports")
-    notes = F.array_compact(F.array(F.when(by_address, F.when(private, NOTES["private"]).otherwise(NOTES["shared"])), F.when((F.size("ports") > 0) & ~aligned, NOTES["ports"])))
+    notes = F.array_compact(F.array(F.when(addressed, F.when(private, NOTES["private"]).otherwise(NOTES["shared"])), F.when((F.size("ports") > 0) & ~aligned, NOTES["ports"])))
     return m.select(
         F.col("event_id_a").alias("host_event"), F.col("event_id_b").alias("network_event"), F.element_at(names, F.col("rank")).alias("dimension"), "value", (F.abs(F.col("us_a") - F.col("us_b")) / F.lit(1_000_000.0)).alias("delta_seconds"),
-        F.when(by_address & (F.col("value") == F.col("src")), "outbound").when(by_address & (F.col("value") == F.col("dst")), "inbound").alias("direction"), F.coalesce(aligned, F.lit(False)).alias("port_aligned"),
+        F.when(addressed & (F.col("value") == F.col("src")), "outbound").when(addressed & (F.col("value") == F.col("dst")), "inbound").alias("direction"), F.coalesce(aligned, F.lit(False)).alias("port_aligned"),
         F.coalesce(F.col("user_a") == F.col("user_b"), F.lit(False)).alias("user_aligned"), private.alias("private_address"), F.least("us_a", "us_b").alias("start_us"), F.greatest("us_a", "us_b").alias("end_us"), notes.alias("notes"),
     )
 
