@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import ids, net, paths, times
+from tidelog.functions import ids, paths, times
 from tidelog.operators import correlate, rules, timeline
 from tidelog.plans.views import oracle, view
 from tidelog.sources import logs
