@@ -61,7 +61,7 @@ def test_untimed_pairs_of_busy_identities(spark, block):
     assert pairs(correlate.same_user(events(spark, *rows)).filter("delta_seconds is null")) == want
 
 
-@pytest.mark.parametrize("name", ["links_same_user"])
+@pytest.mark.parametrize("name", ["links_same_user", "links_same_session"])
 def test_links_of_equal_identity_hold_untimed_pairs(spark, sf, name):
     from tidelog.plans import queries
 
