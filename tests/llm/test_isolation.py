@@ -94,3 +94,38 @@ def test_thresholds_are_above_the_usual_and_the_verdict_is_plain(spark):
         over = [n for n, s, t in zip(names, score, rules["thresholds"]) if s > t]
         assert out[k].rule == (over[0] if over else None) and out[k].kept == (not over and not out[k].base_failed) and np.isclose(out[k].anomaly, everything)
     assert sum(out[k].kept for k in range(400) if k % 5) >= 316 and not any(out[k].kept for k in range(0, 400, 5))
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """More rows than a bounded sample would take, some of them odd."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    n = 9000
+    junk = (F.col("id") % 3 == 0) & (F.col("id") % 1000 != 0)
+    symbols = F.when(junk, 40 + F.col("id") * 7919 % 60).otherwise(F.col("id") * 104729 % 23)
+    stats = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n_words"), (F.col("id") % 90 + 400).alias("word_chars"), symbols.alias("n_symbols"), *(F.lit(k).cast("long").alias(c) for c, k in (("n_dup_lines", 0), ("n_repeat_words", 0), ("n_lines", 3))), (F.col("id") % 11).alias("n_upper"), F.lit(1).cast("long").alias("n_marks"))
+    marks = spark.range(n).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality")
+    rules = q.train(stats, marks, F.lit(True))
+    rows = stats.toPandas()
+    score, label = q.judged(rules, q.levels(rows)), (rows["doc_id"] % 3 > 0).to_numpy(int)
+    keep = 1 - (1 - q.KEEP_GOOD) / score.shape[1]
+    want = [q.calibrate(score[:, k], label, keep) for k in range(score.shape[1])]
+    assert list(rules["thresholds"][1:]) == want[1:] and np.isfinite(want[1:]).any()
+    assert ((score[:, 0] > rules["thresholds"][0]) == (score[:, 0] > want[0])).mean() > 0.999
+
+
+def test_trees_draw_from_all_rows_by_weight(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(q, "grown", lambda drawn, rng: np.concatenate(drawn) if drawn else None)
+    cell = F.unhex(F.concat(*(F.lpad(F.hex(F.floor(F.col("id") / 40**k) % 40), 2, "0") for k in range(WIDTH))))
+    cells = spark.range(30_000).select(cell.alias("cell"), F.when(F.col("id") % 100 == 0, 50 * q.UNIT).otherwise(q.UNIT).cast("long").alias("w"))
+    drawn = q.draw(cells)
+    number = (drawn[:, :3].astype(int) * [1, 40, 1600]).sum(1)
+    assert len(drawn) == q.TREES * q.SUBSAMPLE and len(set(number)) > 12_800 // 2 and len(set(number // 1000)) == 30
+    assert abs((number % 100 == 0).mean() - 50 / 149) < 0.02
+    assert (q.draw(cells.repartition(7)) == drawn).all()
+    assert q.draw(cells.limit(1)) is None
+    sums = q.level_sums(cells)
+    assert (sums.sum(1) == 300 * 50 * q.UNIT + 29_700 * q.UNIT).all() and sums[0, 0] == sum((50 if i % 100 == 0 else 1) * q.UNIT for i in range(0, 30_000, 40))
