@@ -377,3 +377,15 @@ def test_quality_against_a_plain_forward_pass():
         e = [math.exp(sum(math.tanh(float(x @ p["v"][:, g])) / (1 + math.exp(-float(x @ p["u"][:, g]))) * p["a"][g] for g in range(quality_mil.GATE))) for x in h]
         z = sum(w * x for w, x in zip(e, h)) / sum(e)
         assert logit == pytest.approx(float(z @ p["c"] + p["d"][0]), rel=1e-6)
+
+
+def test_clear_bound_counts_all_held_out_rows(spark, monkeypatch):
+    """Of 3,000 right predictions the fourth lowest is the bound, not that of a sample; wrong ones don't count."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language_id, "language", lambda model, text="text": F.struct(F.lit("aa").alias("lang_pred"), F.col("text").cast("double").alias("score")))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), ((F.col("id") + 1) / 5000).cast("string").alias("text"), F.when(F.col("id") % 4 == 1, "bb").otherwise("aa").alias("lang"))
+    right = [(k + 1) / 5000 for k in range(4000) if k % 4 != 1]
+    want = right[int(len(right) * (1 - language_id.CLEAR_SHARE))]
+    assert 0 <= want - language_id.clear_bound({}, docs, F.lit(True)) < 1 / 65536
+    assert language_id.clear_bound({}, docs.limit(0), F.lit(True)) == 0

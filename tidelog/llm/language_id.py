@@ -26,8 +26,8 @@ SEGMENT = 64
 HIDDEN = 8
 #: Bound of the training sample: documents a language, and segments a document.
 DOCS_PER_LANG, SEGMENTS_PER_DOC = 240, 6
-#: Documents a language on which a bound for clear predictions is set, and the share of right predictions that it keeps.
-CLEAR_DOCS, CLEAR_SHARE = 500, 0.999
+#: The share of right predictions that a bound for clear predictions keeps, and the steps of a score that it is found by.
+CLEAR_SHARE, GRID = 0.999, 1 << 16
 #: Fewer right predictions than these tell no bound.
 CLEAR_LEAST = 30
 #: Segments that run side by side.
@@ -172,18 +172,24 @@ def language(model: dict, text: str | Column = "text") -> Column:
 
 
 def clear_bound(model: dict, docs: DataFrame, rows: Column) -> float:
-    """The score below which a prediction is unclear, from labelled rows that the model has not learned from:
-    CLEAR_SHARE of the right predictions reach it. Samples too small to tell such a share have a bound below their
-    lowest score, by a multiple of what the next sqrt(n) scores lie apart; with fewer than CLEAR_LEAST it is 0."""
-    tagged = labelled_rows(docs, rows, CLEAR_DOCS).select("lang", language(model).alias("tag"))
-    right = sorted(r.score for r in tagged.filter(F.col("tag.lang_pred") == F.col("lang")).select("tag.score").collect())  # CLEAR_DOCS a language
-    if len(right) < CLEAR_LEAST:
+    """The score below which a prediction is unclear, from all labelled rows given, which the model has not learned from:
+    CLEAR_SHARE of the right predictions reach it. Scores are counted by GRID steps, rounded down. Where there are too few
+    to tell such a share the bound is below their lowest score, by a multiple of what the next sqrt(n) scores lie apart;
+    with fewer than CLEAR_LEAST it is 0. Repeated rows count as they come."""
+    known = docs.filter(rows & F.col("lang").isNotNull() & (F.length("text") > 0))
+    tagged = known.select("lang", language(model).alias("tag"))
+    step = F.when(F.col("tag.lang_pred") == F.col("lang"), F.floor(F.col("tag.score") * GRID))
+    right = sorted((r.step, r["count"]) for r in tagged.groupBy(step.alias("step")).count().collect() if r.step is not None)  # GRID + 1 rows
+    upto = np.cumsum([n for _, n in right])
+    total = int(upto[-1]) if right else 0
+    if total < CLEAR_LEAST:
         return 0.0
-    below = len(right) * (1 - CLEAR_SHARE)
+    score = lambda k: right[int(np.searchsorted(upto, k, "right"))][0] / GRID  # noqa: E731  # the k-th lowest, from 0
+    below = total * (1 - CLEAR_SHARE)
     if below >= 1:
-        return right[int(below)]
-    near = right[min(len(right) - 1, int(np.ceil(np.sqrt(len(right)))))]
-    return max(0.0, right[0] - 3 * (1 - below) * (near - right[0]))
+        return score(int(below))
+    near = score(min(total - 1, int(np.ceil(np.sqrt(total)))))
+    return max(0.0, score(0) - 3 * (1 - below) * (near - score(0)))
 
 
 def identify(docs: DataFrame, rows: Column | None = None) -> DataFrame:
