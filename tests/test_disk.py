@@ -35,3 +35,9 @@ def test_ids_of_links_shuffle_no_pairs(spark, sf):
     e = events(spark, ("a", 0, 0, "x", "u"), ("b", 0, 1, "x", "v"))
     twice = correlate.temporal(e).unionByName(correlate.temporal(e))
     assert correlate.with_ids(twice).count() == 1  # where an edge may be there twice it is one row
+
+
+def test_links_in_time_shuffle_each_event_three_times(spark, sf):
+    """Once as the later event and twice as the earlier; repeated rows are gone before, in a table of its own."""
+    links = QUERIES["links_temporal"](spark, sf)
+    assert sum("Exchange" in line for line in plan(links)) <= 2 and not any("Aggregate" in line for line in plan(links))
