@@ -3,7 +3,7 @@
 import re
 
 from tests.test_operators import EVENT, events
-from tidelog.operators import correlate, timeline
+from tidelog.operators import correlate, rules, timeline
 from tidelog.plans import queries as core
 
 QUERIES = core.queries()
@@ -41,3 +41,17 @@ def test_links_in_time_shuffle_each_event_three_times(spark, sf):
     """Once as the later event and twice as the earlier; repeated rows are gone before, in a table of its own."""
     links = QUERIES["links_temporal"](spark, sf)
     assert sum("Exchange" in line for line in plan(links)) <= 2 and not any("Aggregate" in line for line in plan(links))
+
+
+def test_network_pack_numbers_packets_once_and_groups_no_pairs(spark, sf):
+    lines = plan(QUERIES["rules_network_full_pack"](spark, sf))
+    assert not any("Window" in line for line in lines) and sum("Aggregate" in line for line in lines) == 4  # counts, and the distinct keys
+    assert above_joins(QUERIES["rules_network_full_pack"](spark, sf)) == 1  # of the counts
+
+
+def test_detections_of_events_with_different_ids_need_no_look(spark):
+    e = events(spark, ("a", 0, 0, "ssh_login_failure", "u"), ("b", 0, 1, "ssh_login_success", "u"), ("c", 0, 2, "ssh_login_success", "u"))
+    edges = correlate.temporal(e)
+    pack = [rules.failure_then_success(), rules.failure_then_success(), rules.Rule("any", event_types=("ssh_login_success",)), rules.Rule("near", relations=("TEMPORAL",)), rules.Rule("failed", event_types=("ssh_login_failure",), relations=("TEMPORAL",))]
+    got, want = ({tuple(r.event_ids) + (r.rule_name, r.detection_id) for r in rules.evaluate(e, pack, edges, unique=u).collect()} for u in (True, False))
+    assert got == want and rules.evaluate(e, pack, edges, unique=True).count() == len(got) == 9

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.shared import materialize
 from tidelog.operators import artifacts, correlate, integrity, memory, pivots, rules
 from tidelog.plans.host_queries import EV, _auth, _events, _logs
 from tidelog.plans.views import oracle, view
@@ -140,11 +141,12 @@ def network_applications(spark, sf):
     "timeline", "packets", "packets_app",
 )
 def rules_network_full_pack(spark, sf):
-    packets, host = _packets(spark, sf, "packets_app"), _events(spark, sf)
+    packets = materialize(_packets(spark, sf, "packets_app"), "packets", clean=True)  # written once: numbering shuffles them
+    host = materialize(_events(spark, sf, "ts_class", "ts_us", "category", "event_type", "username", "source_ip", "session_id"), "host", clean=True)
     events = network.network_events(packets)
     edges = correlate.host_network_edges(correlate.host_network(host, network.packet_events(packets)))
     pack = rules.network_pack("h7.example.org", "s3.portal.org", "h4", "TCP", 22)
-    return rules.counts(rules.evaluate(events.unionByName(host, allowMissingColumns=True), pack, edges))
+    return rules.counts(rules.evaluate(events.unionByName(host, allowMissingColumns=True), pack, edges, unique=True))
 
 
 HEADS = "h AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'r' ELSE 'q' END AS t FROM http_heads)"
