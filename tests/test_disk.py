@@ -55,3 +55,14 @@ def test_detections_of_events_with_different_ids_need_no_look(spark):
     pack = [rules.failure_then_success(), rules.failure_then_success(), rules.Rule("any", event_types=("ssh_login_success",)), rules.Rule("near", relations=("TEMPORAL",)), rules.Rule("failed", event_types=("ssh_login_failure",), relations=("TEMPORAL",))]
     got, want = ({tuple(r.event_ids) + (r.rule_name, r.detection_id) for r in rules.evaluate(e, pack, edges, unique=u).collect()} for u in (True, False))
     assert got == want and rules.evaluate(e, pack, edges, unique=True).count() == len(got) == 9
+
+
+def test_sequences_shuffle_no_combinations(spark, sf):
+    """The events of each step only, whatever the join: combinations stay in the bucket of their first event."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = plan(QUERIES["rule_three_steps"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("Exchange" in line for line in lines) == 3 and not any("Aggregate" in line for line in lines)
