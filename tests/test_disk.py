@@ -66,3 +66,7 @@ def test_sequences_shuffle_no_combinations(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sum("Exchange" in line for line in lines) == 3 and not any("Aggregate" in line for line in lines)
+
+
+def test_authentication_and_privilege_group_no_pairs(spark, sf):
+    assert not any("Aggregate" in line for line in plan(QUERIES["links_all_privilege"](spark, sf)))
