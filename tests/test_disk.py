@@ -76,3 +76,7 @@ def test_ids_of_detections_are_made_behind_the_sort(spark, sf):
     lines = plan(QUERIES["detection_ids"](spark, sf))
     sort = next(k for k, line in enumerate(lines) if "Sort" in line)
     assert not any("Aggregate" in line for line in lines) and any("sha1" in line for line in lines[:sort]) and not any("sha1" in line for line in lines[sort:])
+
+
+def test_endpoints_group_no_pairs(spark, sf):
+    assert above_joins(QUERIES["links_endpoint_sets"](spark, sf)) == 0
