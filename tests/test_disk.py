@@ -80,3 +80,10 @@ def test_ids_of_detections_are_made_behind_the_sort(spark, sf):
 
 def test_endpoints_group_no_pairs(spark, sf):
     assert above_joins(QUERIES["links_endpoint_sets"](spark, sf)) == 0
+
+
+def test_packets_are_numbered_once(spark, sf):
+    for name in ("links_host_network", "rules_answers_and_protocols"):
+        assert not any("Window" in line for line in plan(QUERIES[name](spark, sf)))
+    assert above_joins(QUERIES["links_host_network"](spark, sf)) == 0
+    assert sum("Aggregate" in line for line in plan(QUERIES["rules_answers_and_protocols"](spark, sf))) == 2  # the counts

@@ -161,8 +161,10 @@ def http_heads(spark, sf):
 SELECT h.event_id AS host_event, n.id AS network_event, 'ip_match' AS dimension, h.source_ip AS value, abs(h.ts_us - n.us) / 1000000.0 AS delta_seconds, CASE WHEN h.source_ip = n.src_ip THEN 'outbound' ELSE 'inbound' END AS direction
 FROM e h JOIN n ON (h.source_ip = n.src_ip OR h.source_ip = n.dst_ip) AND h.ts_class = 0 AND abs(h.ts_us - n.us) <= 300000000 WHERE h.category <> 'network'""", "timeline", "packets")
 def links_host_network(spark, sf):
-    net = network.packet_events(_packets(spark, sf)).withColumn("event_id", F.concat_ws(":", "source_path", "source_line"))
-    return correlate.host_network(_events(spark, sf), net).select("host_event", "network_event", "dimension", "value", "delta_seconds", "direction")
+    packets = materialize(_packets(spark, sf).select("capture", "frame_number", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "network_protocol", "transport_protocol", "fragment_offset", "query_name", "server_name"), "packets", clean=True)
+    net = network.packet_events(packets).withColumn("event_id", F.concat_ws(":", "source_path", "source_line"))
+    host = materialize(_events(spark, sf, "ts_class", "ts_us", "category", "username", "source_ip", "session_id"), "host", clean=True)
+    return correlate.host_network(host, net).select("host_event", "network_event", "dimension", "value", "delta_seconds", "direction")
 
 
 # memory
