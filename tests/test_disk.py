@@ -87,3 +87,15 @@ def test_packets_are_numbered_once(spark, sf):
         assert not any("Window" in line for line in plan(QUERIES[name](spark, sf)))
     assert above_joins(QUERIES["links_host_network"](spark, sf)) == 0
     assert sum("Aggregate" in line for line in plan(QUERIES["rules_answers_and_protocols"](spark, sf))) == 2  # the counts
+
+
+def test_one_timeline_of_all_sources_shuffles_what_is_asked_for(spark, sf):
+    lines = plan(QUERIES["timeline_all_sources"](spark, sf))
+    assert not any("Window" in line for line in lines) and not any("Aggregate" in line and "description" in line for line in lines)
+
+
+def test_united_events_that_differ_in_what_is_left_out_are_two(spark):
+    make = lambda *rows: spark.createDataFrame([(i, 0, 5, "c", "t", d, m) for i, d, m in rows], "event_id string, ts_class int, ts_us long, category string, event_type string, description string, attributes map<string,string>")
+    tables = make(("b", "d", {"x": "1", "y": "2"}), ("c", "d", {"x": "1"}), ("e", None, {"x": "1"})), make(("a", "d", {"y": "2", "x": "1"}), ("d", "d", None))
+    got = sorted(map(tuple, timeline.unite(*tables, keep=["category"]).collect()))
+    assert got == [(i, "c") for i in "acde"] and sorted(r.event_id for r in timeline.unite(*tables).collect()) == list("acde")

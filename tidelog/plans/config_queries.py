@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions.shared import materialize
 from tidelog.operators import integrity, memory, timeline
 from tidelog.plans.evidence_queries import KIND, PROC, _chain, _packets, _processes
 from tidelog.plans.host_queries import LOGS, file_times
@@ -166,8 +167,9 @@ def custody_status(spark, sf):
 # one timeline of all sources
 
 
-def _all_sources(spark, sf):
-    return timeline.unite(timeline.build(view(spark, sf, "log_lines")), timeline.filesystem_events(file_times(spark, sf)), network.packet_events(_packets(spark, sf)), memory.events(_processes(spark, sf)))
+def _all_sources(spark, sf, keep: list[str] | None = None):
+    packets = materialize(_packets(spark, sf).drop("sec"), "packets", clean=True)  # their numbering has a shuffle of its own
+    return timeline.unite(timeline.of_lines(view(spark, sf, "log_lines")), timeline.filesystem_events(file_times(spark, sf)), network.packet_events(packets), memory.events(_processes(spark, sf)), keep=keep)
 
 
 FILES = """SELECT 'filesystem' AS category, e.event_type, 0 AS ts_class, e.ts_us FROM orders, LATERAL (VALUES ('file_created', epoch_us(o_orderdate)), ('file_modified', CASE WHEN o_orderkey % 3 <> 0 THEN epoch_us(o_orderdate) + o_custkey * 1000000 END)) AS e(event_type, ts_us) WHERE e.ts_us IS NOT NULL"""
@@ -182,7 +184,7 @@ UNION ALL {FILES} UNION ALL SELECT 'network', {KIND}, 0, 0 FROM packets UNION AL
     "log_lines", "packets", "mem_processes",
 )
 def timeline_all_sources(spark, sf):
-    return _all_sources(spark, sf).groupBy("category", "event_type", "ts_class").agg(F.count("*").alias("n"))
+    return _all_sources(spark, sf, ["category", "event_type", "ts_class"]).groupBy("category", "event_type", "ts_class").agg(F.count("*").alias("n"))
 
 
 @query("timeline_attribute_search", f"WITH {PROC} SELECT category, count(*) AS n FROM (SELECT 'network' AS category FROM packets WHERE query_name = 'h7.example.org' UNION ALL SELECT 'memory' FROM k WHERE name = 'h7.example.org') GROUP BY ALL", "packets", "mem_processes")
