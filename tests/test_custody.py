@@ -136,3 +136,26 @@ def test_last_before(spark, block):
     out = last_before(spark.createDataFrame(rows, "key string, at long, v string"), ["key"], "at", {"known": F.col("v")}, block)
     want = {(key, at): next((v for k, a, v in reversed(rows) if k == key and a < at and v), None) for key, at, _ in rows}
     assert {(x.key, x.at): x.known for x in out.collect()} == want
+
+
+def test_texts_of_any_characters_are_hashed_as_json_writes_them(spark):
+    nasty = ["", '"', "\\", '\\"', "\x00\x01\x1f", "\b\t\n\f\r", "\x7f\x80", "ü日 ￿", "a😀\U0010ffff", "plain ~", "x\n", None]
+    rows = [(k, text) for k, text in enumerate(nasty)]
+    df = spark.createDataFrame(rows, "sequence_number long, text string")
+    one = lambda c: F.col("text").alias(c)
+    actor = F.when(F.col("sequence_number") != 3, F.struct(*(one(c) for c in ("declared_identity", "role", "organization"))))
+    hashes = F.when(F.col("sequence_number") % 2 == 0, F.create_map(F.lit("z"), F.col("text"), F.lit("ü"), F.lit("1"), F.lit("a"), F.lit(None).cast("string")))
+    columns = [c for c in custody.HASHED if c not in ("actor", "hashes", "prev_event_hash", "sequence_number")]
+    sealed = custody.seal(df.select(F.lit("L").alias("ledger_id"), "sequence_number", *(one(c) for c in columns), actor.alias("actor"), hashes.alias("hashes")))
+    found = sealed.orderBy("sequence_number").collect()
+    for r in found:
+        assert r.record_hash == hashlib.sha256(custody.canonical(r.asDict(recursive=True), r.prev_event_hash).encode()).hexdigest()
+    assert {r.finding for r in custody.chain_problems(sealed).collect()} <= {"DUPLICATE_ID", "INVALID_ID"} and len(found) == len(nasty)
+
+
+def test_records_are_sealed_once_and_verified_without_python(spark, sf):
+    from tidelog.plans.custody_queries import QUERIES
+
+    for name in ("custody_full_chain", "custody_audit_status"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan

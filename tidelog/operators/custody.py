@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, IntegralType, NullType, StringType, StructField, StructType
 
 from tidelog.functions import times
 from tidelog.functions.carry import BLOCK, last_before
@@ -47,43 +47,75 @@ def canonical(record: dict, prev_event_hash: str | None) -> str:
     return json.dumps(content, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-def _records(batch: pa.RecordBatch) -> Iterator[dict]:
-    cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in HASHED if c in batch.schema.names}
-    for values in zip(*cols.values()):
-        yield dict(zip(cols, values))
+def _json(value: Column, kind: DataType) -> Column:
+    """A text or whole number as JSON in ASCII, as json.dumps writes it."""
+    if isinstance(kind, IntegralType):
+        return F.coalesce(value.cast("string"), F.lit("null"))
+    if not isinstance(kind, (StringType, NullType)):
+        raise ValueError(f"a record holds texts and whole numbers, no {kind.simpleString()}")
+    text = value.cast("string")
+    unit = lambda code: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+    named = {"\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char).cast("long")
+        out = F.when(char == '"', '\\"')
+        for c, form in named.items():
+            out = out.when(char == c, form)
+        pair = F.concat(unit(F.shiftright(code - 0x10000, 10) + 0xD800), unit((code - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+        return out.when(code.between(0x20, 0x7E), char).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.when(text.rlike(r"\A[\x20-\x7E]*\z"), plain).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
+    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+
+
+def _content(events: DataFrame) -> tuple[Column, Column]:
+    """The text under a record's hash before and behind the hash of the record before, as `canonical` writes it."""
+    schema = events.schema
+    actor = schema["actor"].dataType
+    person: list[Column] = []
+    for c in sorted(ACTOR):
+        person += [F.lit(f'{"," if person else ""}"{c}":'), _json(F.col("actor")[c], actor[c].dataType) if c in actor.fieldNames() else F.lit("null")]
+    entry = lambda x: F.concat(_json(x["key"], StringType()), F.lit(":"), _json(x["value"], StringType()))
+    digests = F.array_join(F.transform(F.array_sort(F.map_entries("hashes")), entry), ",")
+    value = {"actor": F.when(F.col("actor").isNotNull(), F.concat(F.lit("{"), *person, F.lit("}"))).otherwise("null"), "hashes": F.concat(F.lit("{"), F.coalesce(digests, F.lit("")), F.lit("}"))}
+    before, behind = [F.lit("{")], []
+    for c in sorted(HASHED):
+        at = behind if c > "prev_event_hash" else before
+        at.append(F.lit(("" if c == "action_type" else ",") + f'"{c}":'))
+        if c != "prev_event_hash":
+            at.append(value[c] if c in value else _json(F.col(c), schema[c].dataType))
+    return F.concat(*before), F.concat(*behind, F.lit("}"))
 
 
 def seal(events: DataFrame) -> DataFrame:
-    """events (records without hashes) with prev_event_hash and record_hash: each ledger is read in order, only the last hash is carried on."""
+    """events (records without hashes) with prev_event_hash and record_hash: each ledger is read in order, only the last hash is carried on. The texts that are hashed are made before, by Spark."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ledger, last = object(), GENESIS
         for batch in batches:
             previous, own = [], []
-            for of, record in zip(batch.column(names.index("ledger_id")).to_pylist(), _records(batch)):
+            for of, before, behind in zip(batch.column(names.index("ledger_id")).to_pylist(), *(batch.column(len(names) + k).to_pylist() for k in (0, 1))):
                 if of != ledger:
                     ledger, last = of, GENESIS
                 previous.append(last)
-                last = hashlib.sha256(canonical(record, last).encode()).hexdigest()
+                last = hashlib.sha256(f'{before}"{last}"{behind}'.encode()).hexdigest()
                 own.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], [*names, "prev_event_hash", "record_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(previous, pa.string()), pa.array(own, pa.string())], [*names, "prev_event_hash", "record_hash"])
 
     names = events.columns
     schema = StructType([*events.schema.fields, StructField("prev_event_hash", StringType()), StructField("record_hash", StringType())])
-    return events.repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence_number").mapInArrow(carry, schema)
+    before, behind = _content(events)
+    ordered = events.repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence_number")
+    return ordered.select("*", before.alias("_before"), behind.alias("_behind")).mapInArrow(carry, schema)
 
 
 def own_hashes(ledger: DataFrame) -> DataFrame:
     """ledger_id, sequence_number, event_id, prev_event_hash, record_hash, and own_hash: what the record's fields give."""
-    keep = ["ledger_id", "sequence_number", "event_id", "prev_event_hash", "record_hash"]
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [hashlib.sha256(canonical(r, r["prev_event_hash"]).encode()).hexdigest() for r in _records(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(own, pa.string())], [*keep, "own_hash"])
-
-    kinds = ", ".join(f"{c} {ledger.schema[c].dataType.simpleString()}" for c in keep)
-    return ledger.select("ledger_id", "record_hash", *HASHED).mapInArrow(compute, f"{kinds}, own_hash string")
+    before, behind = _content(ledger)
+    text = F.concat(before, _json(F.col("prev_event_hash"), StringType()), behind)
+    return ledger.select("ledger_id", "sequence_number", "event_id", "prev_event_hash", "record_hash", F.sha2(text, 256).alias("own_hash"))
 
 
 def chain_problems(ledger: DataFrame) -> DataFrame:
