@@ -159,3 +159,11 @@ def test_records_are_sealed_once_and_verified_without_python(spark, sf):
     for name in ("custody_full_chain", "custody_audit_status"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan
+
+
+def test_own_hashes_are_compared_before_the_joins(spark, sf):
+    from tidelog.plans.custody_queries import QUERIES
+
+    lines = QUERIES["custody_full_chain"](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
+    joined = next(k for k, line in enumerate(lines) if "Join" in line)
+    assert not any("sha2" in line or "own_hash" in line for line in lines[:joined]) and any("sha2" in line for line in lines[joined:])
